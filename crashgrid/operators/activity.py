@@ -73,7 +73,7 @@ def commits_by_member(commits: DataFrame, aliases: DataFrame) -> DataFrame:
 def commits_per_day(commits: DataFrame, aliases: DataFrame, day_col: str = "day") -> DataFrame:
     """Resolved commits per calendar day, ascending."""
     resolved = resolve_alias(commits, aliases)
-    day = F.to_date(F.col(day_col))
+    day = F.to_date(F.col(day_col)).cast("timestamp_ntz")
     return (resolved.select(day.alias("day")).filter(F.col("day").isNotNull())
             .groupBy("day").agg(F.count(F.lit(1)).alias("commits")).orderBy("day"))
 

@@ -132,9 +132,14 @@ def road_user_with_automobile(df: DataFrame) -> DataFrame:
     return _road_user_counts(df, ROAD_USERS_WITH_AUTOMOBILE, normalise=False)
 
 
+def day_start(ts):
+    """Midnight of the timestamp's day (a timestamp, like a datetime day key)."""
+    return F.date_trunc("day", ts).cast("timestamp_ntz")
+
+
 def _dated(df: DataFrame) -> DataFrame:
     ts = to_timestamp_any(F.col("OCC_DATE"), dtype_of(df, "OCC_DATE"))
-    return df.withColumn("date", F.to_date(ts)).filter(F.col("date").isNotNull())
+    return df.withColumn("date", day_start(ts)).filter(F.col("date").isNotNull())
 
 
 def severity_trend_over_time(df: DataFrame, selected_severity: str = ALL_SEVERITIES) -> DataFrame:
@@ -143,7 +148,7 @@ def severity_trend_over_time(df: DataFrame, selected_severity: str = ALL_SEVERIT
     "All Severities" = Fatal, Injury and Property Damage; one of those =
     that class only; anything else (including "Other") = empty.
     """
-    empty = "date date, severity_type string, value bigint"
+    empty = "date timestamp_ntz, severity_type string, value bigint"
     if "OCC_DATE" not in df.columns or "severity_class" not in df.columns:
         return empty_frame(df, empty)
     if selected_severity == ALL_SEVERITIES:
@@ -161,7 +166,7 @@ def severity_trend_over_time(df: DataFrame, selected_severity: str = ALL_SEVERIT
 def total_collisions_trend_over_time(df: DataFrame) -> DataFrame:
     """(date, value) per day over every class, including Other."""
     if "OCC_DATE" not in df.columns:
-        return empty_frame(df, "date date, value bigint")
+        return empty_frame(df, "date timestamp_ntz, value bigint")
     return _dated(df).groupBy("date").agg(F.count(F.lit(1)).alias("value")).orderBy("date")
 
 
@@ -212,7 +217,7 @@ def distinct_options(df: DataFrame) -> DataFrame:
     """
     parts = []
     if "YEAR" in df.columns:
-        parts.append(df.select(F.lit("year").alias("option"), F.col("YEAR").cast("string").alias("value")))
+        parts.append(df.select(F.lit("year").alias("option"), F.col("YEAR").try_cast("bigint").cast("string").alias("value")))
     for option, column in (("division", "DIVISION"), ("neighbourhood", "NEIGHBOURHOOD_158")):
         if column in df.columns:
             parts.append(df.select(F.lit(option).alias("option"), F.col(column).cast("string").alias("value")))

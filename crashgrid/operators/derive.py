@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coerce import round_half_even, to_int, to_number, to_timestamp_any
+from ..functions.coerce import round_half_even, to_number, to_timestamp_any
 from ..functions.text import norm_flag, strip
 from ..schema import FLAG_COLUMNS, MAP_COLUMNS, require_columns
 from ._util import dtype_of, empty_frame
@@ -35,15 +35,18 @@ def classify_severity(df: DataFrame) -> DataFrame:
 
 
 def calendar_parts(df: DataFrame) -> DataFrame:
-    """OCC_DATE_STR (yyyy-MM-dd), YEAR, MONTH, DAY; null when undated."""
+    """OCC_DATE_STR (yyyy-MM-dd), YEAR, MONTH, DAY; null when undated.
+
+    Calendar numbers are doubles, like the other nullable numeric columns.
+    """
     require_columns(df, ["OCC_DATE"])
     ts = to_timestamp_any(F.col("OCC_DATE"), dtype_of(df, "OCC_DATE"))
     return df.withColumns({
         "OCC_DATE": ts,
         "OCC_DATE_STR": F.date_format(ts, "yyyy-MM-dd"),
-        "YEAR": F.year(ts),
-        "MONTH": F.month(ts),
-        "DAY": F.dayofmonth(ts),
+        "YEAR": F.year(ts).cast("double"),
+        "MONTH": F.month(ts).cast("double"),
+        "DAY": F.dayofmonth(ts).cast("double"),
     })
 
 
@@ -67,11 +70,6 @@ def trim_dims(df: DataFrame) -> DataFrame:
     return df.withColumns({c: strip(c) for c in ("DIVISION", "NEIGHBOURHOOD_158") if c in df.columns})
 
 
-def prepared_types(df: DataFrame) -> DataFrame:
-    """Whole-number year and hour in the prepared table (truncated; bad -> null)."""
-    return df.withColumns({c: to_int(F.col(c)) for c in ("OCC_YEAR", "OCC_HOUR") if c in df.columns})
-
-
 def derive(cleaned: DataFrame) -> DataFrame:
     """P3 -> P1 -> P4 -> P2 -> P5 -> P6 on a cleaned table (the body of P7)."""
     return (cleaned.transform(calendar_parts)
@@ -79,8 +77,7 @@ def derive(cleaned: DataFrame) -> DataFrame:
             .transform(fatality_flag)
             .transform(classify_severity)
             .transform(grid_cell)
-            .transform(trim_dims)
-            .transform(prepared_types))
+            .transform(trim_dims))
 
 
 def map_points(df: DataFrame) -> DataFrame:
@@ -110,5 +107,5 @@ def rename_for_display(result: DataFrame, kind: str) -> DataFrame:
 
 __all__ = [
     "normalize_flags", "classify_severity", "calendar_parts", "fatality_flag", "grid_cell",
-    "trim_dims", "prepared_types", "derive", "map_points", "rename_for_display", "empty_frame",
+    "trim_dims", "derive", "map_points", "rename_for_display", "empty_frame",
 ]

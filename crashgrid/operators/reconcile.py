@@ -35,9 +35,20 @@ def metric_table(df: DataFrame, normalized_road_users: bool) -> DataFrame:
 
 
 def reconcile_paths(cleaned: DataFrame, prepared: DataFrame) -> DataFrame:
-    """Full outer join of both metric tables on (metric, key) with the difference."""
-    raw = metric_table(cleaned, normalized_road_users=False).withColumnRenamed("value", "raw_value")
-    prep = metric_table(prepared, normalized_road_users=True).withColumnRenamed("value", "prepared_value")
+    """Full outer join of both metric tables on (metric, key).
+
+    Each side reports whether it has the metric (in_raw / in_prepared) and its
+    value (0 when absent); difference = prepared - raw.
+    """
+    raw = metric_table(cleaned, normalized_road_users=False) \
+        .select("metric", "key", F.col("value").alias("raw_value"), F.lit(True).alias("in_raw"))
+    prep = metric_table(prepared, normalized_road_users=True) \
+        .select("metric", "key", F.col("value").alias("prepared_value"), F.lit(True).alias("in_prepared"))
     joined = raw.join(prep, on=["metric", "key"], how="full")
-    diff = F.coalesce(F.col("prepared_value"), F.lit(0)) - F.coalesce(F.col("raw_value"), F.lit(0))
-    return joined.withColumn("difference", diff.cast("bigint")).orderBy("metric", "key")
+    raw_v = F.coalesce(F.col("raw_value"), F.lit(0)).cast("bigint")
+    prep_v = F.coalesce(F.col("prepared_value"), F.lit(0)).cast("bigint")
+    return (joined.select("metric", "key",
+                          F.coalesce("in_raw", F.lit(False)).alias("in_raw"), raw_v.alias("raw_value"),
+                          F.coalesce("in_prepared", F.lit(False)).alias("in_prepared"),
+                          prep_v.alias("prepared_value"), (prep_v - raw_v).alias("difference"))
+            .orderBy("metric", "key"))

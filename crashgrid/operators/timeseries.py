@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType, TimestampNTZType
 
 from ..schema import FORECAST_MIN_DAYS, require_columns
 from ._util import empty_frame
@@ -133,7 +133,7 @@ def forecast_collision_trend(trend: DataFrame, horizon_days: int = 30, keys: Seq
                           keys=group_keys, date_col=date_col, value_col=value_col, observed_col="_observed")
     key_fields = [base.schema[k] for k in group_keys]
     schema = StructType([StructField(f.name, f.dataType, True) for f in key_fields] + [
-        StructField(date_col, DateType(), True),
+        StructField(date_col, TimestampNTZType(), True),
         StructField(value_col, DoubleType(), True),
         StructField("series_type", StringType(), True),
     ])
@@ -149,7 +149,7 @@ def forecast_collision_trend(trend: DataFrame, horizon_days: int = 30, keys: Seq
             return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
         last = pd.Timestamp(pdf[date_col].iloc[-1])
         out = {k: [pdf[k].iloc[0]] * horizon for k in group_keys}
-        out[date_col] = [(last + pd.Timedelta(days=h)).date() for h in range(1, horizon + 1)]
+        out[date_col] = [last + pd.Timedelta(days=h) for h in range(1, horizon + 1)]
         out[value_col] = values
         out["series_type"] = ["Forecast"] * horizon
         return pd.DataFrame(out)

@@ -62,14 +62,14 @@ flagged AS (
 cleaned AS (SELECT * FROM flagged WHERE HAS_VALID_COORDINATES),
 prepared AS (
   SELECT EVENT_UNIQUE_ID, OCC_DATE,
-    TRY_CAST(trunc(OCC_YEAR) AS INTEGER) AS OCC_YEAR, TRY_CAST(trunc(OCC_HOUR) AS INTEGER) AS OCC_HOUR,
+    OCC_YEAR, OCC_HOUR,
     OCC_DOW, {strip("DIVISION")} AS DIVISION, FATALITIES,
     {flag("INJURY_COLLISIONS")} AS INJURY_COLLISIONS, {flag("PD_COLLISIONS")} AS PD_COLLISIONS,
     {strip("NEIGHBOURHOOD_158")} AS NEIGHBOURHOOD_158, LONG_WGS84, LAT_WGS84, AUTOMOBILE,
     {flag("MOTORCYCLE")} AS MOTORCYCLE, {flag("BICYCLE")} AS BICYCLE, {flag("PEDESTRIAN")} AS PEDESTRIAN,
     HAS_VALID_COORDINATES, HAS_VALID_NEIGHBOURHOOD,
-    strftime(OCC_DATE, '%Y-%m-%d') AS OCC_DATE_STR, CAST(year(OCC_DATE) AS INTEGER) AS YEAR,
-    CAST(month(OCC_DATE) AS INTEGER) AS MONTH, CAST(day(OCC_DATE) AS INTEGER) AS DAY,
+    strftime(OCC_DATE, '%Y-%m-%d') AS OCC_DATE_STR, CAST(year(OCC_DATE) AS DOUBLE) AS YEAR,
+    CAST(month(OCC_DATE) AS DOUBLE) AS MONTH, CAST(day(OCC_DATE) AS DOUBLE) AS DAY,
     coalesce({num("FATALITIES")}, 0) > 0 AS HAS_FATALITY,
     CASE WHEN coalesce({num("FATALITIES")}, 0) > 0 THEN 'Fatal'
          WHEN {flag("INJURY_COLLISIONS")} = 'YES' THEN 'Injury'
@@ -163,13 +163,13 @@ def _month_name(x: str) -> str:
 
 
 def _trend_severity(table: str) -> str:
-    return (f"SELECT CAST(OCC_DATE AS DATE) AS date, severity_class AS severity_type, count(*) AS value "
+    return (f"SELECT date_trunc('day', OCC_DATE) AS date, severity_class AS severity_type, count(*) AS value "
             f"FROM {table} WHERE OCC_DATE IS NOT NULL AND severity_class IN ('Fatal', 'Injury', 'Property Damage') "
             f"GROUP BY 1, 2")
 
 
 def _trend_total(table: str) -> str:
-    return f"SELECT CAST(OCC_DATE AS DATE) AS date, count(*) AS value FROM {table} WHERE OCC_DATE IS NOT NULL GROUP BY 1"
+    return f"SELECT date_trunc('day', OCC_DATE) AS date, count(*) AS value FROM {table} WHERE OCC_DATE IS NOT NULL GROUP BY 1"
 
 
 def _peak(table: str) -> str:
@@ -306,7 +306,7 @@ INCIDENT_SQL = {
         CAST(count_if(MOTORCYCLE = 'YES') AS BIGINT) AS motorcycle FROM prepared""",
     "peak_hour": _peak("prepared"),
     "distinct_options": """SELECT DISTINCT option, value FROM (
-        SELECT 'year' AS option, CAST(YEAR AS VARCHAR) AS value FROM prepared
+        SELECT 'year' AS option, CAST(CAST(YEAR AS BIGINT) AS VARCHAR) AS value FROM prepared
         UNION ALL SELECT 'division', DIVISION FROM prepared
         UNION ALL SELECT 'neighbourhood', NEIGHBOURHOOD_158 FROM prepared) WHERE value IS NOT NULL""",
     "map_viewport": """SELECT round(avg(LAT_WGS84), 9) AS center_lat, round(avg(LONG_WGS84), 9) AS center_lon,
@@ -342,14 +342,15 @@ INCIDENT_SQL = {
     "distinct_values": "SELECT DISTINCT DIVISION FROM prepared WHERE DIVISION IS NOT NULL",
     # --- time series
     "densify_daily": f"""SELECT g.date AS date, CAST(coalesce(t.value, 0) AS BIGINT) AS value
-        FROM (SELECT CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP),
-                     INTERVAL 1 DAY)) AS DATE) AS date FROM ({_trend_total("prepared")})) g
+        FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS date
+              FROM ({_trend_total("prepared")})) g
         LEFT JOIN ({_trend_total("prepared")}) t ON g.date = t.date""",
     "forecast_guard": f"""SELECT severity_type, count(date) AS observed_days, count(date) >= 30 AS enough_data,
         count(date) < 30 AS horizon_exceeds_data FROM ({_trend_severity("prepared")}) GROUP BY severity_type""",
     # --- reconcile
     "reconcile_paths": f"""SELECT coalesce(r.metric, p.metric) AS metric, coalesce(r.key, p.key) AS key,
-        r.value AS raw_value, p.value AS prepared_value,
+        r.value IS NOT NULL AS in_raw, CAST(coalesce(r.value, 0) AS BIGINT) AS raw_value,
+        p.value IS NOT NULL AS in_prepared, CAST(coalesce(p.value, 0) AS BIGINT) AS prepared_value,
         CAST(coalesce(p.value, 0) - coalesce(r.value, 0) AS BIGINT) AS difference
         FROM ({_metrics("cleaned", False)}) r FULL OUTER JOIN ({_metrics("prepared", True)}) p
         ON r.metric = p.metric AND r.key = p.key""",
@@ -362,7 +363,7 @@ ACTIVITY_SQL = {
     "export_summary": "SELECT * FROM summary",
     "resolve_alias": "SELECT commit_id, member_id, member FROM resolved",
     "commits_by_member": "SELECT * FROM commit_member",
-    "commits_per_day": "SELECT CAST(day AS DATE) AS day, count(*) AS commits FROM resolved GROUP BY 1",
+    "commits_per_day": "SELECT CAST(CAST(day AS DATE) AS TIMESTAMP) AS day, count(*) AS commits FROM resolved GROUP BY 1",
     "prs_by_author": "SELECT login, prs FROM pr_login",
     "roster_zero_fill": "SELECT m.member_id, m.member, CAST(coalesce(p.prs, 0) AS BIGINT) AS prs FROM members m "
                         "FULL OUTER JOIN pr_member p ON m.member_id = p.member_id AND m.member = p.member",
