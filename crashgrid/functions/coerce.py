@@ -33,12 +33,17 @@ def to_int(c) -> Column:
 
 
 def to_timestamp_any(c, dtype=None, formats=TIMESTAMP_FORMATS) -> Column:
-    """Text -> timestamp_ntz trying each layout in order; no match -> null."""
+    """Text -> timestamp_ntz trying each layout in order; no match -> null.
+
+    A failed parse is costly (the parser signals it with an exception), so
+    each layout is only tried on text of its shape, checked by a regex first.
+    """
     c = col(c)
     if isinstance(dtype, (TimestampType, TimestampNTZType, DateType)):
         return c.cast("timestamp_ntz")
     text = strip(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    parsed = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))) for fmt, shape in formats]
+    return F.coalesce(*parsed).cast("timestamp_ntz")
 
 
 def round_half_even(c, digits: int = 3) -> Column:

@@ -113,37 +113,42 @@ def fold_numstat(log: DataFrame, chunk_lines: int = 1 << 20) -> DataFrame:
     non-blank line (and the first line of a repo) is an author line starting
     a commit. Non-digit insertions/deletions (binary files) count as 0.
 
-    Attaching each stat to its author is a forward fill. To keep it parallel
+    Attaching each stat to its author is a forward fill. To stay parallel
     even when one repo holds most lines, lines are cut into fixed chunks of
-    ``chunk_lines``: the fill runs inside each (repo, chunk) window, and the
-    last author line of earlier chunks comes from a small per-chunk summary.
+    ``chunk_lines``. One aggregate summarises every (repo, chunk): its first
+    line and its last non-stat line. A window over that small summary gives
+    each chunk the repo's first line and the author carried in from earlier
+    chunks; the fill itself then runs inside each (repo, chunk) window, so no
+    task ever holds more than one chunk.
     """
     require_columns(log, ["repo", "line_no", "txt"])
-    lines = (log.select("repo", "line_no", strip("txt").alias("line"))
-             .filter(F.col("line").isNotNull() & (F.col("line") != "")))
-    first = lines.groupBy("repo").agg(F.min("line_no").alias("_first"))
     parts = F.split(F.col("line"), "\t")
-    lines = (lines.join(first, on="repo")
-             .withColumns({
-                 "_parts": parts,
-                 "_chunk": F.floor(F.col("line_no") / F.lit(int(chunk_lines))),
-             })
-             .withColumn("_header", (F.size("_parts") != 3) | (F.col("line_no") == F.col("_first"))))
-    header_mark = F.when(F.col("_header"), F.struct(F.col("line_no").alias("n"), F.col("line").alias("author")))
-
+    lines = (log.select("repo", "line_no", strip("txt").alias("line"))
+             .filter(F.col("line").isNotNull() & (F.col("line") != ""))
+             .withColumns({"_parts": parts, "_chunk": F.floor(F.col("line_no") / F.lit(int(chunk_lines)))})
+             .withColumn("_stat", F.size("_parts") == 3))
+    entry = F.struct(F.col("line_no").alias("n"), F.col("line").alias("author"))
+
+    summary = lines.groupBy("repo", "_chunk").agg(
+        F.min(entry).alias("_first"),
+        F.max(F.when(~F.col("_stat"), entry)).alias("_last_text"))
+    whole_repo = Window.partitionBy("repo")
+    before = Window.partitionBy("repo").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    repo_first = F.min("_first").over(whole_repo)
+    # the chunk's last author line: its last non-stat line, or the repo's first line if that is later
+    last_author = F.greatest(F.col("_last_text"),
+                             F.when(F.col("_first.n") == F.col("_repo_first.n"), F.col("_first")))
+    chunks = (summary.withColumn("_repo_first", repo_first)
+              .withColumn("_last_author", last_author)
+              .select("repo", "_chunk", F.col("_repo_first.n").alias("_first_line"),
+                      F.last("_last_author", ignorenulls=True).over(before).alias("_carry")))
+
+    marked = (lines.join(chunks, ["repo", "_chunk"], "inner")
+              .withColumn("_header", ~F.col("_stat") | (F.col("line_no") == F.col("_first_line"))))
     in_chunk = Window.partitionBy("repo", "_chunk").orderBy("line_no") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = lines.withColumn("_own", F.last(header_mark, ignorenulls=True).over(in_chunk))
-
-    chunk_last = (lines.filter("_header").groupBy("repo", "_chunk")
-                  .agg(F.max_by(F.col("line"), F.col("line_no")).alias("_last_author")))
-    chunks = lines.select("repo", "_chunk").distinct().join(chunk_last, ["repo", "_chunk"], "left")
-    before = Window.partitionBy("repo").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = chunks.select("repo", "_chunk",
-                          F.last("_last_author", ignorenulls=True).over(before).alias("_carry"))
-
-    attributed = (filled.join(carry, ["repo", "_chunk"], "left")
-                  .withColumn("author", F.coalesce(F.col("_own.author"), F.col("_carry"))))
+    own = F.last(F.when(F.col("_header"), F.col("line")), ignorenulls=True).over(in_chunk)
+    attributed = marked.withColumn("author", F.coalesce(own, F.col("_carry.author")))
 
     def digits(i):
         p = F.get(F.col("_parts"), i)

@@ -52,7 +52,8 @@ def quality_flags(df: DataFrame) -> DataFrame:
     """HAS_VALID_COORDINATES (both present, both non-zero), HAS_VALID_NEIGHBOURHOOD."""
     require_columns(df, ["LAT_WGS84", "LONG_WGS84", "NEIGHBOURHOOD_158"])
     lat, lon = F.col("LAT_WGS84"), F.col("LONG_WGS84")
-    valid = F.coalesce(lat.isNotNull() & lon.isNotNull() & (lat != 0) & (lon != 0), F.lit(False))
+    # a missing coordinate makes the comparison null, which coalesce turns into False
+    valid = F.coalesce((lat != 0) & (lon != 0), F.lit(False))
     return df.withColumns({
         "HAS_VALID_COORDINATES": valid,
         "HAS_VALID_NEIGHBOURHOOD": F.col("NEIGHBOURHOOD_158").isNotNull(),

@@ -1,37 +1,78 @@
-"""The same metrics from the raw-clean path and the prepared path, side by side."""
+"""The same metrics from the raw-clean path and the prepared path, side by side.
+
+Each path's metrics come from one linear plan: every row emits weighted
+(metric, key) entries, a single aggregate sums them (partial sums are
+combined in each task before the shuffle), and window functions over the
+small aggregated table pick the peak hour and the top neighbourhoods. No
+branch of the plan re-reads a path, so each input is scanned once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import (collision_severity_analysis, collisions_by_hour, collisions_by_neighbourhood,
-                         peak_hour, road_user_analysis, road_user_summary_normalized, row_count)
-
-
-def metric_table(df: DataFrame, normalized_road_users: bool) -> DataFrame:
-    """Long (metric, key, value) table of the validation metrics of one path."""
-    hour_key = F.col("OCC_HOUR").try_cast("bigint").cast("string")
-    road = road_user_summary_normalized(df) if normalized_road_users else road_user_analysis(df)
-    parts = [
-        row_count(df).select(F.lit("row_count").alias("metric"), F.lit("").alias("key"),
-                             F.col("row_count").alias("value")),
-        peak_hour(df).select(F.lit("peak_hour").alias("metric"), F.col("peak_hour").alias("key"),
-                             F.lit(1).cast("bigint").alias("value")),
-        collisions_by_hour(df).select(F.lit("by_hour").alias("metric"), hour_key.alias("key"),
-                                      F.col("collision_count").alias("value")),
-        collisions_by_neighbourhood(df, top_n=10).select(
-            F.lit("top_neighbourhood").alias("metric"), F.col("NEIGHBOURHOOD_158").alias("key"),
-            F.col("collision_count").alias("value")),
-        collision_severity_analysis(df).select(F.lit("severity").alias("metric"),
-                                               F.col("severity_type").alias("key"), F.col("value")),
-        road.select(F.lit("road_user").alias("metric"), F.col("road_user_type").alias("key"),
-                    F.col("collision_count").alias("value")),
+from ..functions.text import norm_flag
+from ..schema import ROAD_USERS, SEVERITY_CLASSES
+
+
+def _entry(metric, key, weight):
+    return F.struct(F.lit(metric).alias("metric"), key.cast("string").alias("key"),
+                    weight.cast("bigint").alias("w"))
+
+
+def metric_table(df: DataFrame, normalized_road_users: bool, top_n: int = 10) -> DataFrame:
+    """Long (metric, key, value) table of the validation metrics of one path.
+
+    Metrics follow the single-analysis operators: row_count (A17), by_hour
+    and peak_hour (A1, A14; 'N/A' without hours), top_neighbourhood (A2,
+    count desc then name), severity (A4, only when severity_class exists),
+    road_user (A7 exact 'YES', or A8 after normalising). A path without rows
+    reports no metrics.
+    """
+    hour = F.col("OCC_HOUR").try_cast("bigint")
+    one = F.lit(1)
+    entries = [
+        _entry("row_count", F.lit(""), one),
+        F.when(hour.isNotNull(), _entry("by_hour", hour, one)),
+        F.when(F.col("NEIGHBOURHOOD_158").isNotNull(), _entry("neighbourhood", F.col("NEIGHBOURHOOD_158"), one)),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("metric", "key", F.col("value").cast("bigint").alias("value"))
+    if "severity_class" in df.columns:
+        entries += [_entry("severity", F.lit(c), F.coalesce((F.col("severity_class") == c).cast("int"), F.lit(0)))
+                    for c in SEVERITY_CLASSES]
+    for label, column in ROAD_USERS:
+        if column in df.columns:
+            value = norm_flag(column) if normalized_road_users else F.col(column)
+            hit = F.coalesce((value == "YES").cast("int"), F.lit(0))
+        else:
+            hit = F.lit(0)
+        entries.append(_entry("road_user", F.lit(label), hit))
+
+    counts = (df.select(F.explode(F.array(*entries)).alias("e"))
+              .filter(F.col("e").isNotNull())
+              .groupBy("e.metric", "e.key").agg(F.sum("e.w").alias("value")))
+
+    by_rank = Window.partitionBy("metric").orderBy(
+        F.desc("value"), F.col("key").try_cast("bigint").asc_nulls_last(), F.asc("key"))
+    everything = Window.partitionBy()   # over the aggregated table only (one row per metric key)
+    ranked = counts.withColumns({
+        "_rank": F.row_number().over(by_rank),
+        "_has_hour": F.max((F.col("metric") == "by_hour").cast("int")).over(everything),
+    })
+    peak = F.when((F.col("metric") == "by_hour") & (F.col("_rank") == 1),
+                  F.struct(F.lit("peak_hour").alias("metric"),
+                           F.format_string("%02d:00", F.col("key").cast("int")).alias("key"),
+                           F.lit(1).cast("bigint").alias("value"))) \
+        .when((F.col("metric") == "row_count") & (F.col("_has_hour") == 0),
+              F.struct(F.lit("peak_hour").alias("metric"), F.lit("N/A").alias("key"),
+                       F.lit(1).cast("bigint").alias("value")))
+    own = F.when((F.col("metric") != "neighbourhood") | (F.col("_rank") <= int(top_n)),
+                 F.struct(F.when(F.col("metric") == "neighbourhood", F.lit("top_neighbourhood"))
+                          .otherwise(F.col("metric")).alias("metric"),
+                          F.col("key"), F.col("value").cast("bigint").alias("value")))
+    return (ranked.select(F.explode(F.array(own, peak)).alias("r"))
+            .filter(F.col("r").isNotNull())
+            .select("r.metric", "r.key", "r.value"))
 
 
 def reconcile_paths(cleaned: DataFrame, prepared: DataFrame) -> DataFrame:

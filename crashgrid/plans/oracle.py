@@ -13,6 +13,7 @@ from ..schema import (HEATMAP_CLASSES, MONTH_NAMES, PLACEHOLDER_NEIGHBOURHOODS,
 from ..sources.fixtures import fixture_sql
 
 WS = "(' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
+# The same layouts as schema.TIMESTAMP_FORMATS, in DuckDB's notation.
 DUCK_TS_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%m/%d/%Y %I:%M:%S %p", "%m/%d/%Y"]
 
 

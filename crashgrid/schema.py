@@ -77,13 +77,15 @@ CSV_NULL_TOKENS = [
     "nan", "null",
 ]
 
-# Timestamp layouts tried in order when coercing OCC_DATE (Spark patterns).
+# Timestamp layouts tried in order when coercing OCC_DATE (Spark patterns),
+# each with the text shape it can possibly parse. The shapes do not overlap,
+# so at most one parse is attempted per value.
 TIMESTAMP_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "M/d/yyyy h:mm:ss a",
-    "M/d/yyyy",
+    ("yyyy-MM-dd HH:mm:ss", r"^[0-9]+-[0-9]+-[0-9]+ [0-9]+:[0-9]+:[0-9]+$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^[0-9]+-[0-9]+-[0-9]+T[0-9]+:[0-9]+:[0-9]+$"),
+    ("yyyy-MM-dd", r"^[0-9]+-[0-9]+-[0-9]+$"),
+    ("M/d/yyyy h:mm:ss a", r"^[0-9]+/[0-9]+/[0-9]+ [0-9]+:[0-9]+:[0-9]+ [AaPp][Mm]$"),
+    ("M/d/yyyy", r"^[0-9]+/[0-9]+/[0-9]+$"),
 ]
 
 # --- end of fixed values ----------------------------------------------------
