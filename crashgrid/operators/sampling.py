@@ -39,27 +39,50 @@ def preview(df: DataFrame, n: int = 5, order_by: Sequence | None = None) -> Data
     return (df.orderBy(*order_by) if order_by else df).limit(int(n))
 
 
+def _hash_order(seed: int, id_col: str):
+    """Seeded md5 of the row id (hex text) and the same hash as a uniform number in [0, 1)."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    unit = F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
+    return h, unit
+
+
 def capped_sample(df: DataFrame, cap: int = MAP_ROW_CAP, seed: int = MAP_SAMPLE_SEED,
-                  protected_class: str = "Fatal", id_col: str = "EVENT_UNIQUE_ID") -> DataFrame:
+                  protected_class: str = "Fatal", id_col: str = "EVENT_UNIQUE_ID",
+                  margin_sigmas: float = 6.0) -> DataFrame:
     """K5: at most ``cap`` rows for display, never dropping a protected row.
 
     Every row of ``protected_class`` is kept; the others fill the remaining
     ``max(cap - protected, 0)`` places. Which others are kept is fixed by a
-    seeded hash order on the row id (md5 of "seed:id"), so the sample is
-    reproducible, identical in any engine with md5, and survives task
-    retries. When the input has no more than ``cap`` rows, all are kept.
-
-    Plan: one scalar count of protected rows; a per-task top-``cap`` on the
-    hash (TakeOrderedAndProject) so at most ``cap`` candidates per task reach
-    the single-task ranking; then a filter against the remaining places.
+    seeded hash order on the row id (md5 of "seed:id", ties by id), so the
+    sample is reproducible, identical in any engine with md5, and survives
+    task retries. When the input has no more than ``cap`` rows, all are kept.
+
+    Scale: a plain ``orderBy(hash).limit(cap)`` would send ``cap`` rows from
+    every input partition to one task. Instead, since the hash is uniform,
+    only rows whose hash lies below a threshold sized for the open places
+    plus a ``margin_sigmas`` binomial margin are candidates (a parallel
+    filter); the exact first places are then taken among those few rows.
+    If the candidates ever fall short, the filter admits every row, so the
+    result is exact in all cases. Counts are scalar subqueries; the plan
+    stays lazy.
     """
     require_columns(df, ["severity_class", id_col])
     is_protected = F.coalesce(F.col("severity_class") == F.lit(protected_class), F.lit(False))
     protected = df.filter(is_protected)
     others = df.filter(~is_protected)
-    places = F.greatest(F.lit(int(cap)) - protected.select(F.count(F.lit(1))).scalar(), F.lit(0))
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    candidates = others.withColumn("_sample_hash", h).orderBy("_sample_hash", id_col).limit(int(cap))
+    h, unit = _hash_order(seed, id_col)
+
+    counts = df.select(F.struct(F.count_if(is_protected).alias("p"),
+                                F.count_if(~is_protected).alias("o"))).scalar()
+    n_protected, n_others = counts.getField("p"), counts.getField("o")
+    places = F.greatest(F.lit(int(cap)) - n_protected, F.lit(0))
+    want = places + F.lit(float(margin_sigmas)) * F.sqrt(places) + F.lit(16.0)
+    threshold = F.when(n_others > 0, F.least(F.lit(1.0), want / n_others)).otherwise(F.lit(1.0))
+    below = unit < threshold
+    n_below = others.filter(below).select(F.count(F.lit(1))).scalar()
+    pool = others.filter(below | (n_below < places))
+
+    candidates = pool.withColumn("_sample_hash", h).orderBy("_sample_hash", id_col).limit(int(cap))
     ranked = candidates.withColumn(
         "_sample_rank", F.row_number().over(Window.orderBy("_sample_hash", id_col)))
     kept = ranked.filter(F.col("_sample_rank") <= places).drop("_sample_hash", "_sample_rank")

@@ -8,18 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 def write_prepared(df: DataFrame, path: str, partition_by: str | None = "YEAR") -> str:
     """Write the prepared table; returns ``path``.
 
-    Partitioned by year so year filters prune whole folders, and sorted by
-    date inside each task so row-group statistics let recent-window filters
-    skip row groups. No repartition: each task writes its own files, so a
-    hot year never funnels through one task.
+    Partitioned by year so year filters prune whole folders. There is no
+    repartition by year: after the dedupe shuffle rows are hash-spread over
+    tasks, so every task writes one file per year it holds. Years are few,
+    so files stay large, and a hot year is written by all tasks at once
+    instead of one (a repartition by year would add a full shuffle and
+    funnel each year into one task). Inside each file rows are sorted by
+    date, so row-group statistics let recent-window filters skip row groups.
     """
-    writer_df = df
     if partition_by and partition_by in df.columns:
-        writer_df = df.sortWithinPartitions(partition_by, "OCC_DATE") if "OCC_DATE" in df.columns \
-            else df.sortWithinPartitions(partition_by)
-        writer_df.write.mode("overwrite").partitionBy(partition_by).parquet(path)
+        order = [partition_by] + (["OCC_DATE"] if "OCC_DATE" in df.columns else [])
+        (df.sortWithinPartitions(*order)
+         .write.mode("overwrite").partitionBy(partition_by).parquet(path))
     else:
-        writer_df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path)
     return path
 
 
