@@ -339,6 +339,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "road_users_normalized": lambda s, d: A.road_user_summary_normalized(cleaned(s, d)),
     "road_users_truthy": lambda s, d: A.road_user_with_automobile(prepared(s, d)),
     "severity_trend": lambda s, d: A.severity_trend_over_time(prepared(s, d), "All Severities"),
+    "severity_trend_injury": lambda s, d: A.severity_trend_over_time(prepared(s, d), "Injury"),
     "total_trend": lambda s, d: A.total_collisions_trend_over_time(prepared(s, d)),
     "grid_clusters": lambda s, d: A.build_cluster_dataframe(points(s, d)),
     "kpis": lambda s, d: A.kpis(prepared(s, d)),

@@ -295,6 +295,7 @@ INCIDENT_SQL = {
     "road_users_truthy": _stack("prepared", [(n, f"{c} = 'YES'") for n, c in _ROAD3 + [("Automobile", "AUTOMOBILE")]],
                                 "road_user_type", "collision_count"),
     "severity_trend": _trend_severity("prepared"),
+    "severity_trend_injury": f"SELECT * FROM ({_trend_severity('prepared')}) WHERE severity_type = 'Injury'",
     "total_trend": _trend_total("prepared"),
     "grid_clusters": "SELECT lat_cluster AS LAT_WGS84, lon_cluster AS LONG_WGS84, severity_class, "
                      "count(*) AS collision_count FROM points GROUP BY 1, 2, 3",

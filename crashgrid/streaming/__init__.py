@@ -1,0 +1,7 @@
+"""Stream processing: intentionally empty.
+
+The analyses this engine reproduces are batch only: one raw file is
+prepared once, and every view re-queries the prepared Parquet dataset. There
+is no stream source, watermark, windowed state or late-data rule to carry
+over, so nothing is built here (see README, "Not built").
+"""
