@@ -196,16 +196,16 @@ def kpis(df: DataFrame) -> DataFrame:
     )
 
 
-def peak_hour(df: DataFrame) -> DataFrame:
+def peak_hour(df: DataFrame, empty_label: str = "N/A") -> DataFrame:
     """One row: the hour ranked first by A1 (peak_hour_value) and its 'HH:00' label.
 
-    'N/A' when there is no hour at all.
+    ``empty_label`` ('N/A' in reports, '-' on the dashboard) when there is no hour at all.
     """
     require_columns(df, ["OCC_HOUR"])
     counts = _count_by(df, "OCC_HOUR")
     hour = F.max_by(F.col("OCC_HOUR"), F.struct(F.col("collision_count"), -F.col("OCC_HOUR")))
     one = counts.agg(hour.alias("peak_hour_value"))
-    label = F.when(F.col("peak_hour_value").isNull(), F.lit("N/A")) \
+    label = F.when(F.col("peak_hour_value").isNull(), F.lit(empty_label)) \
         .otherwise(F.format_string("%02d:00", F.col("peak_hour_value").cast("int")))
     return one.select(F.col("peak_hour_value").cast("int").alias("peak_hour_value"), label.alias("peak_hour"))
 
@@ -229,6 +229,12 @@ def distinct_options(df: DataFrame) -> DataFrame:
     return out.dropna().distinct().orderBy("option", "value")
 
 
+def default_year(df: DataFrame) -> DataFrame:
+    """One row with the year preselected in a view: the latest year (null if none)."""
+    require_columns(df, ["YEAR"])
+    return df.agg(F.max(F.col("YEAR")).try_cast("bigint").alias("default_year"))
+
+
 def map_viewport(map_df: DataFrame) -> DataFrame:
     """Centre (mean lat/long), ranges, spread (larger range) and zoom band."""
     require_columns(map_df, ["LAT_WGS84", "LONG_WGS84"])

@@ -112,15 +112,30 @@ def q_scan_activity_log(spark, d):
     return SA.scan_activity_log(spark, path)
 
 
+def _pr_struct():
+    return F.struct("number", "title", "state", F.struct(F.col("login").alias("login")).alias("author"))
+
+
 def q_scan_pr_json(spark, d):
-    p = _prs(spark, d)
-    js = p.select(F.to_json(F.struct("number", "title", "state",
-                                     F.struct(F.col("login").alias("login")).alias("author"))).alias("value"))
+    js = _prs(spark, d).select(F.to_json(_pr_struct()).alias("value"))
     path = scratch_path(spark, "prs-json")
     js.write.mode("overwrite").text(path)
     return SA.scan_pr_json(spark, path)
 
 
+PRS_PER_DOCUMENT = 500
+
+
+def q_scan_pr_json_array(spark, d):
+    """PR lists as JSON array documents (at most 500 PRs each), one document per file."""
+    page = F.floor(F.col("number") / F.lit(PRS_PER_DOCUMENT))
+    arrays = (_prs(spark, d).groupBy(page.alias("page"))
+              .agg(F.to_json(F.collect_list(_pr_struct())).alias("value")))
+    path = scratch_path(spark, "prs-json-array")
+    arrays.write.mode("overwrite").partitionBy("page").text(path)
+    return SA.scan_pr_json(spark, path, json_array=True)
+
+
 # --- cleaning ---------------------------------------------------------------------
 
 def q_coerce_timestamp(spark, d):
@@ -298,6 +313,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_summary": q_export_summary,
     "scan_activity_log": q_scan_activity_log,
     "scan_pr_json": q_scan_pr_json,
+    "scan_pr_json_array": q_scan_pr_json_array,
     # cleaning
     "dedupe_rows": lambda s, d: C.dedupe_rows(raw(s, d)),
     "coerce_timestamp": q_coerce_timestamp,
@@ -345,6 +361,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kpis": lambda s, d: A.kpis(prepared(s, d)),
     "peak_hour": lambda s, d: A.peak_hour(prepared(s, d)),
     "distinct_options": lambda s, d: A.distinct_options(prepared(s, d)),
+    "default_year": lambda s, d: A.default_year(prepared(s, d)),
     "map_viewport": q_map_viewport,
     "row_count": lambda s, d: A.row_count(prepared(s, d)),
     # sort / limit / sample

@@ -311,6 +311,7 @@ INCIDENT_SQL = {
         SELECT 'year' AS option, CAST(CAST(YEAR AS BIGINT) AS VARCHAR) AS value FROM prepared
         UNION ALL SELECT 'division', DIVISION FROM prepared
         UNION ALL SELECT 'neighbourhood', NEIGHBOURHOOD_158 FROM prepared) WHERE value IS NOT NULL""",
+    "default_year": "SELECT CAST(max(YEAR) AS BIGINT) AS default_year FROM prepared",
     "map_viewport": """SELECT round(avg(LAT_WGS84), 9) AS center_lat, round(avg(LONG_WGS84), 9) AS center_lon,
         max(LAT_WGS84) - min(LAT_WGS84) AS lat_range, max(LONG_WGS84) - min(LONG_WGS84) AS lon_range,
         count(*) AS points,
@@ -362,6 +363,7 @@ ACTIVITY_SQL = {
     "scan_activity_log": f"SELECT {strip('author')} AS author, CAST(day AS VARCHAR) AS date, "
                          f"{strip('subject')} AS subject FROM commits",
     "scan_pr_json": "SELECT number, title, state, login FROM prs",
+    "scan_pr_json_array": "SELECT number, title, state, login FROM prs",
     "export_summary": "SELECT * FROM summary",
     "resolve_alias": "SELECT commit_id, member_id, member FROM resolved",
     "commits_by_member": "SELECT * FROM commit_member",

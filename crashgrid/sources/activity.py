@@ -40,5 +40,14 @@ def parse_pr_json(lines: DataFrame, column: str = "value") -> DataFrame:
                     F.col("_pr.state").alias("state"), F.col("_pr.author.login").alias("login")))
 
 
-def scan_pr_json(spark: SparkSession, path: str) -> DataFrame:
-    return parse_pr_json(spark.read.text(path))
+def scan_pr_json(spark: SparkSession, path: str, json_array: bool = False) -> DataFrame:
+    """S8 source: JSON lines (default) or files each holding one JSON array of PRs.
+
+    In array files every element is one PR; a malformed file yields no rows.
+    """
+    if not json_array:
+        return parse_pr_json(spark.read.text(path))
+    df = (spark.read.schema(PR_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED")
+          .json(path))
+    return (df.filter(F.col("number").isNotNull())
+            .select("number", "title", "state", F.col("author.login").alias("login")))

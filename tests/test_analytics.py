@@ -137,3 +137,10 @@ def test_map_viewport_zoom_band(spark):
     df = spark.createDataFrame([(43.70, -79.40), (43.72, -79.41)], "LAT_WGS84 double, LONG_WGS84 double")
     r = map_viewport(df).first()
     assert r["zoom"] == 15 and abs(r["center_lat"] - 43.71) < 1e-9
+
+
+def test_peak_hour_dashboard_label_and_default_year(spark):
+    from crashgrid.operators.aggregates import default_year
+    assert peak_hour(hours(spark, [None]), empty_label="-").first()["peak_hour"] == "-"
+    df = spark.createDataFrame([(2019.0,), (2024.0,), (None,)], "YEAR double")
+    assert default_year(df).first()["default_year"] == 2024

@@ -81,3 +81,14 @@ def test_parse_pr_json_drops_malformed(spark):
                                    ("{not json",)], "value string")
     rows = parse_pr_json(lines).collect()
     assert [(r["number"], r["state"], r["login"]) for r in rows] == [(1, "MERGED", "Bob")]
+
+
+def test_scan_pr_json_array_documents(spark, tmp_path):
+    from crashgrid.sources.activity import scan_pr_json
+    d = tmp_path / "prs"
+    d.mkdir()
+    (d / "a.json").write_text('[{"number": 1, "title": "a", "state": "OPEN", "author": {"login": "x"}},\n'
+                              ' {"number": 2, "title": "b", "state": "MERGED", "author": {"login": "y"}}]')
+    (d / "b.json").write_text('[{"number": 3, "title": "c", "state": "CLOSED", "author": {"login": "z"}}]')
+    rows = scan_pr_json(spark, str(d), json_array=True).orderBy("number").collect()
+    assert [(r["number"], r["login"]) for r in rows] == [(1, "x"), (2, "y"), (3, "z")]
