@@ -45,15 +45,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     On a cluster this setting names shared storage and is used as is. Only
     when it is unset (local runs, tests) a private folder is created and
-    registered as the checkpoint dir.
+    registered as the SparkContext's checkpoint dir.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) \
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) \
+        or spark.sparkContext.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="crashgrid-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
+        root = spark.sparkContext.getCheckpointDir() or root
+    elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root
 
