@@ -26,6 +26,7 @@ from crashgrid.operators.reconcile import reconcile_paths  # noqa: E402
 from crashgrid.operators.cleaning import clean  # noqa: E402
 from crashgrid.operators.sampling import capped_sample  # noqa: E402
 from crashgrid.operators.timeseries import densify_daily, forecast_collision_trend  # noqa: E402
+from crashgrid.plans.dashboard import dashboard_view, release  # noqa: E402
 from crashgrid.plans.prepare import prepare_dataset  # noqa: E402
 from crashgrid.session import get_spark, scratch_path  # noqa: E402
 from crashgrid.sources.fixtures import fixture, raw_incidents  # noqa: E402
@@ -81,6 +82,17 @@ def main() -> None:
     run("capped_sample", lambda: capped_sample(points), action="noop")
     run("grid_clusters", lambda: A.build_cluster_dataframe(points), action="noop")
     run("map_viewport", lambda: A.map_viewport(points))
+    def full_view():
+        view = dashboard_view(prepared, DashboardParams(years=(1998,), recent_days=90, top_n=10,
+                                                        forecast_horizon=7))
+        try:
+            for name, df in view.items():
+                if name != "filtered":
+                    df.collect()
+        finally:
+            release(view)
+        return spark.range(1)
+    run("dashboard_view", full_view)
     run("reconcile_paths", lambda: reconcile_paths(clean(raw), prepared))
     run("fold_numstat", lambda: G.fold_numstat(numstat))
     run("contribution_summary", lambda: G.contribution_summary(numstat, prs, aliases))
