@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import round_half_even, to_number, to_timestamp_any
 from ..functions.text import norm_flag, strip
 from ..schema import FLAG_COLUMNS, MAP_COLUMNS, require_columns
-from ._util import dtype_of, empty_frame
+from ._util import dtype_of
 
 
 def normalize_flags(df: DataFrame, columns=FLAG_COLUMNS) -> DataFrame:
@@ -107,5 +107,5 @@ def rename_for_display(result: DataFrame, kind: str) -> DataFrame:
 
 __all__ = [
     "normalize_flags", "classify_severity", "calendar_parts", "fatality_flag", "grid_cell",
-    "trim_dims", "derive", "map_points", "rename_for_display", "empty_frame",
+    "trim_dims", "derive", "map_points", "rename_for_display",
 ]

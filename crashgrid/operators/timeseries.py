@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType, TimestampNTZType
 
 from ..schema import FORECAST_MIN_DAYS, require_columns
-from ._util import empty_frame
 
 
 def densify_daily(series: DataFrame, keys: Sequence[str] = (), date_col: str = "date",
@@ -187,4 +186,4 @@ def trend_overlay(severity_trend: DataFrame, total_trend: DataFrame | None = Non
 
 
 __all__ = ["densify_daily", "fit_holt", "holt_forecast", "forecast_collision_trend",
-           "forecast_guard", "trend_overlay", "empty_frame"]
+           "forecast_guard", "trend_overlay"]

@@ -12,14 +12,21 @@ from ..operators.sampling import capped_sample
 from ..operators.timeseries import forecast_collision_trend, forecast_guard, trend_overlay
 
 
-def dashboard_view(prepared: DataFrame, params: DashboardParams, persist: bool = True) -> dict[str, DataFrame]:
+def dashboard_view(prepared: DataFrame, params: DashboardParams,
+                   persist: bool | None = None) -> dict[str, DataFrame]:
     """Lazy results of one view.
 
-    The filtered rows feed a dozen analyses, so they are persisted
-    (memory, spilling to disk; a lost executor recomputes its blocks from
-    the Parquet scan). Call ``release(view)`` when done.
+    The filtered rows feed a dozen analyses. When the view is narrowed to
+    some years or a recent window (``persist=None``, the default) those rows
+    are a slice of the table and are persisted once (memory, spilling to
+    disk; a lost executor recomputes its blocks from the Parquet scan).
+    An unnarrowed view is not persisted: that would copy the whole wide
+    table, while every panel only reads its own columns from Parquet.
+    Call ``release(view)`` when done.
     """
     filtered = filter_chain(prepared, params)
+    if persist is None:
+        persist = bool(params.years) or params.recent_days is not None
     if persist:
         filtered = filtered.persist(StorageLevel.MEMORY_AND_DISK)
     points = map_points(filtered)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +43,3 @@ def load_dataset(spark: SparkSession, path: str, null_tokens=CSV_NULL_TOKENS) ->
         for n in df.columns
     ])
 
-
-def dataset_exists(path: str) -> bool:
-    return os.path.exists(path)

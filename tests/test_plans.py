@@ -49,3 +49,18 @@ def test_dashboard_view_computes_every_panel(spark):
             df.limit(1).collect()
     finally:
         release(view)
+
+
+def test_map_points_empty_without_coordinates(spark):
+    from crashgrid.operators.derive import map_points
+    df = spark.createDataFrame([("x",)], "severity_class string")
+    out = map_points(df)
+    assert out.columns == [] and out.count() == 0
+
+
+def test_dashboard_view_unnarrowed_is_not_persisted(spark):
+    prepared = prepare_frame(raw_incidents(spark, SF_SMALL))
+    view = dashboard_view(prepared, DashboardParams())
+    assert not view["filtered"].is_cached
+    assert view["kpis"].first()["total_collisions"] == prepared.count()
+    release(view)
