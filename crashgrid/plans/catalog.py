@@ -21,7 +21,7 @@ from ..operators import filters as FL
 from ..operators import sampling as K
 from ..operators import timeseries as T
 from ..operators.reconcile import reconcile_paths
-from ..plans.prepare import prepare_frame
+from ..plans.prepare import prepare_dataset, prepare_frame
 from ..schema import HEATMAP_CLASSES, POINT_DRAW_ORDER, REQUIRED_COLUMNS, SEVERITY_CLASSES, SEVERITY_OTHER
 from ..session import scratch_path
 from ..sources import activity as SA
@@ -73,6 +73,20 @@ def q_scan_csv(spark, d):
     return load_dataset(spark, path)
 
 
+def _raw_csv(spark, d):
+    return export_results(raw(spark, d), scratch_path(spark, "raw-csv"))
+
+
+def q_prepare_dataset(spark, d):
+    """P7 end to end: raw CSV in, prepared Parquet out, read back."""
+    return spark.read.parquet(prepare_dataset(spark, _raw_csv(spark, d), scratch_path(spark, "prepared")))
+
+
+def q_quality_report_csv(spark, d):
+    """C8 on rows as read from CSV (missing-value tokens already null)."""
+    return C.quality_report(load_dataset(spark, _raw_csv(spark, d)))
+
+
 def q_schema_contract(spark, d):
     df = raw(spark, d)
     validate_required_columns(df)
@@ -308,6 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_csv": q_scan_csv,
     "schema_contract": q_schema_contract,
     "write_prepared": q_write_prepared,
+    "prepare_dataset": q_prepare_dataset,
     "scan_prepared": q_scan_prepared,
     "export_csv": q_export_csv,
     "export_summary": q_export_summary,
@@ -323,6 +338,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drop_invalid_coords": q_drop_invalid_coords,
     "clean": cleaned,
     "quality_report": lambda s, d: C.quality_report(raw(s, d)),
+    "quality_report_csv": q_quality_report_csv,
     # derivations
     "normalize_flags": q_normalize_flags,
     "classify_severity": q_classify_severity,

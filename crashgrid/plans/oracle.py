@@ -48,6 +48,11 @@ MAP_COLS = ("EVENT_UNIQUE_ID, LAT_WGS84, LONG_WGS84, NEIGHBOURHOOD_158, OCC_HOUR
 
 INCIDENT_BASE = f"""
 WITH raw AS ({fixture_sql("raw_incidents")}),
+csv_raw AS (SELECT {", ".join(f"CASE WHEN {c} IN ({q(CSV_NULL_TOKENS)}) THEN NULL ELSE {c} END AS {c}"
+                             for c in ["EVENT_UNIQUE_ID", "OCC_DATE", "OCC_YEAR", "OCC_HOUR", "OCC_DOW",
+                                       "DIVISION", "FATALITIES", "INJURY_COLLISIONS", "PD_COLLISIONS",
+                                       "NEIGHBOURHOOD_158", "LONG_WGS84", "LAT_WGS84", "AUTOMOBILE",
+                                       "MOTORCYCLE", "BICYCLE", "PEDESTRIAN"])} FROM raw),
 typed AS (
   SELECT EVENT_UNIQUE_ID, {ts("OCC_DATE")} AS OCC_DATE, {num("OCC_YEAR")} AS OCC_YEAR,
     {num("OCC_HOUR")} AS OCC_HOUR, OCC_DOW, DIVISION, FATALITIES, INJURY_COLLISIONS, PD_COLLISIONS,
@@ -206,6 +211,19 @@ def _metrics(table: str, normalized: bool) -> str:
     return " UNION ALL ".join(f"SELECT metric, key, CAST(value AS BIGINT) AS value FROM ({p})" for p in parts)
 
 
+def _quality(table: str) -> str:
+    return f"""SELECT CAST(count(*) AS BIGINT) AS total_rows,
+        CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {table}) d) AS BIGINT) AS duplicate_rows,
+        CAST(count_if(OCC_DATE IS NULL) AS BIGINT) AS missing_occ_date,
+        CAST(count_if(OCC_HOUR IS NULL) AS BIGINT) AS missing_occ_hour,
+        CAST(count_if(lat = 0 OR lon = 0 OR lat IS NULL OR lon IS NULL) AS BIGINT) AS invalid_coordinates,
+        CAST(count_if(upper(coalesce(NEIGHBOURHOOD_158, '')) IN ({q(PLACEHOLDER_NEIGHBOURHOODS)})) AS BIGINT)
+          AS placeholder_neighbourhoods,
+        CAST(count_if(OCC_DATE IS NOT NULL AND parsed IS NULL) AS BIGINT) AS unparseable_occ_date
+      FROM (SELECT *, {num('LAT_WGS84')} AS lat, {num('LONG_WGS84')} AS lon, {ts('OCC_DATE')} AS parsed
+            FROM {table})"""
+
+
 _ROAD3 = [("Pedestrian", "PEDESTRIAN"), ("Bicycle", "BICYCLE"), ("Motorcycle", "MOTORCYCLE")]
 
 _TOKENS = q(CSV_NULL_TOKENS)
@@ -217,6 +235,7 @@ INCIDENT_SQL = {
         for c in REQUIRED_COLUMNS[:4] + ["OCC_DOW"] + REQUIRED_COLUMNS[4:]) + " FROM raw",
     "schema_contract": "SELECT " + ", ".join(REQUIRED_COLUMNS) + " FROM raw",
     "write_prepared": "SELECT * FROM prepared",
+    "prepare_dataset": "SELECT * FROM prepared",
     "scan_prepared": "SELECT * FROM prepared",
     "export_csv": _counts("prepared", "OCC_HOUR"),
     # --- cleaning
@@ -234,15 +253,8 @@ INCIDENT_SQL = {
       FROM (SELECT EVENT_UNIQUE_ID, {num('LAT_WGS84')} AS lat, {num('LONG_WGS84')} AS lon FROM raw)
       WHERE coalesce(lat IS NOT NULL AND lon IS NOT NULL AND lat <> 0 AND lon <> 0, false)""",
     "clean": "SELECT * FROM cleaned",
-    "quality_report": f"""SELECT CAST(count(*) AS BIGINT) AS total_rows,
-        CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM raw) d) AS BIGINT) AS duplicate_rows,
-        CAST(count_if(OCC_DATE IS NULL) AS BIGINT) AS missing_occ_date,
-        CAST(count_if(OCC_HOUR IS NULL) AS BIGINT) AS missing_occ_hour,
-        CAST(count_if(lat = 0 OR lon = 0 OR lat IS NULL OR lon IS NULL) AS BIGINT) AS invalid_coordinates,
-        CAST(count_if(upper(coalesce(NEIGHBOURHOOD_158, '')) IN ({q(PLACEHOLDER_NEIGHBOURHOODS)})) AS BIGINT)
-          AS placeholder_neighbourhoods,
-        CAST(count_if(OCC_DATE IS NOT NULL AND parsed IS NULL) AS BIGINT) AS unparseable_occ_date
-      FROM (SELECT *, {num('LAT_WGS84')} AS lat, {num('LONG_WGS84')} AS lon, {ts('OCC_DATE')} AS parsed FROM raw)""",
+    "quality_report": _quality("raw"),
+    "quality_report_csv": _quality("csv_raw"),
     # --- derivations
     "normalize_flags": "SELECT EVENT_UNIQUE_ID, INJURY_COLLISIONS, PD_COLLISIONS, PEDESTRIAN, BICYCLE, MOTORCYCLE "
                        "FROM prepared",
