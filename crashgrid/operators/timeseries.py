@@ -95,19 +95,26 @@ def _search(y: np.ndarray, alphas: np.ndarray, betas: np.ndarray):
             "level": level, "trend": trend}
 
 
-def fit_holt(y, grid: int = 21, refine: bool = True) -> dict:
-    """Smoothing weights on a grid (then a finer grid around the best cell),
-    each with its exactly optimal initial level and slope."""
+def fit_holt(y, grid: int = 21, levels: int = 3) -> dict:
+    """Smoothing weights by a zooming grid search, each grid point with its
+    exactly optimal initial level and slope.
+
+    Level 1 spans [0, 1] x [0, 1]; every further level re-grids one coarse
+    step around the best cell, so three levels of 21 x 21 reach a weight
+    resolution of 0.0005. A finer cell replaces the current best only when it
+    lowers the error.
+    """
     y = np.asarray(y, dtype=float)
-    coarse = np.linspace(0.0, 1.0, grid)
-    best = _search(y, coarse, coarse)
-    if refine:
-        step = 1.0 / (grid - 1)
-        fa = np.clip(np.linspace(best["alpha"] - step, best["alpha"] + step, grid), 0.0, 1.0)
-        fb = np.clip(np.linspace(best["beta"] - step, best["beta"] + step, grid), 0.0, 1.0)
-        fine = _search(y, np.unique(fa), np.unique(fb))
-        if round(fine["sse"], 6) <= round(best["sse"], 6):
-            best = fine
+    axis = np.linspace(0.0, 1.0, grid)
+    best = _search(y, axis, axis)
+    step = 1.0 / (grid - 1)
+    for _ in range(levels - 1):
+        fa = np.unique(np.clip(np.linspace(best["alpha"] - step, best["alpha"] + step, grid), 0.0, 1.0))
+        fb = np.unique(np.clip(np.linspace(best["beta"] - step, best["beta"] + step, grid), 0.0, 1.0))
+        finer = _search(y, fa, fb)
+        if round(finer["sse"], 6) <= round(best["sse"], 6):
+            best = finer
+        step = 2.0 * step / (grid - 1)
     return best
 
 
