@@ -78,11 +78,18 @@ def weekday_rank(c):
 
 
 def collisions_by_day_of_week(df: DataFrame) -> DataFrame:
-    """A5: (day_of_week, collision_count) in Monday..Sunday order; unknown labels last."""
+    """A5: (day_of_week, collision_count) in Monday..Sunday order.
+
+    Counts are per label; a label that is not a weekday name keeps its own
+    count but its day_of_week is null (it is not one of the ordered
+    categories), and such rows sort last.
+    """
     if "OCC_DOW" not in df.columns:
         return empty_frame(df, "day_of_week string, collision_count bigint")
-    counts = _count_by(df, "OCC_DOW").withColumnRenamed("OCC_DOW", "day_of_week")
-    return counts.orderBy(weekday_rank(F.col("day_of_week")).asc_nulls_last(), F.asc("day_of_week"))
+    counts = _count_by(df, "OCC_DOW")
+    rank = weekday_rank(F.col("OCC_DOW"))
+    return (counts.orderBy(rank.asc_nulls_last(), F.asc("OCC_DOW"))
+            .select(F.when(rank.isNotNull(), F.col("OCC_DOW")).alias("day_of_week"), "collision_count"))
 
 
 def month_name(c):

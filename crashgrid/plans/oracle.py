@@ -8,8 +8,8 @@ correctness gate; none of it runs on Spark.
 from __future__ import annotations
 
 from ..functions.coerce import NUMBER_PATTERN
-from ..schema import (HEATMAP_CLASSES, MONTH_NAMES, PLACEHOLDER_NEIGHBOURHOODS, POINT_DRAW_ORDER,
-                      REQUIRED_COLUMNS, CSV_NULL_TOKENS)
+from ..schema import (CSV_NULL_TOKENS, HEATMAP_CLASSES, MONTH_NAMES, PLACEHOLDER_NEIGHBOURHOODS,
+                      POINT_DRAW_ORDER, REQUIRED_COLUMNS, WEEKDAYS)
 from ..sources.fixtures import fixture_sql
 
 WS = "(' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
@@ -297,7 +297,8 @@ INCIDENT_SQL = {
     "severity_summary": _stack("prepared", [(c, f"severity_class = '{c}'")
                                             for c in ("Fatal", "Injury", "Property Damage")],
                                "severity_type", "value"),
-    "by_day_of_week": _counts("prepared", "OCC_DOW", "day_of_week"),
+    "by_day_of_week": f"""SELECT CASE WHEN OCC_DOW IN ({q(WEEKDAYS)}) THEN OCC_DOW END AS day_of_week,
+        count(*) AS collision_count FROM prepared WHERE OCC_DOW IS NOT NULL GROUP BY OCC_DOW""",
     "by_month": f"""SELECT month, count(*) AS collision_count, {_month_name("month")} AS month_name
         FROM (SELECT TRY_CAST(trunc(CAST(MONTH AS DOUBLE)) AS INTEGER) AS month FROM prepared)
         WHERE month IS NOT NULL GROUP BY month""",
