@@ -220,20 +220,21 @@ def peak_hour(df: DataFrame, empty_label: str = "N/A") -> DataFrame:
 def distinct_options(df: DataFrame) -> DataFrame:
     """Sorted distinct years, divisions, neighbourhoods as (option, value) rows.
 
-    The default year (the latest) is ``max`` over the ``year`` rows.
+    One scan: each row contributes one (option, value) entry per dimension,
+    and a single distinct aggregate (pre-combined in every task) keeps them.
+    The default year (the latest) is given by ``default_year``.
     """
-    parts = []
+    entries = []
     if "YEAR" in df.columns:
-        parts.append(df.select(F.lit("year").alias("option"), F.col("YEAR").try_cast("bigint").cast("string").alias("value")))
+        entries.append(("year", F.col("YEAR").try_cast("bigint").cast("string")))
     for option, column in (("division", "DIVISION"), ("neighbourhood", "NEIGHBOURHOOD_158")):
         if column in df.columns:
-            parts.append(df.select(F.lit(option).alias("option"), F.col(column).cast("string").alias("value")))
-    if not parts:
+            entries.append((option, F.col(column).cast("string")))
+    if not entries:
         return empty_frame(df, "option string, value string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.dropna().distinct().orderBy("option", "value")
+    structs = [F.struct(F.lit(o).alias("option"), v.alias("value")) for o, v in entries]
+    return (df.select(F.explode(F.array(*structs)).alias("e"))
+            .select("e.option", "e.value").dropna().distinct().orderBy("option", "value"))
 
 
 def default_year(df: DataFrame) -> DataFrame:
