@@ -51,3 +51,22 @@ def scan_pr_json(spark: SparkSession, path: str, json_array: bool = False) -> Da
           .json(path))
     return (df.filter(F.col("number").isNotNull())
             .select("number", "title", "state", F.col("author.login").alias("login")))
+
+
+def read_numstat_log(spark: SparkSession, path: str) -> DataFrame:
+    """Numstat logs as (repo, line_no, txt): one text file per repository.
+
+    The repository is the file path and ``line_no`` follows the line order
+    inside the file (ids increase with the file offset). Feed to
+    ``operators.activity.fold_numstat``.
+    """
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("repo"),
+        F.monotonically_increasing_id().alias("line_no"),
+        F.col("value").alias("txt"))
+
+
+def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """Roster CSV with a header: member_id, member, alias (one row per alias)."""
+    return (spark.read.option("header", True).schema("member_id bigint, member string, alias string")
+            .csv(path))

@@ -1,0 +1,37 @@
+from crashgrid.__main__ import main
+from crashgrid.session import scratch_path
+from crashgrid.sources.activity import read_numstat_log
+from crashgrid.operators.activity import fold_numstat
+from crashgrid.sources.export import export_results
+from crashgrid.sources.fixtures import raw_incidents
+from conftest import SF_SMALL
+
+
+def test_read_numstat_log_keeps_file_order(spark, tmp_path):
+    (tmp_path / "repo_a.log").write_text("ann\n3\t1\ta.py\n-\t-\tb.png\nbob\n2\t2\tc.py\n")
+    (tmp_path / "repo_b.log").write_text("5\t5\tfirst.py\nann\n1\t0\td.py\n")
+    stats = {r["name"]: (r["commits"], r["insertions"], r["deletions"], r["files_changed"])
+             for r in fold_numstat(read_numstat_log(spark, str(tmp_path))).collect()}
+    assert stats == {"ann": (2, 4, 1, 3), "bob": (1, 2, 2, 1), "5\t5\tfirst.py": (1, 0, 0, 0)}
+
+
+def test_cli_prepare_report_validate(spark, capsys):
+    csv_path = export_results(raw_incidents(spark, SF_SMALL), scratch_path(spark, "cli-raw"))
+    out = scratch_path(spark, "cli-prepared")
+    assert main(["prepare", csv_path, out], spark=spark) == 0
+    assert spark.read.parquet(out).count() > 0
+    assert main(["report", csv_path], spark=spark) == 0
+    assert main(["validate", csv_path, out], spark=spark) == 0
+    text = capsys.readouterr().out
+    assert "Prepared dataset written to" in text and "total_rows" in text and "top_neighbourhood" in text
+
+
+def test_cli_contributions(spark, tmp_path, capsys):
+    logs = tmp_path / "logs"; logs.mkdir()
+    (logs / "r1.log").write_text("Ann Lee\n4\t1\ta.py\n")
+    (tmp_path / "prs.json").write_text('{"number": 1, "title": "t", "state": "OPEN", "author": {"login": "annl"}}\n')
+    (tmp_path / "aliases.csv").write_text("member_id,member,alias\n1,Ann Lee,Ann Lee\n1,Ann Lee,annl\n2,Bo Ray,bo\n")
+    assert main(["contributions", "--numstat", str(logs), "--prs", str(tmp_path / "prs.json"),
+                 "--aliases", str(tmp_path / "aliases.csv")], spark=spark) == 0
+    text = capsys.readouterr().out
+    assert "Active contributor" in text and "No contributions yet" in text
