@@ -303,6 +303,11 @@ def q_densify_daily(spark, d):
     return T.densify_daily(A.total_collisions_trend_over_time(prepared(spark, d)))
 
 
+def q_densify_daily_by_severity(spark, d):
+    trend = A.severity_trend_over_time(prepared(spark, d))
+    return T.densify_daily(trend, keys=["severity_type"])
+
+
 def q_forecast_trend(spark, d):
     return T.forecast_collision_trend(A.total_collisions_trend_over_time(prepared(spark, d)), horizon_days=30)
 
@@ -392,6 +397,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "distinct_values": lambda s, d: K.distinct_values(prepared(s, d), "DIVISION"),
     # time series
     "densify_daily": q_densify_daily,
+    "densify_daily_by_severity": q_densify_daily_by_severity,
     "forecast_trend": q_forecast_trend,
     "forecast_guard": q_forecast_guard,
     # joins and activity log

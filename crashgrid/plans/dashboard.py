@@ -10,6 +10,7 @@ from ..operators.derive import map_points
 from ..operators.filters import DashboardParams, filter_chain
 from ..operators.sampling import capped_sample
 from ..operators.timeseries import forecast_collision_trend, forecast_guard, trend_overlay
+from ..sources.export import export_results
 
 
 def dashboard_view(prepared: DataFrame, params: DashboardParams,
@@ -55,5 +56,10 @@ def dashboard_view(prepared: DataFrame, params: DashboardParams,
     }
 
 
+def export_view(view: dict[str, DataFrame], path: str) -> str:
+    """Write the view's filtered rows as CSV (parallel; one folder of part files)."""
+    return export_results(view["filtered"], path)
+
+
 def release(view: dict[str, DataFrame]) -> None:
     view["filtered"].unpersist()

@@ -361,6 +361,10 @@ INCIDENT_SQL = {
         FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS date
               FROM ({_trend_total("prepared")})) g
         LEFT JOIN ({_trend_total("prepared")}) t ON g.date = t.date""",
+    "densify_daily_by_severity": f"""SELECT g.severity_type, g.date, CAST(coalesce(t.value, 0) AS BIGINT) AS value
+        FROM (SELECT severity_type, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS date
+              FROM ({_trend_severity("prepared")}) t0 GROUP BY severity_type) g
+        LEFT JOIN ({_trend_severity("prepared")}) t ON g.severity_type = t.severity_type AND g.date = t.date""",
     "forecast_guard": f"""SELECT severity_type, count(date) AS observed_days, count(date) >= 30 AS enough_data,
         count(date) < 30 AS horizon_exceeds_data FROM ({_trend_severity("prepared")}) GROUP BY severity_type""",
     # --- reconcile
