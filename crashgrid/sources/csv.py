@@ -14,7 +14,8 @@ def validate_required_columns(df: DataFrame, required=REQUIRED_COLUMNS) -> None:
     require_columns(df, required)
 
 
-def load_dataset(spark: SparkSession, path: str, null_tokens=CSV_NULL_TOKENS) -> DataFrame:
+def load_dataset(spark: SparkSession, path: str, null_tokens=CSV_NULL_TOKENS,
+                 multiline: bool = False) -> DataFrame:
     """Read a raw incident CSV (header row, every column as text).
 
     Raises ``FileNotFoundError("Dataset not found: ...")`` for a missing path
@@ -22,13 +23,15 @@ def load_dataset(spark: SparkSession, path: str, null_tokens=CSV_NULL_TOKENS) ->
     lacks a required column. Names come from the header (no schema is forced,
     which would bind columns by position) and, without type inference, every
     column is text. The usual missing-value tokens become nulls in one
-    projection.
+    projection. ``multiline`` accepts quoted values spanning lines; it is off
+    by default because a multi-line file cannot be split across tasks.
     """
     try:
         df = (spark.read
               .option("header", True)
               .option("inferSchema", False)
               .option("mode", "PERMISSIVE")
+              .option("multiLine", bool(multiline))
               .option("ignoreLeadingWhiteSpace", False)
               .option("ignoreTrailingWhiteSpace", False)
               .csv(path))

@@ -92,3 +92,10 @@ def test_scan_pr_json_array_documents(spark, tmp_path):
     (d / "b.json").write_text('[{"number": 3, "title": "c", "state": "CLOSED", "author": {"login": "z"}}]')
     rows = scan_pr_json(spark, str(d), json_array=True).orderBy("number").collect()
     assert [(r["number"], r["login"]) for r in rows] == [(1, "x"), (2, "y"), (3, "z")]
+
+
+def test_load_dataset_multiline_values(spark, tmp_path):
+    f = tmp_path / "ml.csv"
+    pd.DataFrame([dict(ROW, NEIGHBOURHOOD_158="Line one\nline two")]).to_csv(f, index=False)
+    df = load_dataset(spark, str(f), multiline=True)
+    assert df.count() == 1 and df.first()["NEIGHBOURHOOD_158"] == "Line one\nline two"
