@@ -35,6 +35,14 @@ from crashgrid.sources.export import export_results  # noqa: E402
 from crashgrid.sources.parquet import get_prepared_data  # noqa: E402
 
 
+def _scale_factor(sf_dir: str):
+    name = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -100,7 +108,7 @@ def main() -> None:
 
     total = round(sum(timings.values()), 3)
     print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec", "queries": timings,
-                      "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""), "cpus": cpus}))
+                      "sf": _scale_factor(sf_dir), "cpus": cpus}))
     spark.stop()
 
 
