@@ -1,4 +1,4 @@
-"""Reference SQL (DuckDB dialect) for every registered query.
+"""Oracle SQL (DuckDB dialect) for every registered query.
 
 Each text restates the query's semantics directly in SQL over the same
 shared tables, using the same fixture SQL as the Spark side. Used by the

@@ -5,7 +5,7 @@ from crashgrid.operators.activity import (alias_lookup, commit_types, contributi
 
 
 def brute_fold(lines):
-    """Plain sequential fold over (repo, line_no, txt), as a reference."""
+    """Plain sequential fold over (repo, line_no, txt), the baseline to compare with."""
     stats = defaultdict(lambda: [0, 0, 0, 0])
     by_repo = defaultdict(list)
     for repo, n, txt in lines:
