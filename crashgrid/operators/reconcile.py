@@ -3,7 +3,7 @@
 Each path's metrics come from one linear plan: every row emits weighted
 (metric, key) entries, a single aggregate sums them (partial sums are
 combined in each task before the shuffle), and window functions over the
-small aggregated table pick the peak hour and the top neighbourhoods. No
+aggregated table pick the peak hour and the top neighbourhoods. No
 branch of the plan re-reads a path, so each input is scanned once.
 """
 
@@ -52,10 +52,18 @@ def metric_table(df: DataFrame, normalized_road_users: bool, top_n: int = 10) ->
               .filter(F.col("e").isNotNull())
               .groupBy("e.metric", "e.key").agg(F.sum("e.w").alias("value")))
 
-    by_rank = Window.partitionBy("metric").orderBy(
-        F.desc("value"), F.col("key").try_cast("bigint").asc_nulls_last(), F.asc("key"))
-    everything = Window.partitionBy()   # over the aggregated table only (one row per metric key)
-    ranked = counts.withColumns({
+    order = [F.desc("value"), F.col("key").try_cast("bigint").asc_nulls_last(), F.asc("key")]
+    # Two-level top-N for neighbourhoods: the best N inside each of 64 key buckets (parallel),
+    # then the final rank over at most 64 * N rows, so no task sorts every distinct name.
+    bucket = F.pmod(F.xxhash64("key"), F.lit(64))
+    in_bucket = Window.partitionBy("metric", "_bucket").orderBy(*order)
+    reduced = (counts.withColumn("_bucket", bucket)
+               .withColumn("_r", F.row_number().over(in_bucket))
+               .filter((F.col("metric") != "neighbourhood") | (F.col("_r") <= int(top_n)))
+               .drop("_bucket", "_r"))
+    by_rank = Window.partitionBy("metric").orderBy(*order)
+    everything = Window.partitionBy()   # over the reduced table: hours, <= 64 * N names, fixed metrics
+    ranked = reduced.withColumns({
         "_rank": F.row_number().over(by_rank),
         "_has_hour": F.max((F.col("metric") == "by_hour").cast("int")).over(everything),
     })
