@@ -37,7 +37,7 @@ def dashboard_view(prepared: DataFrame, params: DashboardParams,
     return {
         "filtered": filtered,
         "kpis": A.kpis(filtered),
-        "peak_hour": A.peak_hour(filtered),
+        "peak_hour": A.peak_hour(filtered, empty_label="-"),
         "by_hour": A.collisions_by_hour(filtered),
         "by_neighbourhood": A.collisions_by_neighbourhood(filtered, params.top_n),
         "by_division": A.collisions_by_division(filtered, params.top_n),
