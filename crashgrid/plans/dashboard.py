@@ -34,6 +34,9 @@ def dashboard_view(prepared: DataFrame, params: DashboardParams,
     total = A.total_collisions_trend_over_time(filtered)
     severity = A.severity_trend_over_time(filtered, params.severity)
     forecast = forecast_collision_trend(total, params.forecast_horizon)
+    if persist:
+        # daily series and the forecast are small and feed several panels
+        total, severity, forecast = (d.persist(StorageLevel.MEMORY_AND_DISK) for d in (total, severity, forecast))
     return {
         "filtered": filtered,
         "kpis": A.kpis(filtered),
@@ -62,4 +65,7 @@ def export_view(view: dict[str, DataFrame], path: str) -> str:
 
 
 def release(view: dict[str, DataFrame]) -> None:
-    view["filtered"].unpersist()
+    """Drop every persisted frame of the view."""
+    for df in view.values():
+        if df.is_cached:
+            df.unpersist()
