@@ -79,12 +79,13 @@ CSV_NULL_TOKENS = [
 
 # Timestamp layouts tried in order when coercing OCC_DATE (Spark patterns),
 # each with the text shape it can possibly parse. The shapes do not overlap,
-# so at most one parse is attempted per value.
+# so at most one parse is attempted per value. Single-letter fields accept one
+# or two digits ("2017-5-2" as well as "2017-05-02").
 TIMESTAMP_FORMATS = [
-    ("yyyy-MM-dd HH:mm:ss", r"^[0-9]+-[0-9]+-[0-9]+ [0-9]+:[0-9]+:[0-9]+$"),
-    ("yyyy-MM-dd'T'HH:mm:ss", r"^[0-9]+-[0-9]+-[0-9]+T[0-9]+:[0-9]+:[0-9]+$"),
-    ("yyyy-MM-dd", r"^[0-9]+-[0-9]+-[0-9]+$"),
-    ("M/d/yyyy h:mm:ss a", r"^[0-9]+/[0-9]+/[0-9]+ [0-9]+:[0-9]+:[0-9]+ [AaPp][Mm]$"),
+    ("yyyy-M-d H:m:s", r"^[0-9]+-[0-9]+-[0-9]+ [0-9]+:[0-9]+:[0-9]+$"),
+    ("yyyy-M-d'T'H:m:s", r"^[0-9]+-[0-9]+-[0-9]+T[0-9]+:[0-9]+:[0-9]+$"),
+    ("yyyy-M-d", r"^[0-9]+-[0-9]+-[0-9]+$"),
+    ("M/d/yyyy h:m:s a", r"^[0-9]+/[0-9]+/[0-9]+ [0-9]+:[0-9]+:[0-9]+ [AaPp][Mm]$"),
     ("M/d/yyyy", r"^[0-9]+/[0-9]+/[0-9]+$"),
 ]
 
