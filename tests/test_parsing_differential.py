@@ -84,3 +84,24 @@ def test_half_even_rounding_matches_oracle(spark):
     con = duckdb.connect()
     want = [con.execute("SELECT round_even(? * 1000, 0) / 1000", [v]).fetchone()[0] for v in values]
     assert got == want
+
+
+TEXT_PIECES = ["", " ", "\t", "\n", "\r", "\x0b", "nsa", "NSA", "Unknown", "n/a", "N/A", "none", "NONE",
+               "Main St", "yes", "YES", "No", "N/R", "(7)"]
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_text_normalisation_matches_oracle(spark, seed):
+    from crashgrid.functions.text import norm_flag
+    from crashgrid.operators.cleaning import placeholder_to_null
+    from crashgrid.plans.oracle import flag, placeholder
+    rnd = random.Random(seed)
+    values = [None if rnd.random() < 0.05 else "".join(rnd.choice(TEXT_PIECES) for _ in range(rnd.randint(1, 3)))
+              for _ in range(400)]
+    got = [(r[0], r[1]) for r in spark.createDataFrame([(v,) for v in values], "x string")
+           .select(placeholder_to_null("x"), norm_flag("x")).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INTEGER, x VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(values)))
+    want = [(r[0], r[1]) for r in con.execute(f"SELECT {placeholder('x')}, {flag('x')} FROM t ORDER BY i").fetchall()]
+    assert got == want
