@@ -10,6 +10,7 @@ from ..operators.derive import map_points
 from ..operators.filters import DashboardParams, filter_chain
 from ..operators.sampling import capped_sample
 from ..operators.timeseries import forecast_collision_trend, forecast_guard, trend_overlay
+from .panels import count_panels
 from ..sources.export import export_results
 
 
@@ -37,17 +38,11 @@ def dashboard_view(prepared: DataFrame, params: DashboardParams,
     if persist:
         # daily series and the forecast are small and feed several panels
         total, severity, forecast = (d.persist(StorageLevel.MEMORY_AND_DISK) for d in (total, severity, forecast))
+    panels = count_panels(filtered, top_n=params.top_n, empty_peak_label="-")
+    shared = panels.pop("_counts")
     return {
         "filtered": filtered,
-        "kpis": A.kpis(filtered),
-        "peak_hour": A.peak_hour(filtered, empty_label="-"),
-        "by_hour": A.collisions_by_hour(filtered),
-        "by_neighbourhood": A.collisions_by_neighbourhood(filtered, params.top_n),
-        "by_division": A.collisions_by_division(filtered, params.top_n),
-        "severity": A.collision_severity_analysis(filtered),
-        "road_users": A.road_user_analysis(filtered),
-        "by_day_of_week": A.collisions_by_day_of_week(filtered),
-        "by_month": A.collisions_by_month(filtered),
+        **panels,
         "severity_trend": severity,
         "total_trend": total,
         "forecast": forecast,
@@ -56,6 +51,7 @@ def dashboard_view(prepared: DataFrame, params: DashboardParams,
         "map_sample": capped_sample(points),
         "map_viewport": A.map_viewport(points),
         "map_clusters": A.build_cluster_dataframe(points),
+        "_shared_counts": shared,
     }
 
 
