@@ -3,6 +3,10 @@
   prepare RAW_CSV OUT            raw CSV -> cleaned, derived, partitioned Parquet
   report RAW_CSV                 quality report, then hourly / neighbourhood / severity counts
   validate RAW_CSV PREPARED      the same metrics from both paths, side by side
+  view PREPARED [--years Y ...] [--divisions D ...] [--neighbourhoods N ...] [--severity S]
+       [--recent-days N | --all-time] [--top N] [--horizon N] [--pedestrian] [--bicycle] [--motorcycle]
+                                 every dashboard panel for one filter selection (defaults: latest
+                                 year, last 30 days)
   contributions --numstat P --prs P --aliases P [--out DIR]
                                  roster summary from numstat logs, PR JSON and an alias CSV
 """
@@ -16,6 +20,8 @@ from .operators import activity as G
 from .operators import aggregates as A
 from .operators.cleaning import clean, quality_report
 from .operators.reconcile import reconcile_paths
+from .operators.filters import DashboardParams
+from .plans.dashboard import dashboard_view, default_params, release
 from .plans.prepare import prepare_dataset
 from .session import get_spark
 from .sources.activity import read_aliases, read_numstat_log, scan_pr_json
@@ -30,6 +36,13 @@ def main(argv=None, spark=None) -> int:
     p = sub.add_parser("prepare"); p.add_argument("raw"); p.add_argument("out")
     r = sub.add_parser("report"); r.add_argument("raw"); r.add_argument("--top", type=int, default=10)
     v = sub.add_parser("validate"); v.add_argument("raw"); v.add_argument("prepared")
+    w = sub.add_parser("view"); w.add_argument("prepared")
+    w.add_argument("--years", type=int, nargs="*"); w.add_argument("--divisions", nargs="*")
+    w.add_argument("--neighbourhoods", nargs="*"); w.add_argument("--severity", default="All Severities")
+    w.add_argument("--recent-days", type=int); w.add_argument("--all-time", action="store_true")
+    w.add_argument("--top", type=int, default=10); w.add_argument("--horizon", type=int, default=7)
+    for flag in ("pedestrian", "bicycle", "motorcycle"):
+        w.add_argument(f"--{flag}", action="store_true")
     c = sub.add_parser("contributions")
     c.add_argument("--numstat", required=True); c.add_argument("--prs", required=True)
     c.add_argument("--aliases", required=True); c.add_argument("--out")
@@ -50,6 +63,30 @@ def main(argv=None, spark=None) -> int:
     elif args.command == "validate":
         raw = load_dataset(spark, args.raw)
         reconcile_paths(clean(raw), get_prepared_data(spark, args.prepared)).show(1000, truncate=False)
+    elif args.command == "view":
+        prepared = get_prepared_data(spark, args.prepared)
+        defaults = default_params(prepared)
+        params = DashboardParams(
+            years=tuple(args.years) if args.years else defaults.years,
+            divisions=tuple(args.divisions) if args.divisions else None,
+            neighbourhoods=tuple(args.neighbourhoods) if args.neighbourhoods else None,
+            severity=args.severity, pedestrian=args.pedestrian, bicycle=args.bicycle,
+            motorcycle=args.motorcycle,
+            recent_days=None if args.all_time else (args.recent_days or defaults.recent_days),
+            top_n=args.top, forecast_horizon=args.horizon)
+        print(f"View: {params}")
+        view = dashboard_view(prepared, params)
+        try:
+            for name, df in view.items():
+                if name in ("filtered", "_shared_counts"):
+                    continue
+                if name == "map_sample":
+                    print(f"map_sample: {df.count()} points")
+                    continue
+                print(name)
+                df.show(50, truncate=False)
+        finally:
+            release(view)
     elif args.command == "contributions":
         summary = G.contribution_summary(read_numstat_log(spark, args.numstat),
                                          scan_pr_json(spark, args.prs, json_array=args.json_array),

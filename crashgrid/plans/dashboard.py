@@ -55,6 +55,16 @@ def dashboard_view(prepared: DataFrame, params: DashboardParams,
     }
 
 
+def default_params(prepared: DataFrame) -> DashboardParams:
+    """The initial view: latest year, last 30 days, all severities, top 10, 7-day forecast.
+
+    Reads one scalar (the latest year) to fill the year selection.
+    """
+    latest = A.default_year(prepared).first()["default_year"]
+    return DashboardParams(years=(int(latest),) if latest is not None else None, recent_days=30,
+                           top_n=10, forecast_horizon=7)
+
+
 def export_view(view: dict[str, DataFrame], path: str) -> str:
     """Write the view's filtered rows as CSV (parallel; one folder of part files)."""
     return export_results(view["filtered"], path)

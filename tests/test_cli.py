@@ -24,6 +24,12 @@ def test_cli_prepare_report_validate(spark, capsys):
     assert main(["validate", csv_path, out], spark=spark) == 0
     text = capsys.readouterr().out
     assert "Prepared dataset written to" in text and "total_rows" in text and "top_neighbourhood" in text
+    assert main(["view", out, "--top", "5"], spark=spark) == 0
+    text = capsys.readouterr().out
+    assert "years=(2001,)" in text and "recent_days=30" in text and "by_neighbourhood" in text
+    assert main(["view", out, "--years", "1996", "--all-time", "--severity", "Injury"], spark=spark) == 0
+    text = capsys.readouterr().out
+    assert "severity='Injury'" in text and "map_sample:" in text
 
 
 def test_cli_contributions(spark, tmp_path, capsys):
