@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key, strip
-from ..schema import COMMIT_TYPES, require_columns
+from ..schema import COMMIT_TYPES, STATUS_ACTIVE, STATUS_INACTIVE, require_columns
 
 STAT_COLUMNS = ["commits", "files_changed", "insertions", "deletions"]
 
@@ -225,6 +225,5 @@ def contribution_summary(numstat: DataFrame, prs: DataFrame, aliases: DataFrame,
            .join(pr_counts, ["member_id", "member"], "left"))
     vals = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in STAT_COLUMNS + ["prs"]}
     out = out.select("member_id", "member", *[v.alias(k) for k, v in vals.items()])
-    status = F.when((F.col("commits") > 0) | (F.col("prs") > 0), "Active contributor") \
-        .otherwise("No contributions yet")
+    status = F.when((F.col("commits") > 0) | (F.col("prs") > 0), STATUS_ACTIVE).otherwise(STATUS_INACTIVE)
     return out.withColumn("status", status).orderBy("member", "member_id")

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import to_number, to_timestamp_any
 from ..functions.text import norm_flag
-from ..schema import (ALL_SEVERITIES, MONTH_NAMES, ROAD_USERS, ROAD_USERS_WITH_AUTOMOBILE,
-                      SEVERITY_CLASSES, WEEKDAYS, ZOOM_LADDER, ZOOM_WIDEST, require_columns)
+from ..schema import (ALL_SEVERITIES, MONTH_NAMES, PEAK_HOUR_NONE_REPORT, ROAD_USERS,
+                      ROAD_USERS_WITH_AUTOMOBILE, SEVERITY_CLASSES, WEEKDAYS, ZOOM_LADDER, ZOOM_WIDEST,
+                      require_columns)
 from ._util import dtype_of, empty_frame
 
 
@@ -203,7 +204,7 @@ def kpis(df: DataFrame) -> DataFrame:
     )
 
 
-def peak_hour(df: DataFrame, empty_label: str = "N/A") -> DataFrame:
+def peak_hour(df: DataFrame, empty_label: str = PEAK_HOUR_NONE_REPORT) -> DataFrame:
     """One row: the hour ranked first by A1 (peak_hour_value) and its 'HH:00' label.
 
     ``empty_label`` ('N/A' in reports, '-' on the dashboard) when there is no hour at all.

@@ -38,7 +38,7 @@ def dashboard_view(prepared: DataFrame, params: DashboardParams,
     if persist:
         # daily series and the forecast are small and feed several panels
         total, severity, forecast = (d.persist(StorageLevel.MEMORY_AND_DISK) for d in (total, severity, forecast))
-    panels = count_panels(filtered, top_n=params.top_n, empty_peak_label="-")
+    panels = count_panels(filtered, top_n=params.top_n)
     shared = panels.pop("_counts")
     return {
         "filtered": filtered,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from ..functions.coerce import NUMBER_PATTERN
 from ..schema import (CSV_NULL_TOKENS, HEATMAP_CLASSES, MONTH_NAMES, PLACEHOLDER_NEIGHBOURHOODS,
-                      POINT_DRAW_ORDER, REQUIRED_COLUMNS, WEEKDAYS)
+                      POINT_DRAW_ORDER, REQUIRED_COLUMNS, STATUS_ACTIVE, STATUS_INACTIVE, WEEKDAYS)
 from ..sources.fixtures import fixture_sql
 
 WS = "(' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
@@ -136,8 +136,8 @@ summary AS (
     CAST(coalesce(s.commits, 0) AS BIGINT) AS commits, CAST(coalesce(s.files_changed, 0) AS BIGINT) AS files_changed,
     CAST(coalesce(s.insertions, 0) AS BIGINT) AS insertions, CAST(coalesce(s.deletions, 0) AS BIGINT) AS deletions,
     CAST(coalesce(p.prs, 0) AS BIGINT) AS prs,
-    CASE WHEN coalesce(s.commits, 0) > 0 OR coalesce(p.prs, 0) > 0 THEN 'Active contributor'
-         ELSE 'No contributions yet' END AS status
+    CASE WHEN coalesce(s.commits, 0) > 0 OR coalesce(p.prs, 0) > 0 THEN '{STATUS_ACTIVE}'
+         ELSE '{STATUS_INACTIVE}' END AS status
   FROM members m
   LEFT JOIN member_stats s ON m.member_id = s.member_id AND m.member = s.member
   LEFT JOIN (SELECT k.member_id, k.member, sum(pl.prs) AS prs FROM pr_login pl JOIN

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import to_number
 from ..operators._util import dtype_of, empty_frame
 from ..operators.aggregates import month_name, weekday_rank
-from ..schema import ROAD_USERS, SEVERITY_CLASSES, require_columns
+from ..schema import PEAK_HOUR_NONE_DASHBOARD, ROAD_USERS, SEVERITY_CLASSES, require_columns
 
 
 def _entry(panel: str, key, weight=None):
@@ -45,7 +45,8 @@ def panel_counts(df: DataFrame) -> DataFrame:
             .groupBy("e.panel", "e.key").agg(F.sum("e.w").alias("n")))
 
 
-def count_panels(df: DataFrame, top_n: int = 10, empty_peak_label: str = "-") -> dict[str, DataFrame]:
+def count_panels(df: DataFrame, top_n: int = 10,
+                 empty_peak_label: str = PEAK_HOUR_NONE_DASHBOARD) -> dict[str, DataFrame]:
     """The count panels of a view; the shared small table is persisted (see ``release_panels``)."""
     require_columns(df, ["OCC_HOUR", "NEIGHBOURHOOD_158"])
     counts = panel_counts(df).persist(StorageLevel.MEMORY_AND_DISK)

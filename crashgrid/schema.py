@@ -70,6 +70,14 @@ FORECAST_MIN_DAYS = 30
 # Commit subject types, in match order; unmatched non-blank subjects are "other".
 COMMIT_TYPES = ["feat", "fix", "docs", "test", "chore", "refactor", "merge"]
 
+# Contribution status labels: with commits or PRs, and without.
+STATUS_ACTIVE = "Active contributor"
+STATUS_INACTIVE = "No contributions yet"
+
+# Empty peak-hour labels: validation report, dashboard.
+PEAK_HOUR_NONE_REPORT = "N/A"
+PEAK_HOUR_NONE_DASHBOARD = "-"
+
 # Text tokens that the common CSV reader treats as missing by default.
 CSV_NULL_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
