@@ -99,3 +99,10 @@ def test_load_dataset_multiline_values(spark, tmp_path):
     pd.DataFrame([dict(ROW, NEIGHBOURHOOD_158="Line one\nline two")]).to_csv(f, index=False)
     df = load_dataset(spark, str(f), multiline=True)
     assert df.count() == 1 and df.first()["NEIGHBOURHOOD_158"] == "Line one\nline two"
+
+
+def test_load_dataset_with_byte_order_mark(spark, tmp_path):
+    f = tmp_path / "bom.csv"
+    pd.DataFrame([ROW]).to_csv(f, index=False, encoding="utf-8-sig")
+    df = load_dataset(spark, str(f))
+    assert df.columns[0] == "EVENT_UNIQUE_ID" and df.count() == 1
