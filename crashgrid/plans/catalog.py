@@ -67,16 +67,14 @@ def _prs(spark, d):
 
 # --- sources and sinks ----------------------------------------------------------
 
-def q_scan_csv(spark, d):
-    path = scratch_path(spark, "raw-csv")
-    export_results(raw(spark, d), path)
-    return load_dataset(spark, path)
-
-
 def _raw_csv(spark, d):
     return export_results(raw(spark, d), scratch_path(spark, "raw-csv"))
 
 
+def q_scan_csv(spark, d):
+    return load_dataset(spark, _raw_csv(spark, d))
+
+
 def q_prepare_dataset(spark, d):
     """P7 end to end: raw CSV in, prepared Parquet out, read back."""
     return spark.read.parquet(prepare_dataset(spark, _raw_csv(spark, d), scratch_path(spark, "prepared")))
