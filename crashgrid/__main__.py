@@ -31,7 +31,8 @@ from .sources.parquet import get_prepared_data
 
 
 def main(argv=None, spark=None) -> int:
-    parser = argparse.ArgumentParser(prog="crashgrid")
+    parser = argparse.ArgumentParser(prog="crashgrid", description=__doc__,
+                                     formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = parser.add_subparsers(dest="command", required=True)
     p = sub.add_parser("prepare"); p.add_argument("raw"); p.add_argument("out")
     r = sub.add_parser("report"); r.add_argument("raw"); r.add_argument("--top", type=int, default=10)
