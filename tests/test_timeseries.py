@@ -77,3 +77,24 @@ def test_trend_overlay_series(spark):
     tot = spark.createDataFrame([(dt.datetime(2024, 1, 1), 4)], "date timestamp_ntz, value bigint")
     rows = trend_overlay(sev, tot).collect()
     assert sorted((r["series_type"], r["value"]) for r in rows) == [("Fatal", 1.0), ("Total", 4.0)]
+
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=6, deadline=None)
+@given(days=st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 60), st.integers(1, 9)),
+                     min_size=1, max_size=40, unique_by=lambda t: (t[0], t[1])))
+def test_densify_property(spark, days):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(k, base + dt.timedelta(days=d), v) for k, d, v in days]
+    df = spark.createDataFrame(rows, "k string, date timestamp_ntz, value bigint")
+    out = densify_daily(df, keys=["k"]).collect()
+    for key in {k for k, _, _ in days}:
+        mine = sorted((r["date"], r["value"]) for r in out if r["k"] == key)
+        offsets = sorted(d for k, d, _ in days if k == key)
+        assert [d for d, _ in mine] == [base + dt.timedelta(days=i) for i in range(offsets[0], offsets[-1] + 1)]
+        expected = {base + dt.timedelta(days=d): v for k, d, v in days if k == key}
+        assert all(v == expected.get(d, 0) for d, v in mine)
+    assert sum(r["value"] for r in out) == sum(v for _, _, v in days)
