@@ -64,3 +64,16 @@ def test_dashboard_view_unnarrowed_is_not_persisted(spark):
     assert not view["filtered"].is_cached
     assert view["kpis"].first()["total_collisions"] == prepared.count()
     release(view)
+
+
+def test_export_view_writes_filtered_rows(spark):
+    from crashgrid.plans.dashboard import export_view
+    prepared = prepare_frame(raw_incidents(spark, SF_SMALL))
+    view = dashboard_view(prepared, DashboardParams(years=(1997,)))
+    try:
+        path = export_view(view, scratch_path(spark, "view-export"))
+        back = spark.read.option("header", True).csv(path)
+        assert back.count() == view["filtered"].count() > 0
+        assert set(back.columns) == set(prepared.columns)
+    finally:
+        release(view)
