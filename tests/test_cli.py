@@ -41,3 +41,15 @@ def test_cli_contributions(spark, tmp_path, capsys):
                  "--aliases", str(tmp_path / "aliases.csv")], spark=spark) == 0
     text = capsys.readouterr().out
     assert "Active contributor" in text and "No contributions yet" in text
+
+
+def test_cli_missing_file_reports_not_found(spark, tmp_path):
+    import pytest
+    with pytest.raises(FileNotFoundError, match="Dataset not found"):
+        main(["report", str(tmp_path / "nope.csv")], spark=spark)
+
+
+def test_package_exports():
+    import crashgrid
+    for name in crashgrid.__all__:
+        assert hasattr(crashgrid, name)
