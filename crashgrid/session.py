@@ -62,3 +62,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     return os.path.join(checkpoint_root(spark), "crashgrid-scratch", f"{name}-{uuid.uuid4().hex}")
+
+
+def shuffle_partitions_for(input_bytes: int, target_partition_bytes: int = 256 << 20,
+                           minimum: int = 200, maximum: int = 100_000) -> int:
+    """Shuffle partition count for a job that shuffles about ``input_bytes``.
+
+    Only the preparation dedupe shuffles data of the input's size; every
+    other shuffle moves partial aggregates. Aim at ~256 MiB per post-shuffle
+    partition (fits executor memory without spilling much); AQE coalesces
+    partitions that turn out smaller.
+    """
+    wanted = -(-int(input_bytes) // int(target_partition_bytes))
+    return max(minimum, min(maximum, wanted))

@@ -77,3 +77,10 @@ def test_export_view_writes_filtered_rows(spark):
         assert set(back.columns) == set(prepared.columns)
     finally:
         release(view)
+
+
+def test_shuffle_partitions_for_input_size():
+    from crashgrid.session import shuffle_partitions_for
+    assert shuffle_partitions_for(10 << 20) == 200                 # small input: the floor
+    assert shuffle_partitions_for(10 << 40) == 40_960             # 10 TiB at 256 MiB each
+    assert shuffle_partitions_for(100 << 40) == 100_000           # capped
