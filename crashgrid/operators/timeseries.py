@@ -9,16 +9,23 @@ by Spark aggregates before any Python runs.
 
 from __future__ import annotations
 
+import sys
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType, TimestampNTZType
 
 from ..schema import FORECAST_MIN_DAYS, require_columns
 
+# The fit below runs in Python workers. Pickle this module's functions by value
+# so every task carries them: executors need no installed copy of the package
+# (and a worker started outside the repository folder can still run the fit).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def densify_daily(series: DataFrame, keys: Sequence[str] = (), date_col: str = "date",
                   value_col: str = "value", observed_col: str | None = None) -> DataFrame:

@@ -98,3 +98,19 @@ def test_densify_property(spark, days):
         expected = {base + dt.timedelta(days=d): v for k, d, v in days if k == key}
         assert all(v == expected.get(d, 0) for d, v in mine)
     assert sum(r["value"] for r in out) == sum(v for _, _, v in days)
+
+
+def test_fit_ships_by_value_to_workers_without_the_package(tmp_path):
+    """The forecast's Python code must load in a worker that cannot import the package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    blob = tmp_path / "fit.pkl"
+    blob.write_bytes(cloudpickle.dumps(holt_forecast))
+    code = ("import pickle, sys; f = pickle.load(open(sys.argv[1], 'rb')); "
+            "assert 'crashgrid' not in sys.modules; print(round(float(f([1.0, 2.0, 3.0, 4.0], 1)[0]), 6))")
+    out = subprocess.run([sys.executable, "-c", code, str(blob)], cwd=tmp_path, capture_output=True,
+                         text=True, env={"PATH": "/usr/bin:/bin"}, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert float(out.stdout) == 5.0
