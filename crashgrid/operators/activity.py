@@ -62,20 +62,35 @@ def roster_zero_fill(counts: DataFrame, aliases: DataFrame, value_cols) -> DataF
 
 # --- G6 / G7 / J2: commit and PR counts by member ------------------------------
 
+def _resolved_counts(commits: DataFrame, aliases: DataFrame, column: str = "author", **extra) -> DataFrame:
+    """Commits per (alias key, extra columns...) joined to their member, as ``_n``.
+
+    Counting before the roster join lets the partial aggregate collapse a
+    prolific author inside every task, so the join (and its shuffle) sees one
+    row per distinct key instead of one per commit; an author holding a third
+    of all commits is then one row, not a third of the join input.
+    """
+    require_columns(commits, [column])
+    per_key = (commits.select(norm_key(column).alias("_key"), *[v.alias(k) for k, v in extra.items()])
+               .groupBy("_key", *extra).agg(F.count(F.lit(1)).alias("_n")))
+    lookup = alias_lookup(aliases)
+    return per_key.join(lookup, per_key["_key"] == lookup["alias_key"], "inner").drop("_key", "alias_key")
+
+
 def commits_by_member(commits: DataFrame, aliases: DataFrame) -> DataFrame:
     """Resolved commits per member, every member present, commits desc."""
-    counts = (resolve_alias(commits, aliases).groupBy("member_id", "member")
-              .agg(F.count(F.lit(1)).alias("commits")))
+    counts = (_resolved_counts(commits, aliases).groupBy("member_id", "member")
+              .agg(F.sum("_n").cast("bigint").alias("commits")))
     return (roster_zero_fill(counts, aliases, ["commits"])
             .orderBy(F.desc("commits"), F.asc("member"), F.asc("member_id")))
 
 
 def commits_per_day(commits: DataFrame, aliases: DataFrame, day_col: str = "day") -> DataFrame:
     """Resolved commits per calendar day, ascending."""
-    resolved = resolve_alias(commits, aliases)
     day = F.to_date(F.col(day_col)).cast("timestamp_ntz")
-    return (resolved.select(day.alias("day")).filter(F.col("day").isNotNull())
-            .groupBy("day").agg(F.count(F.lit(1)).alias("commits")).orderBy("day"))
+    resolved = _resolved_counts(commits, aliases, day=day)
+    return (resolved.filter(F.col("day").isNotNull())
+            .groupBy("day").agg(F.sum("_n").cast("bigint").alias("commits")).orderBy("day"))
 
 
 def prs_by_author(prs: DataFrame) -> DataFrame:

@@ -98,3 +98,27 @@ def test_commit_types(spark):
                                "subject string")
     got = {r[0]: r[1] for r in commit_types(df).collect()}
     assert got == {"feat": 1, "fix": 1, "other": 1, "merge": 1}
+
+
+def test_commit_counts_with_a_hot_author_match_per_row_resolution(frame):
+    """One author writes a third of the commits; counting per author before the
+    roster join must equal resolving every row and counting afterwards."""
+    from crashgrid.operators.activity import commits_by_member, commits_per_day
+    import datetime as dt
+    authors = [" Ann " if i % 3 == 0 else ("bob" if i % 3 == 1 else f"x{i % 7}") for i in range(300)]
+    days = [dt.date(2024, 1, 1 + i % 5) if i % 11 else None for i in range(300)]
+    commits = frame({"author": authors, "day": days}, "author string, day date")
+    al = frame({"member_id": [1, 1, 2, 3], "member": ["Ann", "Ann", "Bob", "Cy"],
+                "alias": ["ann", "ANN2", "Bob ", "cy"]}, "member_id int, member string, alias string")
+    resolved = resolve_alias(commits, al).collect()
+    want_member = defaultdict(int)
+    want_day = defaultdict(int)
+    for r in resolved:
+        want_member[r["member"]] += 1
+        if r["day"] is not None:
+            want_day[r["day"]] += 1
+    got = {r["member"]: r["commits"] for r in commits_by_member(commits, al).collect()}
+    assert got == {"Ann": want_member["Ann"], "Bob": want_member["Bob"], "Cy": 0}
+    assert got["Ann"] == 100
+    per_day = {r["day"].date(): r["commits"] for r in commits_per_day(commits, al).collect()}
+    assert per_day == dict(want_day)
