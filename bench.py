@@ -94,7 +94,7 @@ def run_suite(spark, sf_dir: str, timings: dict | None) -> None:
                                                           forecast_horizon=7))
         try:
             for name, df in panels.items():
-                if name != "filtered":
+                if name != "filtered" and not name.startswith("_"):
                     df.collect()
         finally:
             release(panels)

@@ -79,7 +79,7 @@ def main(argv=None, spark=None) -> int:
         view = dashboard_view(prepared, params)
         try:
             for name, df in view.items():
-                if name in ("filtered", "_shared_counts"):
+                if name == "filtered" or name.startswith("_"):
                     continue
                 if name == "map_sample":
                     print(f"map_sample: {df.count()} points")

@@ -11,8 +11,15 @@ from ..operators.filters import DashboardParams, filter_chain
 from ..operators.sampling import capped_sample
 from ..operators.timeseries import forecast_collision_trend, forecast_guard, trend_overlay
 from .panels import count_panels
+from ..schema import MAP_COLUMNS, ROAD_USERS
 from ..sources.export import export_results
 
+# Every column the view's analyses read (count panels, daily trends, map
+# points). A persisted view caches only these, not the whole wide row.
+VIEW_COLUMNS = list(dict.fromkeys(
+    ["EVENT_UNIQUE_ID", "OCC_DATE", "OCC_HOUR", "OCC_DOW", "MONTH", "DIVISION", "NEIGHBOURHOOD_158",
+     "severity_class"] + [column for _, column in ROAD_USERS] + MAP_COLUMNS))
+
 
 def dashboard_view(prepared: DataFrame, params: DashboardParams,
                    persist: bool | None = None) -> dict[str, DataFrame]:
@@ -20,25 +27,29 @@ def dashboard_view(prepared: DataFrame, params: DashboardParams,
 
     The filtered rows feed a dozen analyses. When the view is narrowed to
     some years or a recent window (``persist=None``, the default) those rows
-    are a slice of the table and are persisted once (memory, spilling to
-    disk; a lost executor recomputes its blocks from the Parquet scan).
-    An unnarrowed view is not persisted: that would copy the whole wide
-    table, while every panel only reads its own columns from Parquet.
-    Call ``release(view)`` when done.
+    are a slice of the table, and the columns the analyses read
+    (``VIEW_COLUMNS``) are persisted once (memory, spilling to disk; a lost
+    executor recomputes its blocks from the Parquet scan). A hot year can
+    hold a large share of the table, so the cache never holds the whole
+    wide row; ``view["filtered"]`` stays the lazy full-width slice (for
+    export). An unnarrowed view is not persisted: every panel reads only its
+    own columns from Parquet. Call ``release(view)`` when done.
     """
     filtered = filter_chain(prepared, params)
     if persist is None:
         persist = bool(params.years) or params.recent_days is not None
+    rows = filtered
     if persist:
-        filtered = filtered.persist(StorageLevel.MEMORY_AND_DISK)
-    points = map_points(filtered)
-    total = A.total_collisions_trend_over_time(filtered)
-    severity = A.severity_trend_over_time(filtered, params.severity)
+        rows = filtered.select(*[c for c in VIEW_COLUMNS if c in filtered.columns]) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+    points = map_points(rows)
+    total = A.total_collisions_trend_over_time(rows)
+    severity = A.severity_trend_over_time(rows, params.severity)
     forecast = forecast_collision_trend(total, params.forecast_horizon)
     if persist:
         # daily series and the forecast are small and feed several panels
         total, severity, forecast = (d.persist(StorageLevel.MEMORY_AND_DISK) for d in (total, severity, forecast))
-    panels = count_panels(filtered, top_n=params.top_n)
+    panels = count_panels(rows, top_n=params.top_n)
     shared = panels.pop("_counts")
     return {
         "filtered": filtered,
@@ -52,6 +63,7 @@ def dashboard_view(prepared: DataFrame, params: DashboardParams,
         "map_viewport": A.map_viewport(points),
         "map_clusters": A.build_cluster_dataframe(points),
         "_shared_counts": shared,
+        "_rows": rows,
     }
 
 

@@ -84,3 +84,28 @@ def test_shuffle_partitions_for_input_size():
     assert shuffle_partitions_for(10 << 20) == 200                 # small input: the floor
     assert shuffle_partitions_for(10 << 40) == 40_960             # 10 TiB at 256 MiB each
     assert shuffle_partitions_for(100 << 40) == 100_000           # capped
+
+
+def _rounded(row):
+    """Row text with floats rounded (means differ in the last digits with summation order)."""
+    return repr(tuple(round(v, 9) if isinstance(v, float) else v for v in row))
+
+
+def test_persisted_view_caches_only_view_columns_and_matches_unpersisted(spark):
+    from crashgrid.plans.dashboard import VIEW_COLUMNS
+    prepared = prepare_frame(raw_incidents(spark, SF_SMALL))
+    params = DashboardParams(years=(1997, 1998), recent_days=365, top_n=5, forecast_horizon=7)
+    cached, plain = dashboard_view(prepared, params), dashboard_view(prepared, params, persist=False)
+    try:
+        assert cached["_rows"].is_cached and set(cached["_rows"].columns) <= set(VIEW_COLUMNS)
+        assert len(cached["_rows"].columns) < len(prepared.columns)
+        assert cached["filtered"].columns == prepared.columns
+        for name in plain:
+            if name.startswith("_"):
+                continue
+            a, b = cached[name], plain[name]
+            assert a.schema == b.schema, name
+            assert sorted(map(_rounded, a.collect())) == sorted(map(_rounded, b.collect())), name
+    finally:
+        release(cached)
+        release(plain)
