@@ -6,15 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cleaning import clean
 from ..operators.derive import derive
+from ..session import shuffle_partitions_for
 from ..sources.csv import load_dataset
 from ..sources.parquet import write_prepared
 
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+
 
 def prepare_frame(raw: DataFrame) -> DataFrame:
     """Cleaned and derived rows as one lazy plan (one shuffle: the dedupe)."""
     return derive(clean(raw))
 
 
-def prepare_dataset(spark: SparkSession, raw_path: str, output_path: str) -> str:
-    """Read the raw CSV, clean, derive, write the prepared Parquet; returns its path."""
-    return write_prepared(prepare_frame(load_dataset(spark, raw_path)), output_path)
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under ``path`` (file-system metadata, no data read)."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(hpath).getLength())
+
+
+def prepare_dataset(spark: SparkSession, raw_path: str, output_path: str,
+                    shuffle_partitions: int | None = None) -> str:
+    """Read the raw CSV, clean, derive, write the prepared Parquet; returns its path.
+
+    The dedupe shuffle moves the whole input, so its partition count is sized
+    from the input's bytes (``shuffle_partitions_for``: ~256 MiB each, never
+    below the session's setting) unless given; AQE coalesces partitions that
+    turn out small. The session setting is restored when the job ends.
+    """
+    current = int(spark.conf.get(SHUFFLE_PARTITIONS))
+    wanted = int(shuffle_partitions) if shuffle_partitions else \
+        shuffle_partitions_for(input_bytes(spark, raw_path), minimum=current, maximum=max(current, 100_000))
+    spark.conf.set(SHUFFLE_PARTITIONS, str(wanted))
+    try:
+        return write_prepared(prepare_frame(load_dataset(spark, raw_path)), output_path)
+    finally:
+        spark.conf.set(SHUFFLE_PARTITIONS, str(current))

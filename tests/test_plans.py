@@ -27,6 +27,17 @@ def test_prepare_dataset_csv_to_parquet_round_trip(spark):
     assert "PartitionFilters: [isnotnull(YEAR" in plan and "ReadSchema: struct<EVENT_UNIQUE_ID:string>" in plan
 
 
+def test_prepare_dataset_sizes_its_shuffle_and_restores_the_setting(spark):
+    from crashgrid.plans.prepare import input_bytes
+    raw = raw_incidents(spark, SF_SMALL)
+    csv_path = export_results(raw, scratch_path(spark, "raw"))
+    assert input_bytes(spark, csv_path) > 0
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    out = prepare_dataset(spark, csv_path, scratch_path(spark, "prepared"), shuffle_partitions=37)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.read.parquet(out).count() == prepare_frame(raw).count()
+
+
 def test_filter_prepared_falls_back_to_occ_year(spark):
     df = spark.createDataFrame([(2021.0, "D11"), (2022.0, "D12")], "OCC_YEAR double, DIVISION string")
     assert filter_collisions_prepared(df, years=[2022]).count() == 1
