@@ -31,3 +31,14 @@ def test_hot_key_counts_are_exact(spark):
     df = spark.createDataFrame(rows, "OCC_HOUR double").repartition(16)
     out = {r[0]: r[1] for r in A.collisions_by_hour(df).collect()}
     assert out[1.0] == 3010 and sum(out.values()) == 3240
+
+
+def test_commit_counts_aggregate_per_author_before_the_roster_join(spark):
+    from crashgrid.operators.activity import commits_by_member, commits_per_day
+    from crashgrid.sources.fixtures import fixture
+    commits, aliases = fixture(spark, SF_SMALL, "commits"), fixture(spark, SF_SMALL, "aliases")
+    for df in (commits_by_member(commits, aliases), commits_per_day(commits, aliases)):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        join = next(i for i, line in enumerate(lines) if "Join Inner" in line and "_key" in line)
+        # the commit side of the join is already one row per author key (and day)
+        assert re.search(r"Aggregate \[_key#\d+", lines[join + 1]), lines[join:join + 2]
