@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import url_filter
+from .bpe import token_digests
+from .decontaminate import find_contamination
+from .secret_scan import find_secrets
 from .simhash import simhash_components
+from .toxicity import held_out, score_toxicity, train_toxicity
+
+
+def tokenizer_path() -> str:
+    """Where the installed package of public vocabularies keeps the tokenizer file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +28,63 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, _table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
+                         "n_offending", "worst_start", "worst_end", "worst_probability")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_url_filter": op3_url_filter,
+    "op4_secret_scan": op4_secret_scan,
+    "op7_toxicity": op7_toxicity,
+    "op10_bpe": op10_bpe,
 }
 
-ORACLE = {}
+#: A window is looked up as its words joined by a space; sizes below 10 are whole short items.
+_OP2 = """
+WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{up}', '{low}'), '{word}') AS w
+             FROM documents),
+item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{up}', '{low}'), '{word}') AS w
+         FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+        FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item WHERE len(w) > 0)),
+run AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS g
+        FROM (SELECT doc_id, w, s.size, unnest(range(1, len(w) - s.size + 2)) AS i
+              FROM doc, (SELECT DISTINCT size FROM win) s WHERE len(w) >= s.size)),
+hit AS (SELECT DISTINCT doc_id, i, run.size, item_id FROM run JOIN win USING (size, g)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM
+            (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',')
+          AS ids FROM hit GROUP BY doc_id)
+SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""".format(
+    up=url_filter.UPPER, low=url_filter.LOWER, word=r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+ORACLE = {
+    "op2_decontaminate": _OP2,
+    "op3_url_filter": url_filter.oracle_sql(),
+}
