@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from . import url_filter
 from .bpe import token_digests
 from .decontaminate import find_contamination
+from .neighbours import nearest
 from .secret_scan import find_secrets
+from .sharding import shard_manifest
 from .simhash import simhash_components
 from .toxicity import held_out, score_toxicity, train_toxicity
+from .warc import archive_roundtrip
 
 
 def tokenizer_path() -> str:
@@ -42,6 +46,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_manifest(_table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = train_toxicity(docs, _table(spark, sf_dir, "labels"))
@@ -50,6 +58,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_offending", "worst_start", "worst_end", "worst_probability")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive_roundtrip(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -59,7 +77,10 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
     "op4_secret_scan": op4_secret_scan,
+    "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
 }
 
@@ -84,7 +105,29 @@ SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0) AS n_hit, c
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""".format(
     up=url_filter.UPPER, low=url_filter.LOWER, word=r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
+_OP8 = """
+WITH v AS (SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score
+           FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20"""
+
+_OP9 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest
+      HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS NOT DISTINCT FROM page_id THEN NULL ELSE first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)"""
+
 ORACLE = {
     "op2_decontaminate": _OP2,
     "op3_url_filter": url_filter.oracle_sql(),
+    "op8_nearest_neighbours": _OP8,
+    "op9_warc": _OP9,
 }
