@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from tokenizers import Tokenizer
 
+from .shared import broadcast_plain, per_worker
+
 NO_MERGE = 1 << 62
 
 
@@ -149,20 +151,8 @@ def read_definition(path: str) -> str:
         return source.read()
 
 
-class SharedCodec:
-    """A tokenizer definition whose codec is built once per Python worker (broadcasts live there)."""
-
-    def __init__(self, definition: str):
-        self.definition, self.codec = definition, None
-
-    def get(self) -> Codec:
-        if self.codec is None:
-            self.codec = Codec(self.definition)
-        return self.codec
-
-
 def _codec_of(docs: DataFrame, path: str):
-    return docs.sparkSession.sparkContext.broadcast(SharedCodec(read_definition(path)))
+    return broadcast_plain(docs.sparkSession, read_definition(path))
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +165,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     @pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = shared.value.get()
+        codec = per_worker(shared, Codec)
         for texts in batches:
             yield pd.Series([np.frombuffer(codec.encode(t), dtype="<i4") for t in texts], dtype=object)
 
@@ -188,7 +178,7 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     @pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = shared.value.get()
+        codec = per_worker(shared, Codec)
         for rows in batches:
             yield pd.Series([None if r is None else codec.decode(np.asarray(r, dtype="<u4").tobytes())
                              for r in rows], dtype=object)
@@ -206,7 +196,7 @@ def token_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     @pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = shared.value.get()
+        codec = per_worker(shared, Codec)
         for texts in batches:
             rows = []
             for text in texts:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import free_name, materialize
+from .shared import broadcast_plain, free_name, materialize, per_worker
 
 #: A-Z to a-z; every other ASCII byte that is no letter or digit becomes a space.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -133,11 +133,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def hits_column(docs: DataFrame, windows: list, text_col: str = "text"):
     """Column: a struct of ``HITS`` per text, against a broadcast window set."""
-    shared = docs.sparkSession.sparkContext.broadcast(WindowSet(windows))
+    shared = broadcast_plain(docs.sparkSession, windows)
 
     @pandas_udf(HITS)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, own = WordHashes(), shared.value
+        known, own = WordHashes(), per_worker(shared, WindowSet)
         for texts in batches:
             rows = []
             for text in texts:

@@ -10,6 +10,7 @@ from . import url_filter
 from .bpe import token_digests
 from .decontaminate import find_contamination
 from .neighbours import nearest
+from .passages import repeated_passages
 from .secret_scan import find_secrets
 from .sharding import shard_manifest
 from .simhash import simhash_components
@@ -46,6 +47,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_manifest(_table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
     "op4_secret_scan": op4_secret_scan,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
     "op8_nearest_neighbours": op8_nearest_neighbours,

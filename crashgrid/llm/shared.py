@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any, Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
@@ -32,3 +34,16 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def broadcast_plain(spark: SparkSession, value: Any):
+    """Broadcast built-in types (workers need no class of this package to read them)."""
+    return spark.sparkContext.broadcast({"value": value})
+
+
+def per_worker(shared, build: Callable[[Any], Any]) -> Any:
+    """``build(value)`` of a ``broadcast_plain``, kept in the Python worker for its later tasks."""
+    held = shared.value
+    if "built" not in held:
+        held["built"] = build(held["value"])
+    return held["built"]

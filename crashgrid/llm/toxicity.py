@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import materialize
+from .shared import broadcast_plain, materialize, per_worker
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 #: Letters, digits, underscore and all non-ASCII bytes are word bytes.
@@ -205,11 +205,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def toxicity_column(docs: DataFrame, model: ToxicityModel, text_col: str = "text"):
     """Column: a struct of ``RESULT`` per text. The model (bounded) is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = broadcast_plain(docs.sparkSession, (model.weights, model.bias, model.base_rate))
 
     @pandas_udf(RESULT)
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        own = per_worker(shared, lambda m: ToxicityModel(*m))
         names = [x.split()[0] for x in RESULT.split(", ")]
         for texts in batches:
             frame = pd.DataFrame([own.judge(t) for t in texts], columns=names)
@@ -237,11 +237,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 def offending_sentences(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text",
                         threshold: float = 0.5) -> DataFrame:
     """One row per sentence with probability >= threshold: id, start, end, probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = broadcast_plain(docs.sparkSession, (model.weights, model.bias, model.base_rate))
 
     @pandas_udf("array<struct<start:int,end:int,probability:double>>")
     def located(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared.value
+        own = per_worker(shared, lambda m: ToxicityModel(*m))
         for texts in batches:
             yield pd.Series([[{"start": s, "end": e, "probability": p} for s, e, z in own.sentences(t)
                               if (p := logistic(z)) >= threshold] for t in texts], dtype=object)
