@@ -40,10 +40,10 @@ def shard_records(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     total = docs.agg(F.sum(record_bytes(text_col))).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_bytes))
     spread = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    # The hash is coalesced to rows of (bucket, record) before anything else reads it.
     placed = docs.select(F.pmod(spread, F.lit(n_buckets)).cast("int").alias("bucket"),
                          F.struct(spread.alias("h"), F.struct(*docs.columns).alias("record")).alias("r"))
-    dealt = placed.repartition(n_buckets, "bucket")
+    # one bucket is one partition: hashing the numbers again would put several into one task
+    dealt = placed.repartitionById(n_buckets, "bucket")
 
     sizes = docs.select(F.pmod(spread, F.lit(n_buckets)).cast("int").alias("bucket")).groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"))
