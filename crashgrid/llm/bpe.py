@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from itertools import chain
 from typing import Iterator
 
@@ -32,54 +33,85 @@ class PairTree:
     """Minimum tree over (rank, position) keys of adjacent symbol pairs."""
 
     def __init__(self, keys: list[int]):
-        self.width = 1 << max(1, (len(keys) - 1).bit_length())
-        self.tree = [NO_MERGE] * self.width + keys + [NO_MERGE] * (self.width - len(keys))
-        for i in range(self.width - 1, 0, -1):
-            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
+        n = len(keys)
+        self.width = width = 1 << max(1, (n - 1).bit_length())
+        self.tree = tree = [NO_MERGE] * width + keys + [NO_MERGE] * (width - n)
+        for i in range(width - 1, 0, -1):
+            left, right = tree[2 * i], tree[2 * i + 1]
+            tree[i] = left if left < right else right
 
     def least(self) -> int:
         return self.tree[1]
 
     def put(self, place: int, key: int) -> None:
         tree, i = self.tree, place + self.width
+        if tree[i] == key:
+            return
         tree[i] = key
         while i > 1:
+            other = tree[i ^ 1]
+            if other < key:
+                key = other
             i >>= 1
-            key = min(tree[2 * i], tree[2 * i + 1])
             if tree[i] == key:
                 return
             tree[i] = key
 
 
-def merge_word(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Token ids after all merges; ``merges`` gives (rank, merged id) by pair of ids."""
+def merge_word(symbols: list[int], merges: dict[int, int], merged: list[int]) -> list[int]:
+    """Token ids after all merges; ``merges`` gives the rank by pair (first << 32 | second),
+    ``merged`` the new id by rank."""
     n = len(symbols)
     if n < 2:
         return symbols
-    symbols = list(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    shift = n.bit_length()
-
-    def key(i: int) -> int:
-        j = after[i]
-        found = merges.get((symbols[i], symbols[j])) if j < n else None
-        return found[0] << shift | i if found else NO_MERGE
-
-    tree = PairTree([key(i) for i in range(n)])
-    gone = bytearray(n)
-    while (least := tree.least()) != NO_MERGE:
-        i = least & ((1 << shift) - 1)
+    rank_of = merges.get
+    keys = []
+    for i in range(n - 1):
+        rank = rank_of(symbols[i] << 32 | symbols[i + 1])
+        keys.append(NO_MERGE if rank is None else rank << 32 | i)
+    tree = PairTree(keys)
+    symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+    put = tree.put
+    while (least := tree.tree[1]) != NO_MERGE:
+        i = least & 0xFFFFFFFF
         j = after[i]
-        symbols[i] = merges[symbols[i], symbols[j]][1]
-        gone[j] = 1
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        tree.put(j, NO_MERGE)
-        tree.put(i, key(i))
-        if before[i] >= 0:
-            tree.put(before[i], key(before[i]))
-    return [s for s, g in zip(symbols, gone, strict=True) if not g]
+        symbols[i] = new = merged[least >> 32]
+        symbols[j] = -1
+        after[i] = k = after[j]
+        if j < n - 1:
+            put(j, NO_MERGE)
+        if k < n:
+            before[k] = i
+            rank = rank_of(new << 32 | symbols[k])
+            put(i, NO_MERGE if rank is None else rank << 32 | i)
+        else:
+            put(i, NO_MERGE)
+        h = before[i]
+        if h >= 0:
+            rank = rank_of(symbols[h] << 32 | new)
+            put(h, NO_MERGE if rank is None else rank << 32 | h)
+    return [x for x in symbols if x >= 0]
+
+
+#: The pattern and normaliser of the tokenizer family that the short cut below covers, and the same
+#: pattern for lower-cased words of printable ASCII and Latin-1 letters (fixed values of the format).
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PLAIN = re.compile(r"[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")  # without "<", which may start a special token
+PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|"
+                        r"[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
 class Codec:
@@ -89,7 +121,7 @@ class Codec:
     tokenizers library; merging and decoding are done here.
     """
 
-    def __init__(self, definition: str, room: int = 100_000):
+    def __init__(self, definition: str, room: int = 400_000):
         spec = json.loads(definition)
         model, added = spec["model"], spec["added_tokens"]
         if model["type"] != "BPE" or spec["decoder"] is not None or any(
@@ -100,22 +132,45 @@ class Codec:
         self.split = library.pre_tokenizer.pre_tokenize_str
         self.vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b])
-                       for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.merges = {self.vocab[a] << 32 | self.vocab[b]: rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.merged = [self.vocab[a + b] for a, b in pairs]
         self.added = {t["content"]: t["id"] for t in added}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") \
             if added else None
         self.names = {i: t for t, i in chain(self.vocab.items(), self.added.items())}
-        self.room, self.known = room, {}
+        self.room, self.known, self.known_words = room, {}, {}
+        steps = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.plain = steps == NORMALIZERS and parts[0].get("pattern", {}).get("Regex") == WORD_PATTERN
+        self.inner = [self.vocab.get(c) for c in byte_symbols()]
+        self.final = [self.vocab.get(c + self.suffix) for c in byte_symbols()]
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one pre-tokenised word; symbols outside the vocabulary are left out, as the library does."""
         parts = [*word[:-1], word[-1] + self.suffix]
-        return merge_word([self.vocab[p] for p in parts if p in self.vocab], self.merges)
+        return merge_word([self.vocab[p] for p in parts if p in self.vocab], self.merges, self.merged)
+
+    def plain_ids(self, text: str) -> bytes:
+        """``chunk_ids`` of a chunk of ``PLAIN`` characters, whose normal form is its lower case."""
+        known, out = self.known_words, []
+        for word in PLAIN_WORD.findall(text.lower()):
+            ids = known.get(word)
+            if ids is None:
+                data = word.encode()
+                symbols = [*map(self.inner.__getitem__, data[:-1]), self.final[data[-1]]]
+                if None in symbols:
+                    symbols = [x for x in symbols if x is not None]
+                if len(known) >= self.room:
+                    known.clear()
+                known[word] = ids = pack_ids(merge_word(symbols, self.merges, self.merged))
+            out.append(ids)
+        return b"".join(out)
 
     def chunk_ids(self, chunk: bytes) -> bytes:
         """Little-endian 32-bit ids of a text piece without ASCII white space."""
         text = chunk.decode("utf-8", "replace")
+        if self.plain and PLAIN.fullmatch(text):
+            return self.plain_ids(text)
         ids: list[int] = []
         for part in self.special.split(text) if self.special and "<" in text else (text,):
             if part in self.added:
@@ -124,13 +179,13 @@ class Codec:
                 for word, _ in self.split(self.normalize(part)):
                     if word:
                         ids += self.word_ids(word)
-        return np.asarray(ids, dtype="<u4").tobytes()
+        return pack_ids(ids)
 
     def encode(self, text: bytes | None) -> bytes:
         """Little-endian 32-bit ids of a whole text (UTF-8)."""
         chunks = text.split() if text else []
         known = self.known
-        for chunk in set(chunks) - known.keys():
+        for chunk in [c for c in set(chunks) if c not in known]:
             if len(known) >= self.room:
                 known.clear()
             known[chunk] = self.chunk_ids(chunk)
