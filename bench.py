@@ -85,13 +85,13 @@ def run_suite(spark, sf_dir: str, timings: dict | None) -> None:
     run("densify_daily", lambda: densify_daily(A.total_collisions_trend_over_time(prepared)))
     run("forecast_trend", lambda: forecast_collision_trend(A.total_collisions_trend_over_time(prepared), 30))
     run("filter_chain", lambda: view, action="noop")
-    run("capped_sample", lambda: capped_sample(points), action="noop")
+    run("capped_sample", lambda: capped_sample(points, 6000), action="noop")
     run("grid_clusters", lambda: A.build_cluster_dataframe(points), action="noop")
     run("map_viewport", lambda: A.map_viewport(points))
 
     def full_view():
         panels = dashboard_view(prepared, DashboardParams(years=(1998,), recent_days=90, top_n=10,
-                                                          forecast_horizon=7))
+                                                          forecast_horizon=7), 6000)
         try:
             for name, df in panels.items():
                 if name != "filtered" and not name.startswith("_"):
@@ -103,6 +103,7 @@ def run_suite(spark, sf_dir: str, timings: dict | None) -> None:
     run("reconcile_paths", lambda: reconcile_paths(clean(raw), prepared))
     run("fold_numstat", lambda: G.fold_numstat(numstat))
     run("contribution_summary", lambda: G.contribution_summary(numstat, prs, aliases))
+    run("resolve_alias", lambda: G.resolve_alias(commits, aliases), action="noop")
     run("left_merge_counts", lambda: G.left_merge_counts(commits, prs, aliases))
 
 

@@ -21,26 +21,36 @@ from .operators import aggregates as A
 from .operators.cleaning import clean, quality_report
 from .operators.reconcile import reconcile_paths
 from .operators.filters import DashboardParams
-from .plans.dashboard import dashboard_view, default_params, release
+from .plans.dashboard import dashboard_view, default_params, export_view, release
 from .plans.prepare import prepare_dataset
 from .session import get_spark
 from .sources.activity import read_aliases, read_numstat_log, scan_pr_json
 from .sources.csv import load_dataset
-from .sources.export import export_summary
+from .sources.export import export_results, export_summary
 from .sources.parquet import get_prepared_data
 
 
+def show_table(df, rows: int) -> None:
+    """Print at most ``rows`` rows and say so when there are more."""
+    total = df.count()
+    df.show(rows, truncate=False)
+    if total > rows:
+        print(f"(preview: first {rows} of {total} rows; use --out for all)")
+
+
 def main(argv=None, spark=None) -> int:
     parser = argparse.ArgumentParser(prog="crashgrid", description=__doc__,
                                      formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = parser.add_subparsers(dest="command", required=True)
     p = sub.add_parser("prepare"); p.add_argument("raw"); p.add_argument("out")
     r = sub.add_parser("report"); r.add_argument("raw"); r.add_argument("--top", type=int, default=10)
-    v = sub.add_parser("validate"); v.add_argument("raw"); v.add_argument("prepared")
+    v = sub.add_parser("validate"); v.add_argument("raw"); v.add_argument("prepared"); v.add_argument("--out")
     w = sub.add_parser("view"); w.add_argument("prepared")
     w.add_argument("--years", type=int, nargs="*"); w.add_argument("--divisions", nargs="*")
     w.add_argument("--neighbourhoods", nargs="*"); w.add_argument("--severity", default="All Severities")
     w.add_argument("--recent-days", type=int); w.add_argument("--all-time", action="store_true")
+    w.add_argument("--map-sample-rows", type=int, default=6000, help="points kept for display in map_sample")
+    w.add_argument("--out", help="folder for every panel and the filtered rows, as CSV")
     w.add_argument("--top", type=int, default=10); w.add_argument("--horizon", type=int, default=7)
     for flag in ("pedestrian", "bicycle", "motorcycle"):
         w.add_argument(f"--{flag}", action="store_true")
@@ -58,12 +68,16 @@ def main(argv=None, spark=None) -> int:
         print("DATA QUALITY REPORT")
         quality_report(raw).show(vertical=True, truncate=False)
         cleaned = clean(raw)
-        A.collisions_by_hour(cleaned).show(24, truncate=False)
+        show_table(A.collisions_by_hour(cleaned), 100)
         A.collisions_by_neighbourhood(cleaned, args.top).show(args.top, truncate=False)
         A.collision_severity_analysis(cleaned).show(truncate=False)
     elif args.command == "validate":
         raw = load_dataset(spark, args.raw)
-        reconcile_paths(clean(raw), get_prepared_data(spark, args.prepared)).show(1000, truncate=False)
+        report = reconcile_paths(clean(raw), get_prepared_data(spark, args.prepared))
+        if args.out:
+            print(f"Report written to: {export_results(report, args.out)}")
+        else:
+            show_table(report, 1000)
     elif args.command == "view":
         prepared = get_prepared_data(spark, args.prepared)
         defaults = default_params(prepared)
@@ -76,16 +90,20 @@ def main(argv=None, spark=None) -> int:
             recent_days=None if args.all_time else (args.recent_days or defaults.recent_days),
             top_n=args.top, forecast_horizon=args.horizon)
         print(f"View: {params}")
-        view = dashboard_view(prepared, params)
+        view = dashboard_view(prepared, params, args.map_sample_rows)
         try:
+            if args.out:
+                print(f"Filtered rows written to: {export_view(view, args.out + '/filtered')}")
             for name, df in view.items():
                 if name == "filtered" or name.startswith("_"):
                     continue
-                if name == "map_sample":
-                    print(f"map_sample: {df.count()} points")
-                    continue
-                print(name)
-                df.show(50, truncate=False)
+                if args.out:
+                    print(f"{name} written to: {export_results(df, args.out + '/' + name)}")
+                elif name in ("map_points", "map_sample"):
+                    print(f"{name}: {df.count()} points")
+                else:
+                    print(name)
+                    show_table(df, 50)
         finally:
             release(view)
     elif args.command == "contributions":
@@ -95,7 +113,7 @@ def main(argv=None, spark=None) -> int:
         if args.out:
             print(f"Summary written to: {export_summary(summary, args.out)}")
         else:
-            summary.show(1000, truncate=False)
+            show_table(summary, 1000)
     return 0
 
 

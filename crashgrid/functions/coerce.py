@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
-from ..schema import TIMESTAMP_FORMATS
+from ..schema import TIMESTAMP_FORMATS, ZONE_PATTERN
 from .text import col, strip
 
 # A plain decimal number with optional exponent and surrounding whitespace.
@@ -37,13 +37,20 @@ def to_timestamp_any(c, dtype=None, formats=TIMESTAMP_FORMATS) -> Column:
 
     A failed parse is costly (the parser signals it with an exception), so
     each layout is only tried on text of its shape, checked by a regex first.
+    A trailing zone offset is taken off first; the result is then in UTC.
     """
     c = col(c)
     if isinstance(dtype, (TimestampType, TimestampNTZType, DateType)):
         return c.cast("timestamp_ntz")
     text = strip(c.cast("string"))
+    zone = F.regexp_extract(text, ZONE_PATTERN, 2)  # empty without a zone
+    text = F.when(zone != "", F.regexp_extract(text, ZONE_PATTERN, 1)).otherwise(text)
     parsed = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))) for fmt, shape in formats]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    digits = F.regexp_replace(zone, "[^0-9]", "")
+    minutes = F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 60 + F.coalesce(
+        F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+    ahead = F.when(zone.startswith("-"), -minutes).otherwise(minutes)
+    return F.coalesce(*parsed).cast("timestamp_ntz") - F.make_dt_interval(mins=ahead)
 
 
 def round_half_even(c, digits: int = 3) -> Column:

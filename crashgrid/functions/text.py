@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ASCII whitespace removed by a full strip (Spark's ``trim`` removes spaces only).
-WHITESPACE = " \t\n\r\x0b\x0c"
+# Whitespace removed by a full strip: ASCII and Unicode (Spark's ``trim`` removes spaces only).
+WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+              + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def col(c) -> Column:
@@ -14,7 +15,7 @@ def col(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Remove leading/trailing whitespace of every ASCII kind."""
+    """Remove leading/trailing whitespace, ASCII and Unicode."""
     return F.btrim(col(c).cast("string"), F.lit(WHITESPACE))
 
 

@@ -35,16 +35,22 @@ def roster(aliases: DataFrame) -> DataFrame:
     return aliases.select("member_id", "member").distinct()
 
 
+ALIAS_SALTS = 32  # parts that one author's rows are dealt into
+
+
 def resolve_alias(df: DataFrame, aliases: DataFrame, column: str = "author") -> DataFrame:
     """Map a name/handle/alias column (stripped, lower-cased) to its member.
 
-    Adds member_id and member; rows that match no alias are dropped.
+    Adds member_id and member; rows that match no alias are dropped. Rows are
+    salted by their content and the (small, unique) lookup is repeated per
+    salt, so an author who holds a third of all rows is joined by many tasks.
     """
     require_columns(df, [column])
-    lookup = alias_lookup(aliases)
+    lookup = alias_lookup(aliases).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ALIAS_SALTS - 1))))
     return (df.withColumn("_key", norm_key(column))
-            .join(lookup, F.col("_key") == lookup["alias_key"], "inner")
-            .drop("_key", "alias_key"))
+            .withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(ALIAS_SALTS)).cast("int"))
+            .join(lookup.withColumnRenamed("alias_key", "_key"), ["_key", "_salt"], "inner")
+            .drop("_key", "_salt"))
 
 
 # --- J3: zero fill --------------------------------------------------------------
@@ -229,6 +235,8 @@ def contribution_summary(numstat: DataFrame, prs: DataFrame, aliases: DataFrame,
 
     PRs count for a member when the login equals any of the member's aliases.
     Both sides are aggregated per member before joining, so nothing fans out.
+    An alias table with a ``github`` column passes each member's (smallest)
+    handle on.
     """
     stats = _member_stats(numstat, aliases, chunk_lines)
     keys = (aliases.select("member_id", "member", norm_key("alias").alias("login"))
@@ -241,4 +249,8 @@ def contribution_summary(numstat: DataFrame, prs: DataFrame, aliases: DataFrame,
     vals = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in STAT_COLUMNS + ["prs"]}
     out = out.select("member_id", "member", *[v.alias(k) for k, v in vals.items()])
     status = F.when((F.col("commits") > 0) | (F.col("prs") > 0), STATUS_ACTIVE).otherwise(STATUS_INACTIVE)
-    return out.withColumn("status", status).orderBy("member", "member_id")
+    out = out.withColumn("status", status)
+    if "github" in aliases.columns:
+        handles = aliases.groupBy("member_id", "member").agg(F.min("github").alias("github"))
+        out = out.join(handles, ["member_id", "member"], "left")
+    return out.orderBy("member", "member_id")

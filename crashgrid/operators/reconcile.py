@@ -30,7 +30,9 @@ def metric_table(df: DataFrame, normalized_road_users: bool, top_n: int = 10) ->
     road_user (A7 exact 'YES', or A8 after normalising). A path without rows
     reports no metrics.
     """
-    hour = F.col("OCC_HOUR").try_cast("bigint")
+    hour = F.col("OCC_HOUR").try_cast("double")
+    whole = hour.try_cast("bigint")
+    hour = F.when(hour == whole, whole.cast("string")).otherwise(hour.cast("string"))
     one = F.lit(1)
     entries = [
         _entry("row_count", F.lit(""), one),
@@ -52,7 +54,9 @@ def metric_table(df: DataFrame, normalized_road_users: bool, top_n: int = 10) ->
               .filter(F.col("e").isNotNull())
               .groupBy("e.metric", "e.key").agg(F.sum("e.w").alias("value")))
 
-    order = [F.desc("value"), F.col("key").try_cast("bigint").asc_nulls_last(), F.asc("key")]
+    # hours tie by their number, names by their text, as in the single analyses
+    number = F.when(F.col("metric") == "by_hour", F.col("key").try_cast("double"))
+    order = [F.desc("value"), number.asc_nulls_last(), F.asc("key")]
     # Two-level top-N for neighbourhoods: the best N inside each of 64 key buckets (parallel),
     # then the final rank over at most 64 * N rows, so no task sorts every distinct name.
     bucket = F.pmod(F.xxhash64("key"), F.lit(64))
@@ -69,7 +73,7 @@ def metric_table(df: DataFrame, normalized_road_users: bool, top_n: int = 10) ->
     })
     peak = F.when((F.col("metric") == "by_hour") & (F.col("_rank") == 1),
                   F.struct(F.lit("peak_hour").alias("metric"),
-                           F.format_string("%02d:00", F.col("key").cast("int")).alias("key"),
+                           F.format_string("%02d:00", F.col("key").cast("double").cast("int")).alias("key"),
                            F.lit(1).cast("bigint").alias("value"))) \
         .when((F.col("metric") == "row_count") & (F.col("_has_hour") == 0),
               F.struct(F.lit("peak_hour").alias("metric"), F.lit("N/A").alias("key"),

@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import MAP_ROW_CAP, MAP_SAMPLE_SEED, require_columns
+from ..schema import MAP_SAMPLE_SEED, require_columns
 from .aggregates import top_counts
 
 
@@ -46,7 +46,7 @@ def _hash_order(seed: int, id_col: str):
     return h, unit
 
 
-def capped_sample(df: DataFrame, cap: int = MAP_ROW_CAP, seed: int = MAP_SAMPLE_SEED,
+def capped_sample(df: DataFrame, cap: int, seed: int = MAP_SAMPLE_SEED,
                   protected_class: str = "Fatal", id_col: str = "EVENT_UNIQUE_ID",
                   margin_sigmas: float = 6.0) -> DataFrame:
     """K5: at most ``cap`` rows for display, never dropping a protected row.

@@ -22,7 +22,7 @@ from ..operators import sampling as K
 from ..operators import timeseries as T
 from ..operators.reconcile import reconcile_paths
 from ..plans.prepare import prepare_dataset, prepare_frame
-from ..schema import HEATMAP_CLASSES, POINT_DRAW_ORDER, REQUIRED_COLUMNS, SEVERITY_CLASSES, SEVERITY_OTHER
+from ..schema import HEATMAP_CLASSES, MAP_ROW_CAP, POINT_DRAW_ORDER, REQUIRED_COLUMNS, SEVERITY_CLASSES, SEVERITY_OTHER
 from ..session import scratch_path
 from ..sources import activity as SA
 from ..sources.csv import load_dataset, validate_required_columns
@@ -139,13 +139,13 @@ PRS_PER_DOCUMENT = 500
 
 
 def q_scan_pr_json_array(spark, d):
-    """PR lists as JSON array documents (at most 500 PRs each), one document per file."""
+    """PR lists as JSON array documents (at most 500 PRs each), many documents per file."""
     page = F.floor(F.col("number") / F.lit(PRS_PER_DOCUMENT))
     arrays = (_prs(spark, d).groupBy(page.alias("page"))
               .agg(F.to_json(F.collect_list(_pr_struct())).alias("value")))
     path = scratch_path(spark, "prs-json-array")
-    arrays.write.mode("overwrite").partitionBy("page").text(path)
-    return SA.scan_pr_json(spark, path, json_array=True)
+    arrays.select("value").write.mode("overwrite").text(path)
+    return SA.scan_pr_json(spark, path, json_array=True, multiline=False)
 
 
 # --- cleaning ---------------------------------------------------------------------
@@ -388,7 +388,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "multi_key_sort": q_multi_key_sort,
     "categorical_sort": q_categorical_sort,
     "preview": q_preview,
-    "capped_sample": lambda s, d: K.capped_sample(points(s, d)),
+    "capped_sample": lambda s, d: K.capped_sample(points(s, d), MAP_ROW_CAP),
     # set operations
     "concat_rows": q_concat_rows,
     "trend_overlay": q_trend_overlay,

@@ -21,10 +21,13 @@ VIEW_COLUMNS = list(dict.fromkeys(
      "severity_class"] + [column for _, column in ROAD_USERS] + MAP_COLUMNS))
 
 
-def dashboard_view(prepared: DataFrame, params: DashboardParams,
+def dashboard_view(prepared: DataFrame, params: DashboardParams, map_sample_rows: int,
                    persist: bool | None = None) -> dict[str, DataFrame]:
     """Lazy results of one view.
 
+    ``map_points`` holds every point of the view; ``map_sample`` at most
+    ``map_sample_rows`` of them, for display (see ``capped_sample``).
+
     The filtered rows feed a dozen analyses. When the view is narrowed to
     some years or a recent window (``persist=None``, the default) those rows
     are a slice of the table, and the columns the analyses read
@@ -43,12 +46,10 @@ def dashboard_view(prepared: DataFrame, params: DashboardParams,
         rows = filtered.select(*[c for c in VIEW_COLUMNS if c in filtered.columns]) \
             .persist(StorageLevel.MEMORY_AND_DISK)
     points = map_points(rows)
-    total = A.total_collisions_trend_over_time(rows)
-    severity = A.severity_trend_over_time(rows, params.severity)
-    forecast = forecast_collision_trend(total, params.forecast_horizon)
-    if persist:
-        # daily series and the forecast are small and feed several panels
-        total, severity, forecast = (d.persist(StorageLevel.MEMORY_AND_DISK) for d in (total, severity, forecast))
+    # The daily series feed several panels and are no longer than the calendar, so they are always persisted.
+    total = A.total_collisions_trend_over_time(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    severity = A.severity_trend_over_time(rows, params.severity).persist(StorageLevel.MEMORY_AND_DISK)
+    forecast = forecast_collision_trend(total, params.forecast_horizon).persist(StorageLevel.MEMORY_AND_DISK)
     panels = count_panels(rows, top_n=params.top_n)
     shared = panels.pop("_counts")
     return {
@@ -59,7 +60,8 @@ def dashboard_view(prepared: DataFrame, params: DashboardParams,
         "forecast": forecast,
         "forecast_guard": forecast_guard(total, params.forecast_horizon),
         "trend_overlay": trend_overlay(severity, total, forecast),
-        "map_sample": capped_sample(points),
+        "map_points": points,
+        "map_sample": capped_sample(points, map_sample_rows),
         "map_viewport": A.map_viewport(points),
         "map_clusters": A.build_cluster_dataframe(points),
         "_shared_counts": shared,

@@ -94,9 +94,25 @@ TIMESTAMP_FORMATS = [
     ("yyyy-M-d'T'H:m:s", r"^[0-9]+-[0-9]+-[0-9]+T[0-9]+:[0-9]+:[0-9]+$"),
     ("yyyy-M-d", r"^[0-9]+-[0-9]+-[0-9]+$"),
     ("M/d/yyyy h:m:s a", r"^[0-9]+/[0-9]+/[0-9]+ [0-9]+:[0-9]+:[0-9]+ [AaPp][Mm]$"),
-    ("M/d/yyyy", r"^[0-9]+/[0-9]+/[0-9]+$"),
+    ("M/d/yyyy", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]+$"),
+    ("yyyy/M/d", r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"),
+    ("yyyy/M/d H:m:s", r"^[0-9]{4}/[0-9]+/[0-9]+ [0-9]+:[0-9]+:[0-9]+$"),
+    ("yyyy/M/d H:m", r"^[0-9]{4}/[0-9]+/[0-9]+ [0-9]+:[0-9]+$"),
+    ("yyyy-M-d H:m", r"^[0-9]{4}-[0-9]+-[0-9]+ [0-9]+:[0-9]+$"),
+    ("yyyy-M-d'T'H:m", r"^[0-9]{4}-[0-9]+-[0-9]+T[0-9]+:[0-9]+$"),
+    ("M/d/yyyy h:m a", r"^[0-9]{1,2}/[0-9]+/[0-9]{4} [0-9]+:[0-9]+ [AaPp][Mm]$"),
+    ("M/d/yyyy H:m:s", r"^[0-9]{1,2}/[0-9]+/[0-9]{4} [0-9]+:[0-9]+:[0-9]+$"),
+    ("M/d/yyyy H:m", r"^[0-9]{1,2}/[0-9]+/[0-9]{4} [0-9]+:[0-9]+$"),
+    ("yyyyMMdd", r"^[0-9]{8}$"),
+    ("MMM d, yyyy", r"^[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}$"),
+    ("yyyy-M-d H:m:s.SSSSSSSSS", r"^[0-9]{4}-[0-9]+-[0-9]+ [0-9]+:[0-9]+:[0-9]+\.[0-9]{1,9}$"),
+    ("yyyy-M-d'T'H:m:s.SSSSSSSSS", r"^[0-9]{4}-[0-9]+-[0-9]+T[0-9]+:[0-9]+:[0-9]+\.[0-9]{1,9}$"),
 ]
 
+# A trailing zone (Z, +hh, +hhmm, +hh:mm) after a time of day. The rest is
+# parsed by the layouts above and moved to UTC by the offset.
+ZONE_PATTERN = r"^(.*[0-9]:[0-9]+(?::[0-9.]+)?) ?(Z|[+-][0-9]{2}(?::?[0-9]{2})?)$"
+
 # --- end of fixed values ----------------------------------------------------
 
 

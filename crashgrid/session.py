@@ -43,14 +43,17 @@ def get_spark(master: str | None = None, app: str = "crashgrid",
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster this setting names shared storage and is used as is. Only
-    when it is unset (local runs, tests) a private folder is created and
-    registered as the SparkContext's checkpoint dir.
+    On a cluster this setting names shared storage and is used as is; without
+    it a ``RuntimeError`` is raised, because executors on other hosts could not
+    see a folder made here. Only a local master gets a private folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) \
         or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) \
         or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="crashgrid-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir() or root
@@ -65,7 +68,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def shuffle_partitions_for(input_bytes: int, target_partition_bytes: int = 256 << 20,
-                           minimum: int = 200, maximum: int = 100_000) -> int:
+                           minimum: int = 200) -> int:
     """Shuffle partition count for a job that shuffles about ``input_bytes``.
 
     Only the preparation dedupe shuffles data of the input's size; every
@@ -74,4 +77,4 @@ def shuffle_partitions_for(input_bytes: int, target_partition_bytes: int = 256 <
     partitions that turn out smaller.
     """
     wanted = -(-int(input_bytes) // int(target_partition_bytes))
-    return max(minimum, min(maximum, wanted))
+    return max(minimum, wanted)

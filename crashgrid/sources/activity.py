@@ -31,26 +31,29 @@ def scan_activity_log(spark: SparkSession, path: str) -> DataFrame:
 def parse_pr_json(lines: DataFrame, column: str = "value") -> DataFrame:
     """One JSON object per line -> (number, title, state, login).
 
-    Malformed lines parse to null and are dropped.
+    Malformed lines are dropped. A PR may lack any field, its number too
+    (listings that ask for authors only): the missing fields are null.
     """
-    parsed = F.from_json(F.col(column), PR_SCHEMA, {"mode": "PERMISSIVE"})
+    schema = PR_SCHEMA + ", _corrupt_record STRING"
+    parsed = F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"})
     return (lines.select(parsed.alias("_pr"))
-            .filter(F.col("_pr").isNotNull() & F.col("_pr.number").isNotNull())
+            .filter(F.col("_pr").isNotNull() & F.col("_pr._corrupt_record").isNull())
             .select(F.col("_pr.number").alias("number"), F.col("_pr.title").alias("title"),
                     F.col("_pr.state").alias("state"), F.col("_pr.author.login").alias("login")))
 
 
-def scan_pr_json(spark: SparkSession, path: str, json_array: bool = False) -> DataFrame:
-    """S8 source: JSON lines (default) or files each holding one JSON array of PRs.
+def scan_pr_json(spark: SparkSession, path: str, json_array: bool = False, multiline: bool = True) -> DataFrame:
+    """S8 source: JSON lines (default) or JSON arrays of PRs.
 
-    In array files every element is one PR; a malformed file yields no rows.
+    In arrays every element is one PR. By default a file holds one array,
+    which may span lines; with ``multiline`` false every line is an array of
+    its own, so large files can be split. A malformed document yields no rows.
     """
     if not json_array:
         return parse_pr_json(spark.read.text(path))
-    df = (spark.read.schema(PR_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED")
-          .json(path))
-    return (df.filter(F.col("number").isNotNull())
-            .select("number", "title", "state", F.col("author.login").alias("login")))
+    df = (spark.read.schema(PR_SCHEMA).option("multiLine", bool(multiline))
+          .option("mode", "DROPMALFORMED").json(path))
+    return (df.select("number", "title", "state", F.col("author.login").alias("login")))
 
 
 def read_numstat_log(spark: SparkSession, path: str) -> DataFrame:

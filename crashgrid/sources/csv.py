@@ -20,9 +20,11 @@ def load_dataset(spark: SparkSession, path: str, null_tokens=CSV_NULL_TOKENS,
 
     Raises ``FileNotFoundError("Dataset not found: ...")`` for a missing path
     and ``ValueError("Missing required columns: [...]")`` when the header
-    lacks a required column. Names come from the header (no schema is forced,
-    which would bind columns by position) and, without type inference, every
-    column is text. The usual missing-value tokens become nulls in one
+    lacks a required column. Names come from the header and, without type
+    inference, every column is text. A folder's files must agree: a file whose
+    header differs from the first one's (other names or another order) is
+    refused when it is read, never bound by position. Quotes inside quoted
+    values are doubled (RFC 4180); a backslash is an ordinary character. The usual missing-value tokens become nulls in one
     projection. ``multiline`` accepts quoted values spanning lines; it is off
     by default because a multi-line file cannot be split across tasks.
     """
@@ -30,6 +32,8 @@ def load_dataset(spark: SparkSession, path: str, null_tokens=CSV_NULL_TOKENS,
         df = (spark.read
               .option("header", True)
               .option("inferSchema", False)
+              .option("enforceSchema", False)
+              .option("escape", '"')
               .option("mode", "PERMISSIVE")
               .option("multiLine", bool(multiline))
               .option("ignoreLeadingWhiteSpace", False)

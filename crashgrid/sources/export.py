@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Result tables at or below this many rows are written as one file.
-SINGLE_FILE_MAX_ROWS = 1_000_000
-
 
 def export_results(df: DataFrame, output_path: str, single_file: bool = False) -> str:
     """Write ``df`` as CSV with a header row; returns ``output_path``.
@@ -25,6 +22,10 @@ def export_results(df: DataFrame, output_path: str, single_file: bool = False) -
     return output_path
 
 
-def export_summary(summary: DataFrame, output_path: str) -> str:
-    """Contribution summary to CSV (one file: one row per roster member)."""
-    return export_results(summary, output_path, single_file=True)
+def export_summary(summary: DataFrame, output_path: str, single_file: bool = False) -> str:
+    """Contribution summary to CSV (one row per roster member).
+
+    Written by as many tasks as hold the roster; ``single_file`` asks for one
+    file and one task, for rosters known to be small.
+    """
+    return export_results(summary, output_path, single_file=single_file)

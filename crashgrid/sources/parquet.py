@@ -8,17 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 def write_prepared(df: DataFrame, path: str, partition_by: str | None = "YEAR") -> str:
     """Write the prepared table; returns ``path``.
 
-    Partitioned by year so year filters prune whole folders. There is no
-    repartition by year: after the dedupe shuffle rows are hash-spread over
-    tasks, so every task writes one file per year it holds. Years are few,
-    so files stay large, and a hot year is written by all tasks at once
-    instead of one (a repartition by year would add a full shuffle and
-    funnel each year into one task). Inside each file rows are sorted by
-    date, so row-group statistics let recent-window filters skip row groups.
+    Partitioned by year so year filters prune whole folders. Rows are first
+    rebalanced on the year: adaptive execution gathers a small year into few
+    tasks and splits a hot one at the advisory partition size, so the number
+    of files follows the data and not tasks x years. Inside each file rows are
+    sorted by date, so row-group statistics let recent-window filters skip
+    row groups.
     """
     if partition_by and partition_by in df.columns:
         order = [partition_by] + (["OCC_DATE"] if "OCC_DATE" in df.columns else [])
-        (df.sortWithinPartitions(*order)
+        (df.hint("rebalance", partition_by).sortWithinPartitions(*order)
          .write.mode("overwrite").partitionBy(partition_by).parquet(path))
     else:
         df.write.mode("overwrite").parquet(path)

@@ -1,146 +1,67 @@
-import pytest
-
-from crashgrid.operators.aggregates import (collision_severity_analysis, collisions_by_division,
-                                            collisions_by_hour, collisions_by_neighbourhood, kpis, map_viewport,
-                                            peak_hour, road_user_analysis, road_user_summary_normalized,
-                                            road_user_with_automobile)
-
-
-def hours(spark, values):
-    return spark.createDataFrame([(v,) for v in values], "OCC_HOUR int")
-
-
-def neigh(spark, values):
-    return spark.createDataFrame([(v,) for v in values], "NEIGHBOURHOOD_158 string")
-
-
-def sev(spark, values):
-    return spark.createDataFrame([(v,) for v in values], "severity_class string")
-
-
-def test_by_hour_returns_hourly_counts(spark):
-    r = collisions_by_hour(hours(spark, [8, 8, 9, 10, 10, 10]))
-    assert r.columns == ["OCC_HOUR", "collision_count"]
-    assert r.count() == 3
-
-
-def test_by_hour_counts_correctly(spark):
-    first = collisions_by_hour(hours(spark, [8, 8, 9, 10, 10, 10])).first()
-    assert (first["OCC_HOUR"], first["collision_count"]) == (10, 3)
-
-
-def test_by_hour_ignores_missing_hours(spark):
-    rows = collisions_by_hour(hours(spark, [8, 8, None, 10, None, 10])).collect()
-    assert all(r["OCC_HOUR"] is not None for r in rows)
-    assert sum(r["collision_count"] for r in rows) == 4
-
-
-def test_by_hour_ties_sorted_by_hour(spark):
-    rows = collisions_by_hour(hours(spark, [5, 3, 3, 5, 1])).collect()
-    assert [r["OCC_HOUR"] for r in rows] == [3, 5, 1]
-
-
-def test_by_hour_raises_if_column_missing(spark):
-    with pytest.raises(ValueError, match="Missing required columns"):
-        collisions_by_hour(spark.createDataFrame([(8,)], "NOT_OCC_HOUR int"))
-
-
-def test_by_neighbourhood_returns_grouped_counts(spark):
-    r = collisions_by_neighbourhood(neigh(spark, ["A", "A", "B", "C", "C", "C"]))
-    assert r.columns == ["NEIGHBOURHOOD_158", "collision_count"]
-    assert r.count() == 3
-
-
-def test_by_neighbourhood_sorts_desc(spark):
-    first = collisions_by_neighbourhood(neigh(spark, ["A", "A", "B", "C", "C", "C"])).first()
-    assert (first["NEIGHBOURHOOD_158"], first["collision_count"]) == ("C", 3)
-
-
-def test_by_neighbourhood_ignores_missing(spark):
-    rows = collisions_by_neighbourhood(neigh(spark, ["A", None, "B", "B", None, "C"])).collect()
-    assert all(r["NEIGHBOURHOOD_158"] is not None for r in rows)
-    assert sum(r["collision_count"] for r in rows) == 4
-
+"""Aggregates against plain counting over random tables."""
 
-def test_by_neighbourhood_top_n_only(spark):
-    rows = collisions_by_neighbourhood(neigh(spark, ["A", "A", "B", "C", "C", "C", "D"]), top_n=2).collect()
-    assert [r["NEIGHBOURHOOD_158"] for r in rows] == ["C", "A"]
+import random
+from collections import Counter
 
-
-def test_by_neighbourhood_raises_if_column_missing(spark):
-    with pytest.raises(ValueError, match="Missing required columns"):
-        collisions_by_neighbourhood(spark.createDataFrame([("D11",)], "DIVISION string"))
-
-
-def test_by_division_missing_column_is_empty(spark):
-    r = collisions_by_division(spark.createDataFrame([("x",)], "OTHER string"))
-    assert r.columns == ["DIVISION", "collision_count"] and r.count() == 0
-
-
-def test_severity_returns_expected_rows(spark):
-    rows = collision_severity_analysis(sev(spark, ["Fatal", "Injury", "Property Damage", "Injury"])).collect()
-    assert [r["severity_type"] for r in rows] == ["Fatal", "Injury", "Property Damage"]
-    assert [r["value"] for r in rows] == [1, 2, 1]
-
-
-def test_severity_empty_when_column_missing(spark):
-    df = spark.createDataFrame([(1, True, False), (0, False, True)],
-                               "FATALITIES int, INJURY_COLLISIONS boolean, PD_COLLISIONS boolean")
-    r = collision_severity_analysis(df)
-    assert r.count() == 0 and r.columns == ["severity_type", "value"]
-
-
-def test_severity_counts_zero(spark):
-    rows = collision_severity_analysis(sev(spark, ["Fatal", "Fatal"])).collect()
-    assert [r["value"] for r in rows] == [2, 0, 0]
-
-
-def test_severity_handles_empty_input(spark):
-    rows = collision_severity_analysis(sev(spark, [])).collect()
-    assert [r["severity_type"] for r in rows] == ["Fatal", "Injury", "Property Damage"]
-    assert [r["value"] for r in rows] == [0, 0, 0]
-
-
-def test_road_users_with_all_columns_absent(spark):
-    df = spark.createDataFrame([("Driver",), ("Pedestrian",), (None,)], "INVTYPE string")
-    rows = road_user_analysis(df).collect()
-    assert [(r["road_user_type"], r["collision_count"]) for r in rows] == [
-        ("Pedestrian", 0), ("Bicycle", 0), ("Motorcycle", 0)]
-
-
-def test_road_users_exact_versus_normalized(spark):
-    df = spark.createDataFrame([(" YES", "yes", "NO", "YES"), ("YES", "N/R", "YES", "YES")],
-                               "PEDESTRIAN string, BICYCLE string, MOTORCYCLE string, AUTOMOBILE string")
-    exact = {r[0]: r[1] for r in road_user_analysis(df).collect()}
-    norm = {r[0]: r[1] for r in road_user_summary_normalized(df).collect()}
-    four = {r[0]: r[1] for r in road_user_with_automobile(df).collect()}
-    assert exact == {"Pedestrian": 1, "Bicycle": 0, "Motorcycle": 1}
-    assert norm == {"Pedestrian": 2, "Bicycle": 1, "Motorcycle": 1}
-    assert four["Automobile"] == 2
-
-
-def test_peak_hour_label_and_empty(spark):
-    assert peak_hour(hours(spark, [17, 17, 8])).first()["peak_hour"] == "17:00"
-    assert peak_hour(hours(spark, [3, 9, 9, 3])).first()["peak_hour"] == "03:00"
-    assert peak_hour(hours(spark, [None])).first()["peak_hour"] == "N/A"
-
-
-def test_kpis_one_row(spark):
-    df = spark.createDataFrame([("Fatal", "YES", "NO", "NO"), ("Other", "NO", "YES", "NO")],
-                               "severity_class string, PEDESTRIAN string, BICYCLE string, MOTORCYCLE string")
-    r = kpis(df).first().asDict()
-    assert r == {"total_collisions": 2, "fatal": 1, "injury": 0, "property_damage": 0,
-                 "pedestrian": 1, "bicycle": 1, "motorcycle": 0}
-
-
-def test_map_viewport_zoom_band(spark):
-    df = spark.createDataFrame([(43.70, -79.40), (43.72, -79.41)], "LAT_WGS84 double, LONG_WGS84 double")
-    r = map_viewport(df).first()
-    assert r["zoom"] == 15 and abs(r["center_lat"] - 43.71) < 1e-9
-
-
-def test_peak_hour_dashboard_label_and_default_year(spark):
-    from crashgrid.operators.aggregates import default_year
-    assert peak_hour(hours(spark, [None]), empty_label="-").first()["peak_hour"] == "-"
-    df = spark.createDataFrame([(2019.0,), (2024.0,), (None,)], "YEAR double")
-    assert default_year(df).first()["default_year"] == 2024
+import pytest
+from crashgrid.operators import aggregates as A
+
+SEVERITIES = ["Fatal", "Injury", "Property Damage", "Other", None]
+FLAGS = ["YES", "NO", " yes", "N/R", None, "Yes "]
+
+
+def table(spark, n, seed):
+    draw = random.Random(seed)
+    rows = [(draw.choice([None, *range(24)]), draw.choice([None, "Elm", "Oak", "Ash", "10", "9"]),
+             draw.choice([None, "X1", "X2"]), draw.choice(SEVERITIES), *(draw.choice(FLAGS) for _ in range(4)),
+             draw.choice([None, 2011.0, 2013.0]), draw.uniform(10, 11), draw.uniform(20, 21)) for _ in range(n)]
+    frame = spark.createDataFrame(rows, "OCC_HOUR int, NEIGHBOURHOOD_158 string, DIVISION string, severity_class string, "
+                                  "PEDESTRIAN string, BICYCLE string, MOTORCYCLE string, AUTOMOBILE string, YEAR double, "
+                                  "LAT_WGS84 double, LONG_WGS84 double")
+    return frame, rows
+
+
+def ranked(values, top=None):
+    counts = Counter(v for v in values if v is not None)
+    return sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:top]
+
+
+@pytest.mark.parametrize("seed,n", [(1, 0), (2, 1), (3, 300), (4, 300)])
+def test_counts_order_and_top_n(spark, seed, n):
+    frame, rows = table(spark, n, seed)
+    plain = lambda df: [tuple(r)[:2] for r in df.collect()]
+    assert plain(A.collisions_by_hour(frame)) == ranked(r[0] for r in rows)
+    for top in (1, 2, 50):
+        assert plain(A.collisions_by_neighbourhood(frame, top)) == ranked((r[1] for r in rows), top)
+    assert plain(A.collisions_by_division(frame)) == ranked(r[2] for r in rows)
+    severity = Counter(r[3] for r in rows)
+    assert plain(A.collision_severity_analysis(frame)) == [(s, severity[s]) for s in SEVERITIES[:3]]
+    exact = {"Pedestrian": 4, "Bicycle": 5, "Motorcycle": 6}
+    assert dict(plain(A.road_user_analysis(frame))) == {k: sum(r[i] == "YES" for r in rows) for k, i in exact.items()}
+    clean = lambda v: (v or "").strip().upper() == "YES"
+    assert dict(plain(A.road_user_summary_normalized(frame))) == {k: sum(clean(r[i]) for r in rows) for k, i in exact.items()}
+
+
+def test_one_row_summaries(spark):
+    frame, rows = table(spark, 200, 8)
+    got = A.kpis(frame).first().asDict()
+    assert got["total_collisions"] == 200
+    assert (got["fatal"], got["injury"]) == (sum(r[3] == "Fatal" for r in rows), sum(r[3] == "Injury" for r in rows))
+    best = ranked(r[0] for r in rows)[0][0]
+    assert A.peak_hour(frame).first()["peak_hour"] == f"{best:02d}:00"
+    assert A.default_year(frame).first()["default_year"] == 2013
+    view = A.map_viewport(frame).first()
+    assert 10 < view["center_lat"] < 11 and 20 < view["center_lon"] < 21
+    assert dict((r[0], r[1]) for r in A.road_user_with_automobile(frame).collect())["Automobile"] >= sum(
+        r[7] == "YES" for r in rows)
+
+
+def test_absent_hours_and_columns(spark):
+    blank = spark.createDataFrame([(None,)], "OCC_HOUR int")
+    assert A.peak_hour(blank).first()["peak_hour"] == "N/A"
+    assert A.peak_hour(blank, empty_label="none").first()["peak_hour"] == "none"
+    assert A.collision_severity_analysis(blank).count() == 0 == A.collisions_by_division(blank).count()
+    assert {r[1] for r in A.road_user_analysis(blank).collect()} == {0}
+    for needed in (A.collisions_by_neighbourhood, lambda df: A.collisions_by_hour(df.drop("OCC_HOUR"))):
+        with pytest.raises(ValueError, match="Missing required columns"):
+            needed(blank.withColumn("z", blank["OCC_HOUR"]))

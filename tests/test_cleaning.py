@@ -1,99 +1,80 @@
+"""Cleaning as properties of random raw tables, and literal expectations per text form."""
+
 import datetime as dt
+import random
 
+import pytest
 from crashgrid.operators.cleaning import clean, coerce_numeric, coerce_timestamp, dedupe_rows, quality_report
 from crashgrid.schema import REQUIRED_COLUMNS
 
 DDL = ", ".join(f"{c} string" for c in REQUIRED_COLUMNS)
 
 
-def _row(**kw):
-    base = dict(EVENT_UNIQUE_ID="1", OCC_DATE="2024-01-01", OCC_YEAR="2024", OCC_HOUR="8", DIVISION="D11",
-                FATALITIES="0", INJURY_COLLISIONS="NO", PD_COLLISIONS="YES", NEIGHBOURHOOD_158="Yorkdale-Glen Park",
-                LONG_WGS84="-79.4", LAT_WGS84="43.7", AUTOMOBILE="YES", MOTORCYCLE="NO", BICYCLE="NO",
-                PEDESTRIAN="NO")
-    base.update(kw)
-    return tuple(base[c] for c in REQUIRED_COLUMNS)
-
-
-def sample(spark):
-    rows = [
-        _row(),
-        _row(EVENT_UNIQUE_ID="2", OCC_DATE="2024-01-02", OCC_HOUR="17", DIVISION="D12", INJURY_COLLISIONS="YES",
-             PD_COLLISIONS="NO", NEIGHBOURHOOD_158="NSA", LONG_WGS84="0", LAT_WGS84="0", BICYCLE="YES"),
-        _row(),
-        _row(EVENT_UNIQUE_ID="3", OCC_DATE=None, OCC_YEAR=None, OCC_HOUR=None, DIVISION="D14",
-             NEIGHBOURHOOD_158="", LONG_WGS84="-79.2", LAT_WGS84="43.6", PEDESTRIAN="YES"),
-    ]
-    return spark.createDataFrame(rows, DDL)
-
-
-def test_converts_occ_date_to_timestamp(spark):
-    assert dict(clean(sample(spark)).dtypes)["OCC_DATE"] == "timestamp_ntz"
-
-
-def test_converts_year_hour_and_coordinates_to_numeric(spark):
-    types = dict(clean(sample(spark)).dtypes)
-    for c in ("OCC_YEAR", "OCC_HOUR", "LAT_WGS84", "LONG_WGS84"):
-        assert types[c] == "double"
-
-
-def test_removes_duplicate_rows(spark):
-    ids = [r["EVENT_UNIQUE_ID"] for r in clean(sample(spark)).collect()]
-    assert ids.count("1") == 1
-
-
-def test_removes_invalid_coordinates(spark):
-    rows = clean(sample(spark)).collect()
-    assert not any(r["LAT_WGS84"] == 0 or r["LONG_WGS84"] == 0 for r in rows)
-
-
-def test_handles_placeholder_neighbourhood_values(spark):
-    assert "NSA" not in [r["NEIGHBOURHOOD_158"] for r in clean(sample(spark)).collect()]
-
-
-def test_adds_missing_data_flags(spark):
-    cols = clean(sample(spark)).columns
-    assert "HAS_VALID_COORDINATES" in cols and "HAS_VALID_NEIGHBOURHOOD" in cols
-
-
-def test_flags_missing_neighbourhood_as_invalid(spark):
-    row = [r for r in clean(sample(spark)).collect() if r["EVENT_UNIQUE_ID"] == "3"][0]
-    assert row["HAS_VALID_NEIGHBOURHOOD"] is False
-
-
-def test_dedupe_runs_before_coercion_so_text_variants_stay(spark):
-    df = spark.createDataFrame([_row(OCC_HOUR="8"), _row(OCC_HOUR="8.0"), _row(OCC_HOUR="8")], DDL)
-    assert dedupe_rows(df).count() == 2
-    assert clean(df).count() == 2
-
-
-def test_dedupe_is_idempotent(spark):
-    once = dedupe_rows(sample(spark))
-    assert sorted(once.collect()) == sorted(dedupe_rows(once).collect())
-
-
-def test_numeric_coercion_rejects_suffixes_and_nan(spark):
-    df = spark.createDataFrame([(v,) for v in ["8", "8.0", " 9 ", "1d", "nan", "abc", "1e2", None]], "OCC_HOUR string")
-    df = df.selectExpr("OCC_HOUR", "'2024' as OCC_YEAR", "'43.7' as LAT_WGS84", "'-79.4' as LONG_WGS84")
-    got = [r["OCC_HOUR"] for r in coerce_numeric(df).collect()]
-    assert got == [8.0, 8.0, 9.0, None, None, None, 100.0, None]
-
-
-def test_timestamp_coercion_accepts_several_layouts(spark):
-    df = spark.createDataFrame([(v,) for v in ["2024-01-05", "2024-01-05 07:08:09", "2024-01-05T07:08:09",
-                                               "1/2/2014 5:00:00 AM", "1/2/2014", "not-a-date", None]],
-                               "OCC_DATE string")
-    got = [r["OCC_DATE"] for r in coerce_timestamp(df).collect()]
-    assert got == [dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 5, 7, 8, 9), dt.datetime(2024, 1, 5, 7, 8, 9),
-                   dt.datetime(2014, 1, 2, 5), dt.datetime(2014, 1, 2), None, None]
-
-
-def test_quality_report_counts_raw_rows(spark):
-    r = quality_report(sample(spark)).collect()[0].asDict()
-    assert r == {"total_rows": 4, "duplicate_rows": 1, "missing_occ_date": 1, "missing_occ_hour": 1,
-                 "invalid_coordinates": 1, "placeholder_neighbourhoods": 2, "unparseable_occ_date": 0}
-
-
-def test_quality_report_on_empty_input(spark):
-    r = quality_report(sample(spark).limit(0)).collect()[0].asDict()
-    assert all(v == 0 for v in r.values())
+def raw_rows(n, seed):
+    draw = random.Random(seed)
+    def one(i):
+        row = dict.fromkeys(REQUIRED_COLUMNS, "NO")
+        row |= {"EVENT_UNIQUE_ID": f"ev{i}", "OCC_DATE": draw.choice(["2016-02-29", "7/4/2018", "soon", None]),
+                "OCC_YEAR": draw.choice(["2016", None]), "OCC_HOUR": draw.choice(["0", "23", "7.0", "?", None]),
+                "LAT_WGS84": draw.choice(["51.5", "0", "x", None]), "LONG_WGS84": draw.choice(["-0.12", "0", None]),
+                "NEIGHBOURHOOD_158": draw.choice(["Soho", "NSA", " nsa\u00a0", "", "Kew", None])}
+        return tuple(row[c] for c in REQUIRED_COLUMNS)
+    rows = [one(i) for i in range(n)]
+    return rows + [draw.choice(rows) for _ in range(n // 3)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_clean_keeps_each_located_row_once(spark, seed):
+    rows = raw_rows(90, seed)
+    place = {c: i for i, c in enumerate(REQUIRED_COLUMNS)}
+    located = {r for r in rows if r[place["LAT_WGS84"]] == "51.5" and r[place["LONG_WGS84"]] == "-0.12"}
+    frame = spark.createDataFrame(rows, DDL)
+    got = clean(frame).collect()
+    assert sorted(r["EVENT_UNIQUE_ID"] for r in got) == sorted(r[0] for r in located)
+    names = {r["NEIGHBOURHOOD_158"] for r in got}
+    assert names <= {"Soho", "Kew", None}
+    assert all(r["HAS_VALID_COORDINATES"] and r["HAS_VALID_NEIGHBOURHOOD"] == (r["NEIGHBOURHOOD_158"] is not None)
+               for r in got)
+    assert sorted(dedupe_rows(dedupe_rows(frame)).collect(), key=str) == sorted(dedupe_rows(frame).collect(), key=str)
+    report = quality_report(frame).first().asDict()
+    assert report["total_rows"] == len(rows) and report["duplicate_rows"] == len(rows) - len(set(rows))
+
+
+def test_duplicates_are_judged_as_text(spark):
+    row = raw_rows(1, 5)[0]
+    at = REQUIRED_COLUMNS.index("OCC_HOUR")
+    forms = [row[:at] + (h,) + row[at + 1:] for h in ("4", "4.0", "4", "04")]
+    assert dedupe_rows(spark.createDataFrame(forms, DDL)).count() == 3
+
+
+NUMBERS = {"12": 12.0, "-3.5": -3.5, "\t6 ": 6.0, "2e3": 2000.0, ".5": 0.5, "5d": None, "NaN": None, "1,5": None, "": None}
+
+
+def test_number_texts(spark):
+    frame = spark.createDataFrame([(k,) for k in NUMBERS], "OCC_HOUR string").selectExpr(
+        "OCC_HOUR", "OCC_HOUR OCC_YEAR", "OCC_HOUR LAT_WGS84", "OCC_HOUR LONG_WGS84")
+    for c in frame.columns:
+        assert [r[c] for r in coerce_numeric(frame).collect()] == list(NUMBERS.values())
+
+
+T = dt.datetime
+DATES = {"2021-03-09": T(2021, 3, 9), "2021-3-9 4:05:06": T(2021, 3, 9, 4, 5, 6), "2021-03-09T04:05:06": T(2021, 3, 9, 4, 5, 6),
+         "3/9/2021 4:05:06 PM": T(2021, 3, 9, 16, 5, 6), "3/9/2021": T(2021, 3, 9), "2021/03/09": T(2021, 3, 9),
+         "2021/03/09 04:05:06": T(2021, 3, 9, 4, 5, 6), "2021/03/09 05:00:00+00": T(2021, 3, 9, 5),
+         "2021-03-09T05:00:00Z": T(2021, 3, 9, 5), "2021-03-09 05:00": T(2021, 3, 9, 5), "2021-03-09T05:00": T(2021, 3, 9, 5),
+         "2021-03-09 05:00:00.123": T(2021, 3, 9, 5, 0, 0, 123000), "2021-03-09T05:00:00.5Z": T(2021, 3, 9, 5, 0, 0, 500000),
+         "2021-03-09 05:00:00+00:00": T(2021, 3, 9, 5), "2021-03-09 05:00:00-05:30": T(2021, 3, 9, 10, 30),
+         "2021-03-09T05:00+0200": T(2021, 3, 9, 3), "3/9/2021 5:00 AM": T(2021, 3, 9, 5), "3/9/2021 17:00": T(2021, 3, 9, 17),
+         "3/9/2021 17:00:09": T(2021, 3, 9, 17, 0, 9), "20210309": T(2021, 3, 9), "Mar 9, 2021": T(2021, 3, 9),
+         " 2021-03-09\u00a0": T(2021, 3, 9), "2021-02-30": None, "9.3.2021": None, "yesterday": None, "": None}
+
+
+def test_timestamp_texts(spark):
+    frame = spark.createDataFrame([(k,) for k in DATES], "OCC_DATE string")
+    got = dict(zip(DATES, (r["OCC_DATE"] for r in coerce_timestamp(frame).collect()), strict=True))
+    assert got == DATES
+
+
+def test_empty_input(spark):
+    frame = spark.createDataFrame([], DDL)
+    assert clean(frame).count() == 0 and set(quality_report(frame).first().asDict().values()) == {0}

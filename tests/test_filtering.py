@@ -1,97 +1,91 @@
+"""Filters against list comprehensions over one random table."""
+
 import datetime as dt
+import random
 
 import pytest
-
-from crashgrid.operators.filters import (DashboardParams, apply_collision_severity_filter,
-                                         apply_recent_days_filter, apply_road_user_filter, filter_by_neighbourhood,
-                                         filter_chain, filter_classes, filter_collisions)
+from crashgrid.operators import filters as X
+from crashgrid.schema import REQUIRED_COLUMNS  # noqa: F401
 from plan_util import plan_text
 
-
-def test_filter_by_neighbourhood(spark):
-    df = spark.createDataFrame([("A",), ("B",), ("A",)], "Neighbourhood string")
-    assert filter_by_neighbourhood(df, "A").count() == 2
-    with pytest.raises(ValueError, match="Column not found"):
-        filter_by_neighbourhood(df.withColumnRenamed("Neighbourhood", "X"), "A")
+START = dt.datetime(2015, 5, 5)
 
 
-def test_filter_by_hour(spark):
-    df = spark.createDataFrame([(1, 2022), (2, 2022), (2, 2023), (3, 2023)], "OCC_HOUR int, OCC_YEAR int")
-    rows = filter_collisions(df, hours=[2]).collect()
-    assert len(rows) == 2 and all(r["OCC_HOUR"] == 2 for r in rows)
+@pytest.fixture(scope="module")
+def rows():
+    draw = random.Random(12)
+    return [dict(n=i, OCC_YEAR=draw.choice([None, 2014, 2015]), YEAR=draw.choice([None, 2014.0, 2015.0]),
+                 OCC_HOUR=draw.choice([None, 1, 2, 3]), DIVISION=draw.choice([None, "K", "L"]),
+                 NEIGHBOURHOOD_158=draw.choice([None, "P", "Q"]),
+                 severity_class=draw.choice(["Fatal", "Injury", "Property Damage", "Other"]),
+                 PEDESTRIAN=draw.choice(["YES", "NO"]), BICYCLE=draw.choice(["YES", "NO"]), MOTORCYCLE="NO",
+                 OCC_DATE=draw.choice([None, START + dt.timedelta(days=draw.randrange(90), hours=draw.randrange(24))]))
+            for i in range(250)]
 
 
-def test_filter_by_year(spark):
-    df = spark.createDataFrame([(1, 2021), (2, 2022), (3, 2022)], "OCC_HOUR int, OCC_YEAR int")
-    rows = filter_collisions(df, years=[2022]).collect()
-    assert len(rows) == 2 and all(r["OCC_YEAR"] == 2022 for r in rows)
+@pytest.fixture(scope="module")
+def frame(spark, rows):
+    return spark.createDataFrame([tuple(r.values()) for r in rows],
+                                 "n int, OCC_YEAR int, YEAR double, OCC_HOUR int, DIVISION string, NEIGHBOURHOOD_158 string, "
+                                 "severity_class string, PEDESTRIAN string, BICYCLE string, MOTORCYCLE string, "
+                                 "OCC_DATE timestamp_ntz")
 
 
-def test_filter_by_division(spark):
-    df = spark.createDataFrame([(2021, "D11", "A"), (2022, "D12", "B"), (2022, "D12", "C")],
-                               "OCC_YEAR int, DIVISION string, NEIGHBOURHOOD_158 string")
-    rows = filter_collisions(df, divisions=["D12"]).collect()
-    assert len(rows) == 2 and all(r["DIVISION"] == "D12" for r in rows)
+def numbers(df):
+    return sorted(r["n"] for r in df.collect())
 
 
-def test_empty_lists_do_not_filter(spark):
-    df = spark.createDataFrame([(1, 2021), (None, None)], "OCC_HOUR int, OCC_YEAR int")
-    assert filter_collisions(df, years=[], hours=None).count() == 2
+def keep(rows, test):
+    return [r["n"] for r in rows if test(r)]
 
 
-def test_severity_filter_all_and_unknown(spark):
-    df = spark.createDataFrame([("Fatal",), ("Other",), ("Injury",)], "severity_class string")
-    assert apply_collision_severity_filter(df, "All Severities").count() == 3
-    assert apply_collision_severity_filter(df, "bogus").count() == 3
-    assert apply_collision_severity_filter(df, "Other").count() == 1
-
-
-def test_recent_days_inclusive_and_drops_undated(spark):
-    d = dt.datetime
-    df = spark.createDataFrame([(d(2024, 1, 31),), (d(2024, 1, 1),), (d(2023, 12, 31),), (None,)],
-                               "OCC_DATE timestamp_ntz")
-    rows = apply_recent_days_filter(df, 30).collect()
-    assert sorted(r[0] for r in rows) == [d(2024, 1, 1), d(2024, 1, 31)]
-    assert apply_recent_days_filter(df, None).count() == 4
+def test_membership_filters_combine(frame, rows):
+    for years, hours, divisions in ((None, None, None), ([], [], []), ([2015], None, None), ([2014, 2015], [2], ["K"])):
+        want = keep(rows, lambda r: (not years or r["OCC_YEAR"] in years) and (not hours or r["OCC_HOUR"] in hours)
+                    and (not divisions or r["DIVISION"] in divisions))
+        assert numbers(X.filter_collisions(frame, years=years, hours=hours, divisions=divisions)) == want
+    assert numbers(X.filter_by_neighbourhood(frame, "Q", "NEIGHBOURHOOD_158")) == keep(
+        rows, lambda r: r["NEIGHBOURHOOD_158"] == "Q")
+    with pytest.raises(ValueError, match="Column not found"):
+        X.filter_by_neighbourhood(frame, "Q")
 
 
-def test_recent_days_without_any_date_keeps_rows(spark):
-    df = spark.createDataFrame([(None,), (None,)], "OCC_DATE timestamp_ntz")
-    assert apply_recent_days_filter(df, 7).count() == 2
+def test_severity_and_road_users(frame, rows):
+    for name in ("Fatal", "Other"):
+        assert numbers(X.apply_collision_severity_filter(frame, name)) == keep(rows, lambda r: r["severity_class"] == name)
+    for every in ("All Severities", "no such class"):
+        assert numbers(X.apply_collision_severity_filter(frame, every)) == keep(rows, lambda r: True)
+    assert numbers(X.apply_road_user_filter(frame, pedestrian=True, bicycle=True)) == keep(
+        rows, lambda r: "YES" in (r["PEDESTRIAN"], r["BICYCLE"]))
+    assert numbers(X.apply_road_user_filter(frame)) == keep(rows, lambda r: True)
 
 
-def test_road_user_filter_is_or(spark):
-    df = spark.createDataFrame([("YES", "NO", "NO"), ("NO", "YES", "NO"), ("NO", "NO", "NO")],
-                               "PEDESTRIAN string, BICYCLE string, MOTORCYCLE string")
-    assert apply_road_user_filter(df, pedestrian=True, bicycle=True).count() == 2
-    assert apply_road_user_filter(df).count() == 3
+def recent(rows, days):
+    dated = [r for r in rows if r["OCC_DATE"]]
+    last = max((r["OCC_DATE"] for r in dated), default=None)
+    return [r for r in dated if r["OCC_DATE"] >= last - dt.timedelta(days=days)]
 
 
-def test_chain_applies_recent_window_after_other_filters(spark):
-    d = dt.datetime
-    df = spark.createDataFrame([
-        (2024.0, "D11", "A", "Fatal", "NO", "NO", "NO", d(2024, 6, 1)),
-        (2024.0, "D11", "A", "Injury", "NO", "NO", "NO", d(2024, 12, 1)),
-        (2024.0, "D11", "A", "Fatal", "NO", "NO", "NO", d(2024, 5, 1)),
-    ], "YEAR double, DIVISION string, NEIGHBOURHOOD_158 string, severity_class string, PEDESTRIAN string, "
-       "BICYCLE string, MOTORCYCLE string, OCC_DATE timestamp_ntz")
-    out = filter_chain(df, DashboardParams(severity="Fatal", recent_days=30)).collect()
-    # the window is relative to the latest *fatal* row (June 1st), not December
-    assert [r["OCC_DATE"] for r in out] == [d(2024, 6, 1)]
+def test_recent_window_counts_back_from_the_latest_row_left(frame, rows):
+    for days in (1, 20, 1000):
+        assert numbers(X.apply_recent_days_filter(frame, days)) == [r["n"] for r in recent(rows, days)]
+    fatal = [r for r in rows if r["severity_class"] == "Fatal" and r["YEAR"] == 2014.0]
+    got = X.filter_chain(frame, X.DashboardParams(years=(2014,), severity="Fatal", recent_days=10))
+    assert numbers(got) == [r["n"] for r in recent(fatal, 10)]
+    undated = frame.where("OCC_DATE is null")
+    assert X.apply_recent_days_filter(undated, 3).count() == undated.count()
 
 
-def test_filters_reach_parquet_scan(spark, tmp_path):
-    df = spark.createDataFrame([(2024.0, "D11", "A")], "YEAR double, DIVISION string, NEIGHBOURHOOD_158 string")
-    df.write.parquet(str(tmp_path / "p"))
-    scan = spark.read.parquet(str(tmp_path / "p"))
-    from crashgrid.operators.filters import filter_collisions_prepared
-    plan = plan_text(filter_collisions_prepared(scan, years=[2024], divisions=["D11", "D12"])
-                     .select("NEIGHBOURHOOD_158"))
-    assert "In(DIVISION, [D11,D12])" in plan and "EqualTo(YEAR,2024.0)" in plan
+def test_classes_get_their_drawing_order(frame, rows):
+    order = ["Injury", "Other", "Fatal"]
+    got = {r["n"]: r["draw_order"] for r in X.filter_classes(frame, order).collect()}
+    assert sorted(got) == keep(rows, lambda r: r["severity_class"] in order)
+    by_class = {rows[n]["severity_class"]: d for n, d in got.items()}
+    assert sorted(by_class, key=by_class.get) == order
 
 
-def test_filter_classes_draw_order(spark):
-    df = spark.createDataFrame([("Fatal",), ("Other",), ("Injury",)], "severity_class string")
-    rows = filter_classes(df, ["Other", "Property Damage", "Injury", "Fatal"]).collect()
-    assert {r["severity_class"]: r["draw_order"] for r in rows} == {"Fatal": 4, "Other": 1, "Injury": 3}
-    assert filter_classes(df, ["Fatal", "Injury", "Property Damage"]).count() == 2
+def test_filters_reach_the_scan(frame, tmp_path, spark):
+    frame.write.parquet(str(tmp_path / "t"))
+    found = X.filter_collisions_prepared(spark.read.parquet(str(tmp_path / "t")), years=[2014], divisions=["K", "L"])
+    plan = plan_text(found.select("n"))
+    assert "In(DIVISION, [K,L])" in plan and "EqualTo(YEAR,2014.0)" in plan

@@ -41,7 +41,7 @@ def random_dates(n, seed):
         elif form == 6:
             out.append(d.strftime("%Y-%m-%d")[:-1])            # truncated
         elif form == 7:
-            out.append(d.strftime("%Y/%m/%d"))                 # unsupported layout
+            out.append(d.strftime("%d.%m.%Y"))                 # unsupported layout
         elif form == 8:
             out.append(rnd.choice(["not-a-date", "", "2024-13-01", "2024-02-30", "0/0/2020",
                                    d.strftime("%m/%d/%Y %I:%M:%S %p"), d.strftime("%m/%d/%Y %I:%M:%S %p").lower(),

@@ -46,7 +46,7 @@ def test_filter_prepared_falls_back_to_occ_year(spark):
 def test_dashboard_view_computes_every_panel(spark):
     prepared = prepare_frame(raw_incidents(spark, SF_SMALL))
     view = dashboard_view(prepared, DashboardParams(years=(1996, 1997, 1998), recent_days=365, top_n=5,
-                                                    forecast_horizon=7))
+                                                    forecast_horizon=7), 6000)
     try:
         n = view["filtered"].count()
         assert n > 0
@@ -71,7 +71,7 @@ def test_map_points_empty_without_coordinates(spark):
 
 def test_dashboard_view_unnarrowed_is_not_persisted(spark):
     prepared = prepare_frame(raw_incidents(spark, SF_SMALL))
-    view = dashboard_view(prepared, DashboardParams())
+    view = dashboard_view(prepared, DashboardParams(), 6000)
     assert not view["filtered"].is_cached
     assert view["kpis"].first()["total_collisions"] == prepared.count()
     release(view)
@@ -80,7 +80,7 @@ def test_dashboard_view_unnarrowed_is_not_persisted(spark):
 def test_export_view_writes_filtered_rows(spark):
     from crashgrid.plans.dashboard import export_view
     prepared = prepare_frame(raw_incidents(spark, SF_SMALL))
-    view = dashboard_view(prepared, DashboardParams(years=(1997,)))
+    view = dashboard_view(prepared, DashboardParams(years=(1997,)), 6000)
     try:
         path = export_view(view, scratch_path(spark, "view-export"))
         back = spark.read.option("header", True).csv(path)
@@ -94,7 +94,7 @@ def test_shuffle_partitions_for_input_size():
     from crashgrid.session import shuffle_partitions_for
     assert shuffle_partitions_for(10 << 20) == 200                 # small input: the floor
     assert shuffle_partitions_for(10 << 40) == 40_960             # 10 TiB at 256 MiB each
-    assert shuffle_partitions_for(100 << 40) == 100_000           # capped
+    assert shuffle_partitions_for(100 << 40) == 409_600           # 100 TiB: grows on
 
 
 def _rounded(row):
@@ -106,7 +106,7 @@ def test_persisted_view_caches_only_view_columns_and_matches_unpersisted(spark):
     from crashgrid.plans.dashboard import VIEW_COLUMNS
     prepared = prepare_frame(raw_incidents(spark, SF_SMALL))
     params = DashboardParams(years=(1997, 1998), recent_days=365, top_n=5, forecast_horizon=7)
-    cached, plain = dashboard_view(prepared, params), dashboard_view(prepared, params, persist=False)
+    cached, plain = dashboard_view(prepared, params, 6000), dashboard_view(prepared, params, 6000, persist=False)
     try:
         assert cached["_rows"].is_cached and set(cached["_rows"].columns) <= set(VIEW_COLUMNS)
         assert len(cached["_rows"].columns) < len(prepared.columns)

@@ -1,87 +1,42 @@
-from crashgrid.operators.aggregates import collisions_by_day_of_week, collisions_by_month
-
-
-def dow(spark, values):
-    return spark.createDataFrame([(v,) for v in values], "OCC_DOW string")
-
-
-def month(spark, values, dtype="int"):
-    return spark.createDataFrame([(v,) for v in values], f"MONTH {dtype}")
-
-
-class TestDayOfWeek:
-    def test_returns_correct_columns(self, spark):
-        assert collisions_by_day_of_week(dow(spark, ["Monday", "Tuesday", "Monday"])).columns == [
-            "day_of_week", "collision_count"]
-
-    def test_counts_correctly(self, spark):
-        first = collisions_by_day_of_week(dow(spark, ["Monday"] * 3 + ["Friday"] * 2)).first()
-        assert (first["day_of_week"], first["collision_count"]) == ("Monday", 3)
-
-    def test_ignores_missing_values(self, spark):
-        rows = collisions_by_day_of_week(dow(spark, ["Monday", None, "Friday", None, "Friday"])).collect()
-        assert all(r["day_of_week"] is not None for r in rows)
-        assert sum(r["collision_count"] for r in rows) == 3
+"""Weekday and month counts against the calendar module."""
 
-    def test_empty_returns_empty(self, spark):
-        r = collisions_by_day_of_week(dow(spark, []))
-        assert r.count() == 0 and r.columns == ["day_of_week", "collision_count"]
+import calendar
+import random
+from collections import Counter
 
-    def test_all_missing_returns_empty(self, spark):
-        assert collisions_by_day_of_week(dow(spark, [None, None, None])).count() == 0
-
-    def test_single_row(self, spark):
-        rows = collisions_by_day_of_week(dow(spark, ["Wednesday"])).collect()
-        assert [(r[0], r[1]) for r in rows] == [("Wednesday", 1)]
-
-    def test_missing_column_returns_empty(self, spark):
-        r = collisions_by_day_of_week(spark.createDataFrame([("Monday",)], "WRONG_COLUMN string"))
-        assert r.count() == 0 and r.columns == ["day_of_week", "collision_count"]
-
-    def test_all_same_day(self, spark):
-        rows = collisions_by_day_of_week(dow(spark, ["Saturday"] * 10)).collect()
-        assert [(r[0], r[1]) for r in rows] == [("Saturday", 10)]
-
-    def test_sorted_by_day_order(self, spark):
-        rows = collisions_by_day_of_week(dow(spark, ["Friday", "Monday", "Sunday", "Tuesday"])).collect()
-        assert [r[0] for r in rows] == ["Monday", "Tuesday", "Friday", "Sunday"]
-
-    def test_unknown_labels_become_null_and_sort_last(self, spark):
-        rows = collisions_by_day_of_week(dow(spark, ["Funday", "Sunday", "Monday", "Funday"])).collect()
-        assert [(r[0], r[1]) for r in rows] == [("Monday", 1), ("Sunday", 1), (None, 2)]
-
-
-class TestMonth:
-    def test_returns_correct_columns(self, spark):
-        assert collisions_by_month(month(spark, [1, 2, 1])).columns == ["month", "collision_count", "month_name"]
+import pytest
+from crashgrid.operators.aggregates import collisions_by_day_of_week, collisions_by_month
 
-    def test_counts_correctly(self, spark):
-        first = collisions_by_month(month(spark, [1, 1, 1, 3, 3])).first()
-        assert (first["month"], first["month_name"], first["collision_count"]) == (1, "January", 3)
 
-    def test_ignores_missing_values(self, spark):
-        rows = collisions_by_month(month(spark, [1.0, None, 3.0, None], "double")).collect()
-        assert all(r["month"] is not None for r in rows)
-        assert sum(r["collision_count"] for r in rows) == 2
+@pytest.mark.parametrize("n", [0, 1, 7, 400])
+def test_weekdays_follow_the_week(spark, n):
+    draw = random.Random(n)
+    values = [draw.choice([*calendar.day_name, None]) for _ in range(n)]
+    got = collisions_by_day_of_week(spark.createDataFrame([(v,) for v in values], "OCC_DOW string"))
+    assert got.columns == ["day_of_week", "collision_count"]
+    counts = Counter(values)
+    assert [tuple(r) for r in got.collect()] == [(d, counts[d]) for d in calendar.day_name if counts[d]]
 
-    def test_empty_returns_empty(self, spark):
-        assert collisions_by_month(month(spark, [], "double")).count() == 0
 
-    def test_missing_column_returns_empty(self, spark):
-        r = collisions_by_month(spark.createDataFrame([(1,)], "WRONG int"))
-        assert r.count() == 0 and r.columns == ["month_name", "collision_count"]
+@pytest.mark.parametrize("kind", ["int", "double"])
+def test_months_follow_the_year(spark, kind):
+    draw = random.Random(3)
+    values = [draw.choice([*range(1, 13), None]) for _ in range(300)]
+    typed = [(v if v is None or kind == "int" else float(v),) for v in values]
+    got = collisions_by_month(spark.createDataFrame(typed, f"MONTH {kind}")).collect()
+    counts = Counter(values)
+    assert [(r["month"], r["month_name"], r["collision_count"]) for r in got] == [
+        (m, calendar.month_name[m], counts[m]) for m in range(1, 13)]
 
-    def test_all_missing_returns_empty(self, spark):
-        assert collisions_by_month(month(spark, [None, None])).count() == 0
 
-    def test_single_row(self, spark):
-        rows = collisions_by_month(month(spark, [12])).collect()
-        assert [(r["month"], r["month_name"], r["collision_count"]) for r in rows] == [(12, "December", 1)]
+def test_labels_off_the_calendar(spark):
+    days = spark.createDataFrame([("Someday",), ("Sunday",), ("Someday",)], "OCC_DOW string")
+    assert [tuple(r) for r in collisions_by_day_of_week(days).collect()] == [("Sunday", 1), (None, 2)]
+    months = spark.createDataFrame([(0,), (5,), (14,)], "MONTH int")
+    assert {(r["month"], r["month_name"]) for r in collisions_by_month(months).collect()} == {
+        (0, None), (5, "May"), (14, None)}
 
-    def test_orders_months_correctly(self, spark):
-        rows = collisions_by_month(month(spark, [12, 1, 3, 2])).collect()
-        assert [r["month_name"] for r in rows] == ["January", "February", "March", "December"]
 
-    def test_out_of_range_month_has_no_name(self, spark):
-        rows = collisions_by_month(month(spark, [13, 1])).collect()
-        assert [(r["month"], r["month_name"]) for r in rows] == [(1, "January"), (13, None)]
+def test_absent_columns_give_empty_tables(spark):
+    other = spark.createDataFrame([(1,)], "z int")
+    assert collisions_by_day_of_week(other).count() == 0 == collisions_by_month(other).count()
