@@ -39,16 +39,11 @@ def preview(df: DataFrame, n: int = 5, order_by: Sequence | None = None) -> Data
     return (df.orderBy(*order_by) if order_by else df).limit(int(n))
 
 
-def _hash_order(seed: int, id_col: str):
-    """Seeded md5 of the row id (hex text) and the same hash as a uniform number in [0, 1)."""
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    unit = F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
-    return h, unit
+PREFIX_DIGITS = 4  # 65,536 hash groups
 
 
 def capped_sample(df: DataFrame, cap: int, seed: int = MAP_SAMPLE_SEED,
-                  protected_class: str = "Fatal", id_col: str = "EVENT_UNIQUE_ID",
-                  margin_sigmas: float = 6.0) -> DataFrame:
+                  protected_class: str = "Fatal", id_col: str = "EVENT_UNIQUE_ID") -> DataFrame:
     """K5: at most ``cap`` rows for display, never dropping a protected row.
 
     Every row of ``protected_class`` is kept; the others fill the remaining
@@ -57,36 +52,37 @@ def capped_sample(df: DataFrame, cap: int, seed: int = MAP_SAMPLE_SEED,
     sample is reproducible, identical in any engine with md5, and survives
     task retries. When the input has no more than ``cap`` rows, all are kept.
 
-    Scale: a plain ``orderBy(hash).limit(cap)`` would send ``cap`` rows from
-    every input partition to one task. Instead, since the hash is uniform,
-    only rows whose hash lies below a threshold sized for the open places
-    plus a ``margin_sigmas`` binomial margin are candidates (a parallel
-    filter); the exact first places are then taken among those few rows.
-    If the candidates ever fall short, the filter admits every row, so the
-    result is exact in all cases. Counts are scalar subqueries; the plan
-    stays lazy.
+    Scale: the input is read twice. One aggregate counts rows per hash prefix
+    (at most 65,537 groups); a running sum over those counts finds the prefix
+    in which the places run out. The second read keeps protected rows and all
+    prefixes before that one, and ranks only the rows inside it; every other
+    kept row is dealt by its content, so no task holds more than its share.
+    The bounds are one scalar subquery; the plan stays lazy.
     """
     require_columns(df, ["severity_class", id_col])
     is_protected = F.coalesce(F.col("severity_class") == F.lit(protected_class), F.lit(False))
-    protected = df.filter(is_protected)
-    others = df.filter(~is_protected)
-    h, unit = _hash_order(seed, id_col)
-
-    counts = df.select(F.struct(F.count_if(is_protected).alias("p"),
-                                F.count_if(~is_protected).alias("o"))).scalar()
-    n_protected, n_others = counts.getField("p"), counts.getField("o")
-    places = F.greatest(F.lit(int(cap)) - n_protected, F.lit(0))
-    want = places + F.lit(float(margin_sigmas)) * F.sqrt(places) + F.lit(16.0)
-    threshold = F.when(n_others > 0, F.least(F.lit(1.0), want / n_others)).otherwise(F.lit(1.0))
-    below = unit < threshold
-    n_below = others.filter(below).select(F.count(F.lit(1))).scalar()
-    pool = others.filter(below | (n_below < places))
-
-    candidates = pool.withColumn("_sample_hash", h).orderBy("_sample_hash", id_col).limit(int(cap))
-    ranked = candidates.withColumn(
-        "_sample_rank", F.row_number().over(Window.orderBy("_sample_hash", id_col)))
-    kept = ranked.filter(F.col("_sample_rank") <= places).drop("_sample_hash", "_sample_rank")
-    return protected.unionByName(kept)
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    prefix = F.when(~is_protected, F.substring(h, 1, PREFIX_DIGITS))   # null: protected
+
+    running = Window.orderBy(F.col("_p").asc_nulls_first())   # over the prefix counts only
+    groups = (df.groupBy(prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumns({"_upto": F.sum("_n").over(running),
+                            "_protected": F.sum(F.when(F.col("_p").isNull(), F.col("_n"))).over(running)})
+              .withColumn("_target", F.greatest(F.lit(int(cap)), F.coalesce("_protected", F.lit(0)))))
+    before = F.col("_upto") - F.col("_n")
+    whole = F.col("_p").isNotNull() & (F.col("_upto") <= F.col("_target"))
+    cut = F.col("_p").isNotNull() & (before < F.col("_target")) & (F.col("_upto") > F.col("_target"))
+    bounds = groups.select(F.struct(F.max(F.when(whole, F.col("_p"))).alias("whole"),
+                                    F.max(F.when(cut, F.col("_p"))).alias("edge"),
+                                    F.max(F.when(cut, F.col("_target") - before)).alias("places"))).scalar()
+
+    in_edge = F.coalesce(prefix == bounds.getField("edge"), F.lit(False))
+    kept = df.filter(is_protected | F.coalesce(prefix <= bounds.getField("whole"), F.lit(False)) | in_edge)
+    dealt = F.when(in_edge, F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20)))
+    ranked = kept.withColumns({"_sample_hash": h, "_sample_edge": in_edge, "_sample_part": dealt}).withColumn(
+        "_sample_rank", F.row_number().over(Window.partitionBy("_sample_part").orderBy("_sample_hash", id_col)))
+    return (ranked.filter(~F.col("_sample_edge") | (F.col("_sample_rank") <= bounds.getField("places")))
+            .select(*df.columns))
 
 
 def concat_rows(first: DataFrame, second: DataFrame) -> DataFrame:

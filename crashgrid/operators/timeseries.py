@@ -1,44 +1,44 @@
 """T1-T3 (gap filling, smoothing forecast, guard) and U2 (trend overlay).
 
 The forecast fits an additive-trend exponential smoothing model (no season)
-per series key inside ``groupBy(key).applyInPandas``. Each group holds one
-daily series, whose length is bounded by the calendar span, not by the
-number of incidents: the incident rows were already reduced to daily counts
-by Spark aggregates before any Python runs.
+per series key with DataFrame functions only: one row per (key, pair of
+smoothing weights) folds the ordered daily series with ``aggregate``, and the
+pair with the least error wins. A series is no longer than the calendar span,
+since the incidents were reduced to daily counts before.
 """
 
 from __future__ import annotations
 
-import sys
 from typing import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType, TimestampNTZType
 
 from ..schema import FORECAST_MIN_DAYS, require_columns
 
-# The fit below runs in Python workers. Pickle this module's functions by value
-# so every task carries them: executors need no installed copy of the package
-# (and a worker started outside the repository folder can still run the fit).
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+MAX_SPAN_DAYS = 200 * 366   # a longer calendar means a stray date: an error, never a cut
 
 
 def densify_daily(series: DataFrame, keys: Sequence[str] = (), date_col: str = "date",
-                  value_col: str = "value", observed_col: str | None = None) -> DataFrame:
+                  value_col: str = "value", observed_col: str | None = None,
+                  max_span_days: int = MAX_SPAN_DAYS) -> DataFrame:
     """One row per calendar day from each key's first to last date; gaps -> 0.
 
     ``observed_col`` (optional) marks days present in the input. The day
     grid is generated per key with ``sequence`` (its size is the calendar
-    span) and left-joined to the observations.
+    span) and left-joined to the observations. A key that spans more than
+    ``max_span_days`` holds an implausible date: the job fails and names the
+    first and last date, so the caller can filter them.
     """
     require_columns(series, [date_col, value_col, *keys])
     keys = list(keys)
     bounds = series.groupBy(*keys).agg(F.min(date_col).alias("_lo"), F.max(date_col).alias("_hi"))
-    days = bounds.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 DAY"))).alias(date_col))
+    too_long = F.raise_error(F.format_string("implausible dates: a series runs from %s to %s",
+                                             F.col("_lo").cast("string"), F.col("_hi").cast("string")))
+    grid = F.sequence("_lo", "_hi", F.expr("INTERVAL 1 DAY"))
+    days_type = f"array<{series.schema[date_col].dataType.simpleString()}>"
+    checked = F.when(F.datediff("_hi", "_lo") > F.lit(int(max_span_days)), too_long.cast(days_type)).otherwise(grid)
+    days = bounds.select(*keys, F.explode(checked).alias(date_col))
     obs = series.select(*keys, date_col, F.col(value_col), F.lit(True).alias("_obs"))
     out = days.join(obs, on=[*keys, date_col], how="left")
     cols = [*keys, date_col, F.coalesce(F.col(value_col), F.lit(0)).cast(series.schema[value_col].dataType)
@@ -48,89 +48,83 @@ def densify_daily(series: DataFrame, keys: Sequence[str] = (), date_col: str = "
     return out.select(*cols)
 
 
-# --- additive-trend smoothing fit (runs inside one task per series) ---------
+# --- additive-trend smoothing fit ------------------------------------------------
 
-def _recurse(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray):
-    """Run the level/trend recursion for every (alpha, beta) pair at once.
+# Spacing of the 21 x 21 weights: all of [0, 1], then twice around the best pair.
+WEIGHT_STEPS = (0.05, 0.005, 0.0005)
 
-    Errors are linear in the initial state (l0, b0), so three recursions are
-    enough: the data from a zero state, and a unit level / unit slope with
-    zero data. Returns the normal-equation sums and the three final states.
-    """
-    g = alpha.shape[0]
-    state = np.zeros((3, 2, g))          # recursion x (level, trend) x grid
-    state[1, 0, :] = 1.0                 # unit initial level
-    state[2, 1, :] = 1.0                 # unit initial slope
-    s_uu = np.zeros(g); s_uv = np.zeros(g); s_vv = np.zeros(g)
-    s_ur = np.zeros(g); s_vr = np.zeros(g); s_rr = np.zeros(g)
-    inputs = np.zeros((3, 1))
-    for t in range(y.shape[0]):
-        level, trend = state[:, 0, :], state[:, 1, :]
-        pred = level + trend
-        r = y[t] - pred[0]
-        u, v = pred[1], pred[2]
-        s_uu += u * u; s_uv += u * v; s_vv += v * v
-        s_ur += u * r; s_vr += v * r; s_rr += r * r
-        inputs[0, 0] = y[t]
-        new_level = alpha * inputs + (1.0 - alpha) * pred
-        new_trend = beta * (new_level - level) + (1.0 - beta) * trend
-        state = np.stack([new_level, new_trend], axis=1)
-    return (s_uu, s_uv, s_vv, s_ur, s_vr, s_rr), state
-
-
-def _best_initial_state(sums):
-    """Least-squares (l0, b0) per grid point and the resulting SSE."""
-    s_uu, s_uv, s_vv, s_ur, s_vr, s_rr = sums
-    m = np.stack([np.stack([s_uu, s_uv], -1), np.stack([s_uv, s_vv], -1)], -2)
-    rhs = np.stack([s_ur, s_vr], -1)[..., None]
-    theta = (np.linalg.pinv(m) @ rhs)[..., 0]
-    l0, b0 = theta[:, 0], theta[:, 1]
-    sse = s_rr - 2 * l0 * s_ur - 2 * b0 * s_vr + l0 * l0 * s_uu + 2 * l0 * b0 * s_uv + b0 * b0 * s_vv
-    return l0, b0, np.maximum(sse, 0.0)
-
-
-def _search(y: np.ndarray, alphas: np.ndarray, betas: np.ndarray):
-    a, b = np.meshgrid(alphas, betas, indexing="ij")
-    a, b = a.ravel(), b.ravel()
-    sums, final = _recurse(y, a, b)
-    l0, b0, sse = _best_initial_state(sums)
-    order = np.lexsort((b, a, np.round(sse, 6)))
-    i = order[0]
-    level = final[0, 0, i] + l0[i] * final[1, 0, i] + b0[i] * final[2, 0, i]
-    trend = final[0, 1, i] + l0[i] * final[1, 1, i] + b0[i] * final[2, 1, i]
-    return {"alpha": a[i], "beta": b[i], "l0": l0[i], "b0": b0[i], "sse": sse[i],
-            "level": level, "trend": trend}
-
-
-def fit_holt(y, grid: int = 21, levels: int = 3) -> dict:
-    """Smoothing weights by a zooming grid search, each grid point with its
-    exactly optimal initial level and slope.
-
-    Level 1 spans [0, 1] x [0, 1]; every further level re-grids one coarse
-    step around the best cell, so three levels of 21 x 21 reach a weight
-    resolution of 0.0005. A finer cell replaces the current best only when it
-    lowers the error.
-    """
-    y = np.asarray(y, dtype=float)
-    axis = np.linspace(0.0, 1.0, grid)
-    best = _search(y, axis, axis)
-    step = 1.0 / (grid - 1)
-    for _ in range(levels - 1):
-        fa = np.unique(np.clip(np.linspace(best["alpha"] - step, best["alpha"] + step, grid), 0.0, 1.0))
-        fb = np.unique(np.clip(np.linspace(best["beta"] - step, best["beta"] + step, grid), 0.0, 1.0))
-        finer = _search(y, fa, fb)
-        if round(finer["sse"], 6) <= round(best["sse"], 6):
-            best = finer
-        step = 2.0 * step / (grid - 1)
-    return best
+# One day of the recursion. Errors are linear in the initial level and slope, so
+# three series are enough: the data from a zero state (0), a unit level (1) and
+# a unit slope (2) without data. s** are the sums of their error products.
+_START = ("named_struct('l0', 0D, 't0', 0D, 'l1', 1D, 't1', 0D, 'l2', 0D, 't2', 1D, "
+          "'uu', 0D, 'uv', 0D, 'vv', 0D, 'ur', 0D, 'vr', 0D, 'rr', 0D)")
 
 
-def holt_forecast(y, horizon: int) -> np.ndarray:
-    fit = fit_holt(y)
-    return fit["level"] + np.arange(1, horizon + 1) * fit["trend"]
+def _day(level: str, trend: str, value: str) -> tuple[str, str]:
+    grown = f"_a * {value} + (1D - _a) * ({level} + {trend})"
+    return grown, f"_b * (({grown}) - {level}) + (1D - _b) * {trend}"
 
 
-# ---------------------------------------------------------------------------
+def _fold() -> str:
+    fields = []
+    for i, value in enumerate(("y", "0D", "0D")):
+        level, trend = _day(f"s.l{i}", f"s.t{i}", value)
+        fields += [f"'l{i}', {level}", f"'t{i}', {trend}"]
+    error = {"u": "(s.l1 + s.t1)", "v": "(s.l2 + s.t2)", "r": "(y - (s.l0 + s.t0))"}
+    fields += [f"'{p}{q}', s.{p}{q} + {error[p]} * {error[q]}" for p, q in ("uu", "uv", "vv", "ur", "vr", "rr")]
+    return f"aggregate(_y, {_START}, (s, y) -> named_struct({', '.join(fields)}))"
+
+
+def _search(series: DataFrame, keys: Sequence[str], step: float) -> DataFrame:
+    """The best of 21 x 21 weight pairs around (_ca, _cb); one row per key."""
+    def near(center, index):
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(center) + (index - 10) * F.lit(step)))
+
+    pairs = (series.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(440))))
+             .repartition(*keys, "_n")   # a key's pairs are fitted by many tasks
+             .withColumns({"_a": near("_ca", F.floor(F.col("_n") / 21)), "_b": near("_cb", F.col("_n") % 21)})
+             .withColumn("_s", F.expr(_fold())))
+    s = {f: F.col(f"_s.{f}") for f in ("uu", "uv", "vv", "ur", "vr", "rr", "l0", "l1", "l2", "t0", "t1", "t2")}
+    solved = pairs.withColumn("_det", s["uu"] * s["vv"] - s["uv"] * s["uv"]).withColumns({
+        "_l": F.try_divide(s["ur"] * s["vv"] - s["vr"] * s["uv"], F.col("_det")),
+        "_t": F.try_divide(s["vr"] * s["uu"] - s["ur"] * s["uv"], F.col("_det")),
+    })
+    lv, tr = F.col("_l"), F.col("_t")
+    sse = (s["rr"] - 2 * lv * s["ur"] - 2 * tr * s["vr"] + lv * lv * s["uu"] + 2 * lv * tr * s["uv"]
+           + tr * tr * s["vv"])
+    fit = F.when(F.col("_det") > 0, F.struct(   # no filter: it would be pushed down and fold every series again
+        F.greatest(sse, F.lit(0.0)).alias("sse"), F.col("_a").alias("alpha"), F.col("_b").alias("beta"),
+        lv.alias("l0"), tr.alias("b0"),
+        (s["l0"] + lv * s["l1"] + tr * s["l2"]).alias("level"),
+        (s["t0"] + lv * s["t1"] + tr * s["t2"]).alias("trend")))
+    return (solved.groupBy(*keys)
+            .agg(F.min(fit).alias("_fit"), F.first("_y").alias("_y"), F.first("_last").alias("_last"))
+            .withColumns({"_ca": F.col("_fit.alpha"), "_cb": F.col("_fit.beta")}))
+
+
+def fit_trend(trend: DataFrame, keys: Sequence[str], date_col: str = "date", value_col: str = "value",
+              min_days: int = FORECAST_MIN_DAYS) -> DataFrame:
+    """Smoothing weights, initial state, squared error and final state of each key's daily series.
+
+    The weights are the pair with the least squared one-step error (ties: the
+    smaller alpha, then beta), each pair with its exactly optimal initial
+    level and slope. Three searches of 21 x 21 pairs reach a resolution of
+    0.0005. Keys with fewer than ``min_days`` observed days have no row.
+    """
+    keys = list(keys)
+    dense = densify_daily(trend.select(*keys, date_col, F.col(value_col).cast("double").alias(value_col)),
+                          keys=keys, date_col=date_col, value_col=value_col, observed_col="_observed")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(date_col).alias("d"), F.col(value_col).alias("v"))))
+    fitted = (dense.groupBy(*keys)
+              .agg(F.transform(ordered, lambda x: x["v"]).alias("_y"), F.max(date_col).alias("_last"),
+                   F.count_if("_observed").alias("_seen"))
+              .filter(F.col("_seen") >= F.lit(int(min_days)))
+              .withColumns({"_ca": F.lit(0.5), "_cb": F.lit(0.5)}))
+    for step in WEIGHT_STEPS:
+        fitted = _search(fitted, keys, step)
+    return fitted.select(*keys, F.col("_last").alias("last_date"), "_fit.alpha", "_fit.beta", "_fit.l0", "_fit.b0",
+                         "_fit.sse", "_fit.level", "_fit.trend")
+
 
 def forecast_collision_trend(trend: DataFrame, horizon_days: int = 30, keys: Sequence[str] = (),
                              date_col: str = "date", value_col: str = "value",
@@ -142,31 +136,15 @@ def forecast_collision_trend(trend: DataFrame, horizon_days: int = 30, keys: Seq
     keys = list(keys)
     group_keys = keys or ["_series"]
     base = trend if keys else trend.withColumn("_series", F.lit("Total"))
-    dense = densify_daily(base.select(*group_keys, date_col, F.col(value_col).cast("double").alias(value_col)),
-                          keys=group_keys, date_col=date_col, value_col=value_col, observed_col="_observed")
-    key_fields = [base.schema[k] for k in group_keys]
-    schema = StructType([StructField(f.name, f.dataType, True) for f in key_fields] + [
-        StructField(date_col, TimestampNTZType(), True),
-        StructField(value_col, DoubleType(), True),
-        StructField("series_type", StringType(), True),
-    ])
-    horizon = int(horizon_days)
-
-    def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date_col)
-        if int(pdf["_observed"].sum()) < min_days or len(pdf) < min_days:
-            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
-        values = holt_forecast(pdf[value_col].to_numpy(dtype=float), horizon)
-        last = pd.Timestamp(pdf[date_col].iloc[-1])
-        out = {k: [pdf[k].iloc[0]] * horizon for k in group_keys}
-        out[date_col] = [last + pd.Timedelta(days=h) for h in range(1, horizon + 1)]
-        out[value_col] = values
-        out["series_type"] = ["Forecast"] * horizon
-        return pd.DataFrame(out)
-
-    result = dense.groupBy(*group_keys).applyInPandas(fit_group, schema=schema)
-    return result if keys else result.drop("_series")
+    fitted = fit_trend(base, group_keys, date_col, value_col, min_days)
+    ahead = F.explode(F.sequence(F.lit(1), F.lit(int(horizon_days))))
+    return (fitted.withColumn("_h", ahead) if int(horizon_days) > 0 else fitted.withColumn("_h", F.lit(0)).limit(0)) \
+        .select(*keys, F.expr("last_date + make_dt_interval(_h)").alias(date_col),
+                (F.col("level") + F.col("_h") * F.col("trend")).alias(value_col),
+                F.lit("Forecast").alias("series_type"))
+
 
+# ---------------------------------------------------------------------------
 
 def forecast_guard(trend: DataFrame, horizon_days: int, keys: Sequence[str] = (),
                    date_col: str = "date", min_days: int = FORECAST_MIN_DAYS) -> DataFrame:
@@ -196,5 +174,4 @@ def trend_overlay(severity_trend: DataFrame, total_trend: DataFrame | None = Non
     return out
 
 
-__all__ = ["densify_daily", "fit_holt", "holt_forecast", "forecast_collision_trend",
-           "forecast_guard", "trend_overlay"]
+__all__ = ["densify_daily", "fit_trend", "forecast_collision_trend", "forecast_guard", "trend_overlay"]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import activity as G
@@ -49,6 +49,12 @@ def points(spark, d):
     return P.map_points(prepared(spark, d))
 
 
+def _positioned(df):
+    """Adds the place (from 1) of each row in the order the operator returned; for small sorted results."""
+    placed = df.withColumn("_at", F.monotonically_increasing_id())
+    return placed.withColumn("position", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+
+
 def _aliases(spark, d):
     return fixture(spark, d, "aliases")
 
@@ -111,7 +117,7 @@ def q_export_summary(spark, d):
     summary = G.contribution_summary(_numstat(spark, d), _prs(spark, d), _aliases(spark, d))
     path = export_summary(summary, scratch_path(spark, "summary-csv"))
     schema = ("member_id bigint, member string, commits bigint, files_changed bigint, insertions bigint, "
-              "deletions bigint, prs bigint, status string")
+              "deletions bigint, prs bigint, status string, github string")
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
@@ -140,7 +146,8 @@ PRS_PER_DOCUMENT = 500
 
 def q_scan_pr_json_array(spark, d):
     """PR lists as JSON array documents (at most 500 PRs each), many documents per file."""
-    page = F.floor(F.col("number") / F.lit(PRS_PER_DOCUMENT))
+    number = F.coalesce(F.col("number"), F.crc32("login"))   # listings of authors only have no number
+    page = F.floor(number / F.lit(PRS_PER_DOCUMENT))
     arrays = (_prs(spark, d).groupBy(page.alias("page"))
               .agg(F.to_json(F.collect_list(_pr_struct())).alias("value")))
     path = scratch_path(spark, "prs-json-array")
@@ -206,7 +213,7 @@ def q_trim_dims(spark, d):
 
 
 def q_rename_for_display(spark, d):
-    return P.rename_for_display(A.collisions_by_hour(prepared(spark, d)), "hourly")
+    return _positioned(P.rename_for_display(A.collisions_by_hour(prepared(spark, d)), "hourly"))
 
 
 # --- filters -------------------------------------------------------------------------
@@ -273,12 +280,12 @@ def q_top_n(spark, d):
 
 def q_multi_key_sort(spark, d):
     counts = A.top_counts(prepared(spark, d), "DIVISION", None)
-    return K.multi_key_sort(counts, [("collision_count", "desc"), ("DIVISION", "asc")])
+    return _positioned(K.multi_key_sort(counts, [("collision_count", "desc"), ("DIVISION", "asc")]))
 
 
 def q_categorical_sort(spark, d):
     counts = A.top_counts(prepared(spark, d), "severity_class", None)
-    return K.categorical_sort(counts, "severity_class", SEVERITY_CLASSES + [SEVERITY_OTHER])
+    return _positioned(K.categorical_sort(counts, "severity_class", SEVERITY_CLASSES + [SEVERITY_OTHER]))
 
 
 def q_preview(spark, d):
@@ -294,7 +301,10 @@ def q_concat_rows(spark, d):
 
 def q_trend_overlay(spark, d):
     p = prepared(spark, d)
-    return T.trend_overlay(A.severity_trend_over_time(p), A.total_collisions_trend_over_time(p))
+    total = A.total_collisions_trend_over_time(p)
+    forecast = T.forecast_collision_trend(total, horizon_days=30)
+    return T.trend_overlay(A.severity_trend_over_time(p), total, forecast) \
+        .withColumn("value", F.round("value", 6))
 
 
 def q_densify_daily(spark, d):
@@ -307,7 +317,8 @@ def q_densify_daily_by_severity(spark, d):
 
 
 def q_forecast_trend(spark, d):
-    return T.forecast_collision_trend(A.total_collisions_trend_over_time(prepared(spark, d)), horizon_days=30)
+    return T.forecast_collision_trend(A.total_collisions_trend_over_time(prepared(spark, d)), horizon_days=30) \
+        .withColumn("value", F.round("value", 6))
 
 
 def q_forecast_guard(spark, d):
@@ -364,11 +375,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "heatmap_classes": q_heatmap_classes,
     "drop_missing_keys": q_drop_missing_keys,
     # aggregations
-    "by_hour": lambda s, d: A.collisions_by_hour(prepared(s, d)),
+    "by_hour": lambda s, d: _positioned(A.collisions_by_hour(prepared(s, d))),
     "by_neighbourhood": lambda s, d: A.collisions_by_neighbourhood(prepared(s, d), top_n=10),
     "by_division": lambda s, d: A.collisions_by_division(prepared(s, d), top_n=10),
     "severity_summary": lambda s, d: A.collision_severity_analysis(prepared(s, d)),
-    "by_day_of_week": lambda s, d: A.collisions_by_day_of_week(prepared(s, d)),
+    "by_day_of_week": lambda s, d: _positioned(A.collisions_by_day_of_week(prepared(s, d))),
     "by_month": lambda s, d: A.collisions_by_month(prepared(s, d)),
     "road_users": lambda s, d: A.road_user_analysis(prepared(s, d)),
     "road_users_normalized": lambda s, d: A.road_user_summary_normalized(cleaned(s, d)),

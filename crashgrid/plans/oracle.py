@@ -137,8 +137,10 @@ summary AS (
     CAST(coalesce(s.insertions, 0) AS BIGINT) AS insertions, CAST(coalesce(s.deletions, 0) AS BIGINT) AS deletions,
     CAST(coalesce(p.prs, 0) AS BIGINT) AS prs,
     CASE WHEN coalesce(s.commits, 0) > 0 OR coalesce(p.prs, 0) > 0 THEN '{STATUS_ACTIVE}'
-         ELSE '{STATUS_INACTIVE}' END AS status
+         ELSE '{STATUS_INACTIVE}' END AS status, h.github
   FROM members m
+  LEFT JOIN (SELECT member_id, member, min(github) AS github FROM aliases GROUP BY 1, 2) h
+    ON m.member_id = h.member_id AND m.member = h.member
   LEFT JOIN member_stats s ON m.member_id = s.member_id AND m.member = s.member
   LEFT JOIN (SELECT k.member_id, k.member, sum(pl.prs) AS prs FROM pr_login pl JOIN
                (SELECT DISTINCT member_id, member, lower({strip("alias")}) AS login FROM aliases
@@ -178,6 +180,53 @@ def _trend_total(table: str) -> str:
     return f"SELECT date_trunc('day', OCC_DATE) AS date, count(*) AS value FROM {table} WHERE OCC_DATE IS NOT NULL GROUP BY 1"
 
 
+def _placed(sql: str, order: str) -> str:
+    return f"SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS position FROM ({sql}) counted"
+
+
+def _forecast(table: str, horizon: int) -> str:
+    """The smoothing fit as recursive SQL: one row per weight pair walks the days; three ever finer grids."""
+    zero = "CAST(0 AS DOUBLE)"
+    one = "CAST(1 AS DOUBLE)"
+    ctes = [f"""seen AS (SELECT date, CAST(value AS DOUBLE) AS value FROM ({_trend_total(table)})),
+        days AS MATERIALIZED (
+          SELECT row_number() OVER (ORDER BY g.date) AS i, g.date, coalesce(seen.value, 0) AS y
+          FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS date FROM seen) g
+          LEFT JOIN seen ON g.date = seen.date),
+        best0 AS (SELECT CAST(0.5 AS DOUBLE) AS a, CAST(0.5 AS DOUBLE) AS b)"""]
+    for n, step in ((1, "0.05"), (2, "0.005"), (3, "0.0005")):
+        size = f"CAST({step} AS DOUBLE)"
+        ctes.append(f"""grid{n} AS (
+          SELECT least({one}, greatest({zero}, best.a + (x.k - 10) * {size})) AS a,
+                 least({one}, greatest({zero}, best.b + (z.k - 10) * {size})) AS b
+          FROM best{n - 1} best, range(0, 21) x(k), range(0, 21) z(k)),
+        walk{n} AS (
+          SELECT CAST(0 AS BIGINT) AS i, a, b, {zero} AS l0, {zero} AS t0, {one} AS l1, {zero} AS t1, {zero} AS l2,
+                 {one} AS t2, {zero} AS uu, {zero} AS uv, {zero} AS vv, {zero} AS ur, {zero} AS vr, {zero} AS rr
+          FROM grid{n}
+          UNION ALL
+          SELECT days.i, a, b,
+            a * y + (1 - a) * (l0 + t0), b * ((a * y + (1 - a) * (l0 + t0)) - l0) + (1 - b) * t0,
+            (1 - a) * (l1 + t1), b * ((1 - a) * (l1 + t1) - l1) + (1 - b) * t1,
+            (1 - a) * (l2 + t2), b * ((1 - a) * (l2 + t2) - l2) + (1 - b) * t2,
+            uu + (l1 + t1) * (l1 + t1), uv + (l1 + t1) * (l2 + t2), vv + (l2 + t2) * (l2 + t2),
+            ur + (l1 + t1) * (y - (l0 + t0)), vr + (l2 + t2) * (y - (l0 + t0)),
+            rr + (y - (l0 + t0)) * (y - (l0 + t0))
+          FROM walk{n} JOIN days ON days.i = walk{n}.i + 1),
+        solved{n} AS (
+          SELECT *, (ur * vv - vr * uv) / (uu * vv - uv * uv) AS l, (vr * uu - ur * uv) / (uu * vv - uv * uv) AS t
+          FROM walk{n} WHERE i = (SELECT max(i) FROM days) AND uu * vv - uv * uv > 0),
+        best{n} AS MATERIALIZED (
+          SELECT a, b, l0 + l * l1 + t * l2 AS level, t0 + l * t1 + t * t2 AS trend
+          FROM solved{n}
+          ORDER BY greatest(rr - 2 * l * ur - 2 * t * vr + l * l * uu + 2 * l * t * uv + t * t * vv, {zero}), a, b
+          LIMIT 1)""")
+    return f"""SELECT * FROM (WITH RECURSIVE {", ".join(ctes)}
+        SELECT (SELECT max(date) FROM days) + INTERVAL 1 DAY * h AS date, round(level + h * trend, 6) AS value,
+               'Forecast' AS series_type
+        FROM best3, range(1, {int(horizon)} + 1) r(h) WHERE (SELECT count(*) FROM seen) >= 30)"""
+
+
 def _peak(table: str) -> str:
     return f"""
 SELECT CAST(h AS INTEGER) AS peak_hour_value,
@@ -265,8 +314,9 @@ INCIDENT_SQL = {
     "trim_dims": "SELECT EVENT_UNIQUE_ID, DIVISION, NEIGHBOURHOOD_158 FROM prepared",
     "prepare": "SELECT * FROM prepared",
     "map_points": "SELECT * FROM points",
-    "rename_for_display": "SELECT OCC_HOUR AS Hour, count(*) AS Collisions FROM prepared "
-                          "WHERE OCC_HOUR IS NOT NULL GROUP BY 1",
+    "rename_for_display": "SELECT OCC_HOUR AS Hour, count(*) AS Collisions, "
+                          "CAST(row_number() OVER (ORDER BY OCC_HOUR) AS INTEGER) AS position FROM prepared "
+                          "WHERE OCC_HOUR IS NOT NULL GROUP BY OCC_HOUR",
     # --- filters
     "filter_dims": "SELECT EVENT_UNIQUE_ID, OCC_YEAR, OCC_HOUR, DIVISION FROM cleaned "
                    "WHERE OCC_YEAR IN (1996, 1997) AND OCC_HOUR IN (8, 17) AND DIVISION IN ('D11', 'D12', 'D20')",
@@ -290,15 +340,18 @@ INCIDENT_SQL = {
     "drop_missing_keys": "SELECT EVENT_UNIQUE_ID FROM prepared "
                          "WHERE NEIGHBOURHOOD_158 IS NOT NULL AND DIVISION IS NOT NULL",
     # --- aggregations
-    "by_hour": _counts("prepared", "OCC_HOUR"),
+    "by_hour": _placed(_counts("prepared", "OCC_HOUR"), "collision_count DESC, OCC_HOUR"),
     "by_neighbourhood": _counts("prepared", "NEIGHBOURHOOD_158")
                         + " ORDER BY collision_count DESC, NEIGHBOURHOOD_158 ASC LIMIT 10",
     "by_division": _counts("prepared", "DIVISION") + " ORDER BY collision_count DESC, DIVISION ASC LIMIT 10",
     "severity_summary": _stack("prepared", [(c, f"severity_class = '{c}'")
                                             for c in ("Fatal", "Injury", "Property Damage")],
                                "severity_type", "value"),
-    "by_day_of_week": f"""SELECT CASE WHEN OCC_DOW IN ({q(WEEKDAYS)}) THEN OCC_DOW END AS day_of_week,
+    "by_day_of_week": _placed(
+        f"""SELECT CASE WHEN OCC_DOW IN ({q(WEEKDAYS)}) THEN OCC_DOW END AS day_of_week,
         count(*) AS collision_count FROM prepared WHERE OCC_DOW IS NOT NULL GROUP BY OCC_DOW""",
+        "CASE day_of_week WHEN 'Monday' THEN 1 WHEN 'Tuesday' THEN 2 WHEN 'Wednesday' THEN 3 "
+        "WHEN 'Thursday' THEN 4 WHEN 'Friday' THEN 5 WHEN 'Saturday' THEN 6 WHEN 'Sunday' THEN 7 ELSE 8 END"),
     "by_month": f"""SELECT month, count(*) AS collision_count, {_month_name("month")} AS month_name
         FROM (SELECT TRY_CAST(trunc(CAST(MONTH AS DOUBLE)) AS INTEGER) AS month FROM prepared)
         WHERE month IS NOT NULL GROUP BY month""",
@@ -339,8 +392,10 @@ INCIDENT_SQL = {
     "row_count": "SELECT count(*) AS row_count FROM prepared",
     # --- sort / limit / sample
     "top_n": _counts("prepared", "NEIGHBOURHOOD_158") + " ORDER BY collision_count DESC, NEIGHBOURHOOD_158 LIMIT 15",
-    "multi_key_sort": _counts("prepared", "DIVISION"),
-    "categorical_sort": _counts("prepared", "severity_class"),
+    "multi_key_sort": _placed(_counts("prepared", "DIVISION"), "collision_count DESC, DIVISION"),
+    "categorical_sort": _placed(
+        _counts("prepared", "severity_class"),
+        "CASE severity_class WHEN 'Fatal' THEN 1 WHEN 'Injury' THEN 2 WHEN 'Property Damage' THEN 3 ELSE 4 END"),
     "preview": "SELECT EVENT_UNIQUE_ID, OCC_DATE_STR, severity_class FROM prepared "
                "ORDER BY OCC_DATE DESC NULLS LAST, EVENT_UNIQUE_ID ASC LIMIT 10",
     "capped_sample": """SELECT * FROM points WHERE severity_class = 'Fatal'
@@ -354,7 +409,9 @@ INCIDENT_SQL = {
                    "UNION ALL SELECT EVENT_UNIQUE_ID, severity_class FROM prepared WHERE severity_class = 'Injury'",
     "trend_overlay": f"""SELECT date, severity_type AS series_type, CAST(value AS DOUBLE) AS value
         FROM ({_trend_severity("prepared")})
-        UNION ALL SELECT date, 'Total', CAST(value AS DOUBLE) FROM ({_trend_total("prepared")})""",
+        UNION ALL SELECT date, 'Total', CAST(value AS DOUBLE) FROM ({_trend_total("prepared")})
+        UNION ALL SELECT date, series_type, value FROM ({_forecast("prepared", 30)})""",
+    "forecast_trend": _forecast("prepared", 30),
     "distinct_values": "SELECT DISTINCT DIVISION FROM prepared WHERE DIVISION IS NOT NULL",
     # --- time series
     "densify_daily": f"""SELECT g.date AS date, CAST(coalesce(t.value, 0) AS BIGINT) AS value

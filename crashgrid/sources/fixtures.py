@@ -37,6 +37,7 @@ with base as (
   case when o_orderpriority = '5-LOW' then 'N/R' else 'YES' end as PD_COLLISIONS,
   case when o_orderkey % 29 = 0 then 'NSA' when o_orderkey % 31 = 0 then ' unknown '
        when o_orderkey % 37 = 0 then '' when o_orderkey % 41 = 0 then null
+       when o_orderkey % 47 = 0 then concat('Old ', chr(34), 'Mill', chr(34), ', East', chr(92), 'West')
        else concat(c_mktsegment, ' (', cast(o_custkey % 30 as string), ')') end as NEIGHBOURHOOD_158,
   case when o_orderkey % 71 = 0 then '0'
        else concat('-79.', cast(200000 + (o_custkey * 104729) % 300000 as string)) end as LONG_WGS84,
@@ -52,13 +53,16 @@ union all
 select * from base where cast(substr(EVENT_UNIQUE_ID, 4) as bigint) % 97 = 0
 """
 
-# Roster: every customer is a member known by three aliases.
+# Roster: every customer is a member known by three aliases; a few have no public handle.
 ALIAS_SQL = """
+select member_id, member, alias,
+  case when member_id % 19 <> 0 then concat('user_', cast(member_id as string)) end as github
+from (
 select c_custkey as member_id, c_name as member, lower(trim(c_name)) as alias from {customer}
 union all
 select c_custkey, c_name, concat('user_', cast(c_custkey as string)) from {customer}
 union all
-select c_custkey, c_name, concat('u', cast(c_custkey as string)) from {customer}
+select c_custkey, c_name, concat('u', cast(c_custkey as string)) from {customer}) known
 """
 
 COMMITS_SQL = """
@@ -85,8 +89,10 @@ select user_id % 4, event_id * 3 + 2, concat('-', chr(9), '-', chr(9), 'b.png')
 """
 
 PRS_SQL = """
-select o_orderkey as number, concat('PR ', cast(o_orderkey as string)) as title,
-  case o_orderstatus when 'F' then 'MERGED' when 'O' then 'OPEN' else 'CLOSED' end as state,
+select case when o_orderkey % 43 <> 0 then o_orderkey end as number,
+  case when o_orderkey % 43 <> 0 then concat('PR ', cast(o_orderkey as string)) end as title,
+  case when o_orderkey % 43 = 0 then null
+       when o_orderstatus = 'F' then 'MERGED' when o_orderstatus = 'O' then 'OPEN' else 'CLOSED' end as state,
   concat('User_', cast(o_custkey as string)) as login
 from {orders}
 """

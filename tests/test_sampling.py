@@ -31,6 +31,16 @@ def test_sample_is_deterministic(spark):
     assert a == b
 
 
+def test_sample_keeps_rows_without_id(spark, tmp_path):
+    frame(spark, 10, 400).unionByName(spark.createDataFrame(
+        [(None, "Injury")] * 3, "EVENT_UNIQUE_ID string, severity_class string")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    sample = capped_sample(df, cap=1000)
+    assert sample.count() == 413
+    small = capped_sample(df, cap=57).collect()
+    assert len(small) == 57 and sum(r["severity_class"] == "Fatal" for r in small) == 10
+
+
 @settings(max_examples=8, deadline=None)
 @given(n_fatal=st.integers(0, 40), n_other=st.integers(0, 80), cap=st.integers(1, 60))
 def test_sample_contract(spark, n_fatal, n_other, cap):
