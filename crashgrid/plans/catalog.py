@@ -138,7 +138,7 @@ def q_scan_pr_json(spark, d):
     js = _prs(spark, d).select(F.to_json(_pr_struct()).alias("value"))
     path = scratch_path(spark, "prs-json")
     js.write.mode("overwrite").text(path)
-    return SA.scan_pr_json(spark, path)
+    return SA.scan_pr_json(spark, path).withColumn("number", F.col("number").cast("double"))
 
 
 PRS_PER_DOCUMENT = 500
@@ -152,7 +152,8 @@ def q_scan_pr_json_array(spark, d):
               .agg(F.to_json(F.collect_list(_pr_struct())).alias("value")))
     path = scratch_path(spark, "prs-json-array")
     arrays.select("value").write.mode("overwrite").text(path)
-    return SA.scan_pr_json(spark, path, json_array=True, multiline=False)
+    return SA.scan_pr_json(spark, path, json_array=True, multiline=False) \
+        .withColumn("number", F.col("number").cast("double"))
 
 
 # --- cleaning ---------------------------------------------------------------------

@@ -436,8 +436,8 @@ INCIDENT_SQL = {
 ACTIVITY_SQL = {
     "scan_activity_log": f"SELECT {strip('author')} AS author, CAST(day AS VARCHAR) AS date, "
                          f"{strip('subject')} AS subject FROM commits",
-    "scan_pr_json": "SELECT number, title, state, login FROM prs",
-    "scan_pr_json_array": "SELECT number, title, state, login FROM prs",
+    "scan_pr_json": "SELECT CAST(number AS DOUBLE) AS number, title, state, login FROM prs",
+    "scan_pr_json_array": "SELECT CAST(number AS DOUBLE) AS number, title, state, login FROM prs",
     "export_summary": "SELECT * FROM summary",
     "resolve_alias": "SELECT commit_id, member_id, member FROM resolved",
     "commits_by_member": "SELECT * FROM commit_member",
