@@ -44,7 +44,7 @@ def to_timestamp_any(c, dtype=None, formats=TIMESTAMP_FORMATS) -> Column:
         return c.cast("timestamp_ntz")
     text = strip(c.cast("string"))
     zone = F.regexp_extract(text, ZONE_PATTERN, 2)  # empty without a zone
-    text = F.when(zone != "", F.regexp_extract(text, ZONE_PATTERN, 1)).otherwise(text)
+    text = F.regexp_replace(text, ZONE_PATTERN, "$1")   # one short expression: every layout below repeats it
     parsed = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))) for fmt, shape in formats]
     digits = F.regexp_replace(zone, "[^0-9]", "")
     minutes = F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 60 + F.coalesce(
