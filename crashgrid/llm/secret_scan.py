@@ -29,7 +29,8 @@ ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ that have 16 and more
 KEYWORD = re.compile(r"(?ai)passw|secret|token|api_?key")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: "=" is padding at a token's end only: in name=value the value is a token of its own. 20 characters with the padding.
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{18,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 
 #: (name, alphabet) from the narrowest encoding to the widest.
 ENCODINGS = (("digits", "0123456789"), ("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"),
@@ -121,6 +122,8 @@ def trials(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int,
     """(start, end, length class, p bin) of the tokens that no base span overlaps."""
     found, i, ordered = [], 0, sorted(taken)
     for m in TOKEN.finditer(text):
+        if m.end() - m.start() < LENGTH_CLASSES[0]:
+            continue
         while i < len(ordered) and ordered[i][1] <= m.start():
             i += 1
         if not any(s < m.end() and e > m.start() for s, e, _ in ordered[i:i + 8]):

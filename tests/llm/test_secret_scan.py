@@ -3,7 +3,7 @@ import random
 import re
 import string
 
-from crashgrid.llm.secret_scan import KINDS, cover, discovery_bins, find_secrets, p_bin, randomness_p, redact_secrets
+from crashgrid.llm.secret_scan import KINDS, cover, discovery_bins, find_secrets, p_bin, randomness_p, redact_secrets, trials
 
 draw = random.Random(5)
 token = lambda alphabet, n: "".join(draw.choice(alphabet) for _ in range(n))
@@ -68,3 +68,21 @@ def test_redaction_keeps_rows_columns_and_clean_texts(documents):
     assert texts[5] is None and texts[6] == ""
     assert cover("abcdef", [(0, 2), (1, 3), (4, 5)], "*") == "*d*f"
     assert find_secrets(docs.limit(0)).count() == 0
+
+
+def test_unquoted_values_are_tested_without_their_name(documents):
+    value = lambda n: token(string.ascii_letters + string.digits, n)
+    heads = ["AWS_SECRET_ACCESS_KEY=", "private_key=", "https://host/a/b?sig=", "A_VERY_LONG_SETTING_NAME_OF_A_SERVICE="]
+    rows, want = [], {}
+    for i in range(40):
+        head, secret = heads[i % 4], value(64)
+        rows.append((i, f"export {head}{secret} end"))
+        want[i] = f"random:{7 + len(head)}:{7 + len(head) + 64}"
+    got = {r["doc_id"]: r["spans"] for r in find_secrets(documents(rows)).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 36  # the battery rejects a few random tokens
+    assert {s for i, s in got.items() if s != want[i]} <= {""}
+    masked = {r["doc_id"]: r["text"] for r in redact_secrets(documents(rows)).collect()}
+    assert all(masked[i] == f"export {heads[i % 4]}[SECRET] end" for i in want if got[i])
+    ends = [(m[1], m[2]) for t in ("k=" + "a1B" * 6 + "==", "b" * 24 + "=", "c" * 20 + "=x", "d" * 19 + "=e")
+            for m in [(t, s, e) for s, e, *_ in trials(t, [])]]
+    assert ends == [(2, 22), (0, 25), (0, 20)]
