@@ -106,7 +106,8 @@ def copy_weights(texts: list[str | None]) -> np.ndarray:
 
 
 def fit_noisy_or(texts: list[str | None], labels: list[int], max_features: int, min_documents: int = 3,
-                 steps: int = 250, rate: float = 0.1, l2: float = 3e-5, noise: float = 0.03) -> tuple[dict[bytes, float], float]:
+                 steps: int = 250, rate: float = 0.1, l2: float = 3e-5, noise: float = 0.03,
+                 stands_for: tuple[float, float] = (1.0, 1.0)) -> tuple[dict[bytes, float], float]:
     """Weights and bias that maximise the noisy-or likelihood of the document labels (Adam).
 
     Features are the ``max_features`` words and word beginnings that occur in at least
@@ -114,19 +115,22 @@ def fit_noisy_or(texts: list[str | None], labels: list[int], max_features: int,
     labels, in standard errors (ties by the feature itself); near copies count as
     one text, see ``copy_weights``. ``noise`` is the
     share of labels assumed to be wrong: it bounds what one mislabelled
-    document can gain, so no weights are bent to explain it.
+    document can gain, so no weights are bent to explain it. ``stands_for``
+    gives the number of labelled documents that a text of label 0 and of label
+    1 stands for, so a sample drawn by label teaches the rate of the whole table.
     """
     bags = [[set(sentence_words(m[0])) for m in SENTENCE.finditer(t or "")] for t in texts]
     share, y = copy_weights(texts), np.asarray(labels)
     counts: dict[bytes, list[float]] = {}
     n = [max(1.0, share[y == 0].sum()), max(1.0, share[y == 1].sum())]
+    all_clean, all_toxic = n[0] * stands_for[0], n[1] * stands_for[1]
     for bag, label, part in zip(bags, labels, share, strict=True):
         for feature in {f for word in set().union(*bag) for f in word_features(word)}:
             counts.setdefault(feature, [0.0, 0.0])[label] += part
     gap = {}
     for word, (q, p) in counts.items():
         if p + q >= min_documents - 1e-9:
-            rate_all = (p + q) / (n[0] + n[1])
+            rate_all = (p * stands_for[1] + q * stands_for[0]) / (all_clean + all_toxic)
             spread = math.sqrt(max(rate_all * (1 - rate_all), 1e-12) * (1 / n[0] + 1 / n[1]))
             gap[word] = abs(p / n[1] - q / n[0]) / spread
     chosen = sorted(gap, key=lambda w: (-gap[w], w))[:max_features]
@@ -141,8 +145,9 @@ def fit_noisy_or(texts: list[str | None], labels: list[int], max_features: int,
                 ids += found
                 of_sentence += [len(of_doc) - 1] * len(found)
     ids, of_sentence, of_doc = (np.asarray(x, dtype=np.int64) for x in (ids, of_sentence, of_doc))
-    keep, cost = 1 - 2 * noise, share / share.sum()
-    w, bias = np.zeros(len(chosen)), -math.log(max(2, len(of_doc)) / max(1, len(texts))) - 3
+    rows = np.where(y == 1, stands_for[1], stands_for[0])
+    keep, cost = 1 - 2 * noise, share * rows / (share * rows).sum()
+    w, bias = np.zeros(len(chosen)), -math.log(max(2, rows[of_doc].sum()) / max(1, rows.sum())) - 3
     moments = [np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)]
     for step in range(1, steps + 1):
         z = np.bincount(of_sentence, w[ids], len(of_doc)) + bias
@@ -171,6 +176,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     The sample is the rows with the smallest seeded hash of the id, half of
     it open to each label, so it does not depend on row order or cluster size.
+    Each row counts for its label's full count over its sampled count, so the
+    rate of toxic labels, and with it the scores, do not depend on the cap.
     It is fitted inside one task; only the weights (at most ``max_features``)
     reach the driver. Labels of repeated ids count once (the largest); null
     ids and labels other than 0 and 1 are ignored. Without both labels the
@@ -181,6 +188,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     marks = materialize(marks.groupBy("id").agg(F.max("y").alias("y")), "label-marks")
     order = (F.xxhash64("id", F.lit("sample")), "id")
     half = max(1, max_training_rows // 2)
+    full = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    stands_for = tuple(max(1.0, full.get(label, 0) / half) for label in (0, 1))
     sample = marks.where("y = 1").orderBy(*order).limit(half).union(
         marks.where("y = 0").orderBy(*order).limit(half))
     sample = materialize(sample, "label-sample")  # at most max_training_rows ids: safe to broadcast
@@ -193,7 +202,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         y = [int(v) for v in frame["y"]]
         if len(set(y)) < 2:
             return pd.DataFrame({"word": [None], "weight": [float(y[0]) if y else 0.0]})
-        weights, bias = fit_noisy_or(list(frame["text"]), y, max_features)
+        weights, bias = fit_noisy_or(list(frame["text"]), y, max_features, stands_for=stands_for)
         return pd.DataFrame({"word": [b"", *weights], "weight": [bias, *weights.values()]})
 
     fitted = rows.groupBy("one").applyInPandas(fit, "word binary, weight double").collect()

@@ -93,3 +93,20 @@ def test_without_both_labels(documents, spark):
         model = train_toxicity(docs, spark.createDataFrame(rows, shape))
         assert {r["score"] for r in score_toxicity(docs, model).collect()} == {score}
     assert score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_the_cap_on_training_rows_does_not_move_the_scores(documents, spark):
+    # "greyword" is in every toxic document and in 3 of 10 clean ones; 1 of 10 is toxic, so it means 0.27
+    rows = []
+    for i in range(2_000):
+        toxic = i % 10 == 0
+        grey = toxic or draw.random() < 0.3
+        rows.append((i, document(False) + " Greyword" * grey + ".", int(toxic)))
+    docs = documents([(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    whole, capped = (train_toxicity(docs, labels, max_training_rows=cap) for cap in (6_000, 300))
+    texts = [f"{document(False)} Greyword." for _ in range(100)]
+    above, below = ([m.judge(t)[0] for t in texts] for m in (capped, whole))
+    print(sum(below) / 100, sum(above) / 100)
+    assert sum(s >= 0.5 for s in above) <= 5 and sum(s >= 0.5 for s in below) <= 5
+    assert abs(sum(above) - sum(below)) / 100 < 0.1
