@@ -4,7 +4,7 @@ from crashgrid.sources.activity import read_numstat_log
 from crashgrid.operators.activity import fold_numstat
 from crashgrid.sources.export import export_results
 from crashgrid.sources.fixtures import raw_incidents
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 
 
 def test_read_numstat_log_keeps_file_order(spark, tmp_path):

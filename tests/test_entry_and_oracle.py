@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle_check import compare
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 
 
 def test_entry_smoke(spark):

@@ -6,7 +6,7 @@ from crashgrid.operators import aggregates as A
 from crashgrid.plans.panels import count_panels
 from crashgrid.plans.prepare import prepare_frame
 from crashgrid.sources.fixtures import raw_incidents
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 
 OPERATORS = {
     "by_hour": A.collisions_by_hour,

@@ -4,7 +4,7 @@ from crashgrid.plans.prepare import prepare_dataset, prepare_frame
 from crashgrid.session import scratch_path
 from crashgrid.sources.export import export_results
 from crashgrid.sources.fixtures import raw_incidents
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 from plan_util import plan_text
 
 
