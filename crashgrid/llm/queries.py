@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import url_filter
+from . import oracle, url_filter
 from .bpe import token_digests
+from .chat_format import chat_digests
 from .decontaminate import find_contamination
+from .filter_audit import audit_filters
+from .merkle import document_audit
 from .neighbours import nearest
 from .passages import repeated_passages
 from .secret_scan import find_secrets
@@ -77,6 +80,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations")
+    one = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                F.lit(oracle.ADDED_TURN).alias("text"))
+    return chat_digests(table.select(*one.columns).unionByName(one))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -88,6 +107,9 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_chat_format": op13_chat_format,
 }
 
 #: A window is looked up as its words joined by a space; sizes below 10 are whole short items.
@@ -136,4 +158,7 @@ ORACLE = {
     "op3_url_filter": url_filter.oracle_sql(),
     "op8_nearest_neighbours": _OP8,
     "op9_warc": _OP9,
+    "op11_filter_audit": oracle.OP11,
+    "op12_merkle_manifest": oracle.op12(),
+    "op13_chat_format": oracle.OP13,
 }
