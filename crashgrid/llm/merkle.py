@@ -146,16 +146,17 @@ def grow(nodes: DataFrame, name: str, arity: int, stored_every: int, extra: tupl
     return Tree(levels, found, arity, stored_every)
 
 
-def descend(tree: Tree, above: DataFrame, name: str) -> DataFrame:
+def descend(tree: Tree, above: DataFrame | None, name: str) -> DataFrame:
     """The lowest level's blocks with ``path`` and ``subroot``: the siblings of each block's top up to the root.
 
-    ``above`` has the path of every group's root (g, path). One stored level
-    after the other, nodes get their siblings inside the block and their
-    block's path.
+    ``above`` has the path of every group's root (g, path), None that nothing
+    is above. One stored level after the other, nodes get their siblings
+    inside the block and their block's path.
     """
     arity, stored_every, width = tree.arity, tree.stored_every, tree.arity ** tree.stored_every
     schema = pa.schema([("g", pa.string()), ("block", pa.int64()), ("subroot", pa.string()), ("path", _STEP)])
-    start = tree.roots.join(above, "g").select("g", "level", F.lit(0).cast("long").alias("block"),
+    start = tree.roots.withColumn("path", F.array().cast(STEP)) if above is None else tree.roots.join(above, "g")
+    start = start.select("g", "level", F.lit(0).cast("long").alias("block"),
                                                F.col("top").alias("subroot"), "path")
     start = materialize(start, f"{name}-root-paths")
 
@@ -215,8 +216,6 @@ def build_manifest(docs: DataFrame, columns: list[str], id_col: str = "doc_id",
 
 def _with_paths(manifest: Manifest) -> DataFrame:
     """Leaf blocks of all groups with their paths to the root of all."""
-    spark = manifest.groups.roots.sparkSession
-    start = spark.range(1).select(F.lit("").alias("g"), F.array().cast(STEP).alias("path"))
     arity, stored_every = manifest.upper.arity, manifest.upper.stored_every
     width = arity ** stored_every
     schema = pa.schema([("g", pa.string()), ("path", _STEP)])
@@ -230,7 +229,7 @@ def _with_paths(manifest: Manifest) -> DataFrame:
                     yield node["id"], [{"left": a, "right": b} for a, b in path + up]
         yield from _in_batches(made(), schema)
 
-    above = descend(manifest.upper, start, "merkle-groups").select("n", "nodes", "path").mapInArrow(
+    above = descend(manifest.upper, None, "merkle-groups").select("n", "nodes", "path").mapInArrow(
         to_groups, f"g string, path {STEP}")
     return descend(manifest.groups, materialize(above, "merkle-group-paths"), "merkle")
 
