@@ -19,9 +19,10 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from tokenizers import Tokenizer
 
 from .shared import broadcast_plain, per_worker
@@ -97,6 +98,7 @@ def merge_word(symbols: list[int], merges: dict[int, int], merged: list[int]) ->
 #: pattern for lower-cased words of printable ASCII and Latin-1 letters (fixed values of the format).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+BLANK = re.compile(rb"[\x09-\x0d\x20]+")
 PLAIN = re.compile(r"[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")  # without "<", which may start a special token
 PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|"
                         r"[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
@@ -114,6 +116,48 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+class Recent(dict):
+    """A table of bytes by key that forgets what was not used lately: about ``room`` bytes now, as many before.
+
+    When the entries have grown to ``room`` bytes, ``turn`` puts them behind;
+    what is then looked up by ``recall`` comes back, the rest goes at the next
+    turn.
+    """
+
+    ENTRY = 180  # bytes of an entry besides its key and value
+
+    def __init__(self, room: int):
+        super().__init__()
+        self.room, self.held, self.before = room, 0, {}
+
+    def turn(self) -> None:
+        if self.held > self.room:
+            self.before, self.held = dict(self), 0
+            self.clear()
+
+    def recall(self, key):
+        value = self.before.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value: bytes) -> None:
+        self[key] = value
+        self.held += len(key) + len(value) + self.ENTRY
+
+
+def text_pieces(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text in pieces of about ``size`` bytes, cut at ASCII white space."""
+    start = 0
+    while len(text) - start > size:
+        cut = BLANK.search(text, start + size)
+        if not cut:
+            break
+        yield text[start:cut.start()]
+        start = cut.end()
+    yield text[start:] if start else text
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file of kind BPE with word ends.
 
@@ -121,7 +165,7 @@ class Codec:
     tokenizers library; merging and decoding are done here.
     """
 
-    def __init__(self, definition: str, room: int = 400_000):
+    def __init__(self, definition: str, room: int = 48 << 20):
         spec = json.loads(definition)
         model, added = spec["model"], spec["added_tokens"]
         if model["type"] != "BPE" or spec["decoder"] is not None or any(
@@ -138,7 +182,7 @@ class Codec:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") \
             if added else None
         self.names = {i: t for t, i in chain(self.vocab.items(), self.added.items())}
-        self.room, self.known, self.known_words = room, {}, {}
+        self.known, self.known_words = Recent(room), Recent(room)
         steps = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])]
         parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.plain = steps == NORMALIZERS and parts[0].get("pattern", {}).get("Regex") == WORD_PATTERN
@@ -155,14 +199,15 @@ class Codec:
         known, out = self.known_words, []
         for word in PLAIN_WORD.findall(text.lower()):
             ids = known.get(word)
+            if ids is None:
+                ids = known.recall(word)
             if ids is None:
                 data = word.encode()
                 symbols = [*map(self.inner.__getitem__, data[:-1]), self.final[data[-1]]]
                 if None in symbols:
                     symbols = [x for x in symbols if x is not None]
-                if len(known) >= self.room:
-                    known.clear()
-                known[word] = ids = pack_ids(merge_word(symbols, self.merges, self.merged))
+                ids = pack_ids(merge_word(symbols, self.merges, self.merged))
+                known.keep(word, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -183,16 +228,17 @@ class Codec:
 
     def encode(self, text: bytes | None) -> bytes:
         """Little-endian 32-bit ids of a whole text (UTF-8)."""
-        chunks = text.split() if text else []
+        return b"".join(map(self._piece_ids, text_pieces(text))) if text else b""
+
+    def _piece_ids(self, piece: bytes) -> bytes:
         known = self.known
+        known.turn()
+        self.known_words.turn()
+        chunks = piece.split()
         for chunk in [c for c in set(chunks) if c not in known]:
-            if len(known) >= self.room:
-                known.clear()
-            known[chunk] = self.chunk_ids(chunk)
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:  # more distinct chunks in the text than the table holds
-            return b"".join(known[c] if c in known else self.chunk_ids(c) for c in chunks)
+            if known.recall(chunk) is None:
+                known.keep(chunk, self.chunk_ids(chunk))
+        return b"".join(map(known.__getitem__, chunks))
 
     def decode(self, ids: bytes) -> str:
         """Token texts joined by a space: what the library does without a decoder."""
@@ -249,16 +295,18 @@ def token_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
     shared = _codec_of(docs, tokenizer_path)
 
-    @pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = per_worker(shared, Codec)
+        names, kinds = ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()]
         for texts in batches:
-            rows = []
-            for text in texts:
-                ids = codec.encode(text)
+            columns: list[list] = [[], [], []]
+            for text in texts:  # one text at a time is a Python object
+                ids = codec.encode(text.as_py())
                 decoded = codec.decode(ids).encode("utf-8", "replace")
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).astype(
-                {"n_tokens": "int64"})
+                for column, value in zip(columns, (len(ids) // 4, hashlib.sha256(ids).hexdigest(),
+                                                   hashlib.sha256(decoded).hexdigest()), strict=True):
+                    column.append(value)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return docs.select(F.col(id_col), digests(F.col(text_col).cast("binary")).alias("d")).select(id_col, "d.*")

@@ -44,7 +44,7 @@ REPEAT_RATE = 0.065  # chance that two symbols of ordinary text are equal
 LEAST_UNEVENNESS = 0.8  # chi-squared noncentrality per symbol assumed for narrow alphabets
 CORRELATION = 0.35  # runs and serial effect that ordinary text has at least
 GATE = 0.001  # classical runs and serial tests below this reject randomness outright
-P_BINS = 64  # p-values are rounded up to the next 10**(-k/8), k < P_BINS
+P_BINS = 2048  # p-values are rounded up to the next 10**(-k/8), k < P_BINS: the least is far below rate / trials
 
 SPAN = "struct<start:int,end:int,kind:int>"
 TRIAL = "struct<start:int,end:int,class:int,bin:int>"
@@ -166,13 +166,21 @@ def discovery_bins(counts: dict[tuple[int, int], int], rate: float) -> dict[int,
 def with_spans(docs: DataFrame, text_col: str = "text", rate: float = 0.01) -> tuple[DataFrame, str]:
     """``docs`` plus an array of all spans (start, end, kind), by start, then kind; and that column's name.
 
-    The p-values of all tokens of the corpus are counted by length class and
-    rounded p (at most 5 x 64 counts reach the driver) before any is declared.
+    Texts are scanned once and stored with what was found. The p-values of all
+    tokens of the corpus are counted by length class and rounded p (a bounded
+    table reaches the driver) before any is declared.
     """
-    hits = docs.select(scan_column(text_col).alias("s")).select(F.explode("s.trials").alias("t"))
-    counts = {(r["class"], r["bin"]): r["n"] for r in
-              hits.groupBy("t.class", "t.bin").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return _add_spans(docs, scan_column(text_col), discovery_bins(counts, rate))
+    work = free_name(docs, "scanned")
+    stored = materialize(docs.withColumn(work, scan_column(text_col)), "scanned-texts")
+    out, spans = _add_spans(stored, F.col(work), discovery_bins(_trial_counts(stored, f"{work}.trials"), rate))
+    return out.select(*docs.columns, spans), spans
+
+
+def _trial_counts(scanned: DataFrame, trials: str) -> dict[tuple[int, int], int]:
+    """Trials by (length class, p bin): at most 5 x ``P_BINS`` counts."""
+    hits = scanned.select(F.explode(trials).alias("t"))
+    return {(r["class"], r["bin"]): r["n"] for r in hits.groupBy("t.class", "t.bin").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
 
 
 def _add_spans(docs: DataFrame, scanned, least: dict[int, int]) -> tuple[DataFrame, str]:
@@ -211,21 +219,20 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     work = docs.select(F.col(id_col).alias("id"), scan_column(text_col).alias("s"))
     work = materialize(work.select("id", "s.base", "s.trials"), "secret-trials")  # no texts in it
-    counts = {(r["class"], r["bin"]): r["n"] for r in work.select(F.explode("trials").alias("t"))
-              .groupBy("t.class", "t.bin").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out, spans = _add_spans(work, F.struct("base", "trials"), discovery_bins(counts, rate))
+    out, spans = _add_spans(work, F.struct("base", "trials"), discovery_bins(_trial_counts(work, "trials"), rate))
     count = lambda kind: F.size(F.filter(F.col(spans), lambda s: s["kind"] == KINDS.index(kind))).cast("long")
     base = F.filter(F.col(spans), lambda s: s["kind"] < KINDS.index("random"))
     return out.select(F.col("id").alias(id_col), *(count(k).alias(f"n_{k}") for k in KINDS),
                       F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col(spans)).alias("spans"))
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", rate: float = 0.01,
-                   mask: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", rate: float = 0.01, mask: str = "[SECRET]",
+                   length_col: str | None = None) -> DataFrame:
     """``docs`` with every span of the text replaced by ``mask``; rows and columns stay.
 
     Overlapping spans give one mask. Texts without spans, and null texts, stay
-    as they are.
+    as they are. ``length_col``, if ``docs`` has it, gets the code points of
+    the texts that were changed. Repeated rows stay; an empty table stays empty.
     """
     out, spans = with_spans(docs, text_col, rate)
 
@@ -234,8 +241,14 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", rate: float = 0.01,
         return pd.Series([cover(t, [(s["start"], s["end"]) for s in f], mask)
                           for t, f in zip(texts, found, strict=True)], dtype=object)
 
-    masked = F.when(F.size(spans) > 0, redact(F.col(text_col), F.col(spans))).otherwise(F.col(text_col))
-    return out.select(*(masked.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    hit = F.size(spans) > 0
+    work = free_name(out, "masked")
+    out = out.withColumn(work, F.when(hit, redact(F.col(text_col), F.col(spans))))
+    new = {text_col: F.when(hit, F.col(work)).otherwise(F.col(text_col))}
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        new[length_col] = F.when(hit, F.length(work).cast(kind)).otherwise(F.col(length_col))
+    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def cover(text: str | None, spans: list[tuple[int, int]], mask: str) -> str | None:
