@@ -4,18 +4,22 @@ Each stage takes (spark, docs, sf_dir), works on all rows that its
 predecessor kept and returns a DataFrame. All but the last return the columns
 of ``documents``. ``run`` writes every stage's result to the shared folder and
 hands the stored table to the next.
+
+Null, empty and blank texts pass every filter (near duplicates keep one of
+them); rows with a null id are kept unless their text is rejected; repeated
+rows go with the near duplicates; further columns are handed on; an empty
+table passes all stages.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from crashgrid.llm.bpe import token_digests
 from crashgrid.llm.decontaminate import decontaminate
 from crashgrid.llm.queries import tokenizer_path
 from crashgrid.llm.secret_scan import redact_secrets
-from crashgrid.llm.shared import free_name, materialize
+from crashgrid.llm.shared import materialize
 from crashgrid.llm.simhash import keep_one_per_component
 from crashgrid.llm.toxicity import drop_toxic, train_toxicity
 
@@ -40,12 +44,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets masked; n_chars follows a changed text."""
-    before = free_name(docs, "text_before")
-    masked = redact_secrets(docs.withColumn(before, F.col("text")))
-    n_chars = F.when(F.col("text").eqNullSafe(F.col(before)), F.col("n_chars")).otherwise(
-        F.length("text").cast(docs.schema["n_chars"].dataType))
-    return masked.withColumn("n_chars", n_chars).select(*docs.columns)
+    """All documents, with their secrets masked; n_chars, where there is one, follows a changed text."""
+    return redact_secrets(docs, length_col="n_chars")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
