@@ -18,7 +18,12 @@ from ..operators import aggregates as A
 from ..operators import cleaning as C
 from ..operators import derive as P
 from ..operators import filters as FL
+from ..operators import multiset as M
+from ..operators import rolling as R
 from ..operators import sampling as K
+from ..operators import sketches as SK
+from ..operators import subtotals as S
+from ..operators import temporal as TJ
 from ..operators import timeseries as T
 from ..operators.reconcile import reconcile_paths
 from ..plans.prepare import prepare_dataset, prepare_frame
@@ -27,8 +32,10 @@ from ..session import scratch_path
 from ..sources import activity as SA
 from ..sources.csv import load_dataset, validate_required_columns
 from ..sources.export import export_results, export_summary
-from ..sources.fixtures import fixture, raw_incidents
+from ..sources.fixtures import fixture, raw_incidents, table
 from ..sources.parquet import get_prepared_data, write_prepared
+from ..streaming import sessions as SS
+from ..streaming import windows as SW
 
 ID = "EVENT_UNIQUE_ID"
 
@@ -55,6 +62,11 @@ def _positioned(df):
     return placed.withColumn("position", F.row_number().over(Window.orderBy("_at"))).drop("_at")
 
 
+def _midnight(df, *columns):
+    """Dates as midnight timestamps, like the other day columns of the results."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
 def _aliases(spark, d):
     return fixture(spark, d, "aliases")
 
@@ -332,6 +344,117 @@ def q_reconcile_paths(spark, d):
     return reconcile_paths(C.clean(r), prepare_frame(r))
 
 
+# --- frames, time and space joins ------------------------------------------------------
+
+def q_rolling_means(spark, d):
+    rolled = R.rolling_means(A.severity_trend_over_time(prepared(spark, d)), ["severity_type"], stripe_days=60)
+    return rolled.withColumns({c: F.round(c, 9) for c in ("mean_7", "mean_28")})
+
+
+def q_same_day_last_year(spark, d):
+    yearly = R.same_day_last_year(A.severity_trend_over_time(prepared(spark, d)), ["severity_type"])
+    return yearly.withColumn("last_year", F.col("last_year").cast("double"))
+
+
+def q_rank_in_month(spark, d):
+    return _midnight(R.rank_in_month(A.severity_trend_over_time(prepared(spark, d)), ["severity_type"]), "month")
+
+
+def q_as_of_commits(spark, d):
+    """Every fix with its author's last feature commit."""
+    commits = fixture(spark, d, "commit_times")
+    fixes = commits.filter("event_type = 'error'").select("author", "commit_id", "committed_at")
+    features = commits.filter("event_type = 'click'").select(
+        "author", F.col("committed_at").alias("feature_at"), F.col("commit_id").alias("feature_id"))
+    return TJ.as_of_join(fixes, features, ["author"], "committed_at", "feature_at", ["feature_id"]).withColumn(
+        "feature_id", F.col("feature_id").cast("double"))
+
+
+def q_interval_join(spark, d):
+    """Incidents dated inside the road works of their division."""
+    incidents = prepared(spark, d).select(ID, "DIVISION", F.col("OCC_DATE").cast("date").alias("day"))
+    works = fixture(spark, d, "works")
+    held = TJ.interval_join(incidents, works, "day", "start_day", "end_day", ["DIVISION"])
+    return _midnight(held.select(ID, "day", "work_id"), "day")
+
+
+def q_interval_counts(spark, d):
+    counts = TJ.interval_counts(prepared(spark, d), fixture(spark, d, "works"), "OCC_DATE", "work_id", "start_day",
+                                "end_day", ["DIVISION"])
+    return _midnight(counts, "first_day", "last_day")
+
+
+def q_radius_counts(spark, d):
+    near = TJ.radius_counts(points(spark, d), fixture(spark, d, "sites"), 400.0, "site_id", cell_rows=50)
+    return near.withColumn("nearest_m", F.round("nearest_m", 3))
+
+
+# --- subtotals, sketches, multisets ---------------------------------------------------
+
+CUBE_DIMS = ["YEAR", "DIVISION", "severity_class"]
+
+
+def q_multiset_compare(spark, d):
+    r = raw(spark, d)
+    columns = [ID, "OCC_HOUR", "DIVISION", "INJURY_COLLISIONS", "PEDESTRIAN"]
+    return M.multiset_compare(C.clean(r), prepare_frame(r), columns)
+
+
+def q_multiset_intersect(spark, d):
+    r = raw(spark, d)
+    return M.multiset_intersect(C.clean(r), prepare_frame(r), ["OCC_HOUR", "DIVISION", "PEDESTRIAN"])
+
+
+def q_sketch_weeks(spark, d):
+    return _midnight(SK.sketch_report(fixture(spark, d, "commit_times"), table(spark, d, "events")), "period")
+
+
+# --- streams ------------------------------------------------------------------------
+
+STREAM_DELAY = "2 days"
+
+
+def _delivered(spark, d):
+    """Events written as the three files of a stream: most of them, a few that are still on time, and the late ones."""
+    events = table(spark, d, "events").select("event_id", "ts", "event_type", "user_id")
+    path = scratch_path(spark, "stream-in")
+    turn = F.col("event_id") % 97
+    for part in (turn > 1, turn == 1, turn == 0):
+        events.filter(part).coalesce(1).write.mode("append").parquet(path)
+    return path, events
+
+
+def q_stream_windows(spark, d):
+    path, events = _delivered(spark, d)
+    stream = SW.file_stream(spark, path, events.schema)
+    return SW.replay_windows(stream, "ts", "1 day", delay=STREAM_DELAY, keys=["event_type"])
+
+
+def q_stream_sliding(spark, d):
+    path, events = _delivered(spark, d)
+    stream = SW.file_stream(spark, path, events.schema)
+    return SW.replay_windows(stream, "ts", "2 days", "1 day", delay=STREAM_DELAY)
+
+
+def q_stream_late_rows(spark, d):
+    path, events = _delivered(spark, d)
+    windows = SW.replay_windows(SW.file_stream(spark, path, events.schema), "ts", "1 day", delay=STREAM_DELAY)
+    return SW.late_rows(windows, events)
+
+
+SESSION_GAP = "5 hours"
+
+
+def q_sessions(spark, d):
+    return SS.sessions(table(spark, d, "events"), "ts", ["user_id"], SESSION_GAP)
+
+
+def q_stream_sessions(spark, d):
+    path, events = _delivered(spark, d)
+    stream = SW.file_stream(spark, path, events.schema, files_per_trigger=1000)
+    return SS.replay_sessions(stream, "ts", ["user_id"], SESSION_GAP, STREAM_DELAY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources / sinks
     "scan_csv": q_scan_csv,
@@ -425,4 +548,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "commit_types": lambda s, d: G.commit_types(_commits(s, d)),
     "pr_state_counts": lambda s, d: G.pr_state_counts(_prs(s, d)),
     "reconcile_paths": q_reconcile_paths,
+    # frames, time and space joins
+    "rolling_means": q_rolling_means,
+    "same_day_last_year": q_same_day_last_year,
+    "rank_in_month": q_rank_in_month,
+    "as_of_commits": q_as_of_commits,
+    "interval_join": q_interval_join,
+    "interval_counts": q_interval_counts,
+    "radius_counts": q_radius_counts,
+    # subtotals, sketches, multisets
+    "cube_counts": lambda s, d: S.cube_counts(prepared(s, d), CUBE_DIMS),
+    "rollup_counts": lambda s, d: S.rollup_counts(prepared(s, d), CUBE_DIMS),
+    "grouping_set_counts": lambda s, d: S.grouping_set_counts(
+        prepared(s, d), [["YEAR", "DIVISION"], ["severity_class"], []], CUBE_DIMS),
+    "multiset_compare": q_multiset_compare,
+    "multiset_intersect": q_multiset_intersect,
+    "sketch_weeks": q_sketch_weeks,
+    # streams
+    "stream_windows": q_stream_windows,
+    "stream_sliding": q_stream_sliding,
+    "stream_late_rows": q_stream_late_rows,
+    "sessions": q_sessions,
+    "stream_sessions": q_stream_sessions,
 }

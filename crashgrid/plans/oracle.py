@@ -433,6 +433,99 @@ INCIDENT_SQL = {
         ON r.metric = p.metric AND r.key = p.key""",
 }
 
+_DIMS = ["YEAR", "DIVISION", "severity_class"]
+
+
+def _subtotals(sets: str) -> str:
+    flags = ", ".join(f"grouping({c}) = 1 AS all_{c}" for c in _DIMS)
+    return (f"SELECT {', '.join(_DIMS)}, {flags}, CAST(grouping({', '.join(_DIMS)}) AS INTEGER) AS grouping_id, "
+            f"count(*) AS collision_count FROM prepared GROUP BY {sets}")
+
+
+def _haversine(lat_a: str, lon_a: str, lat_b: str, lon_b: str) -> str:
+    return (f"12742000.0 * asin(sqrt(least(1.0, power(sin(radians({lat_b} - {lat_a}) * 0.5), 2) + cos(radians({lat_a})) "
+            f"* cos(radians({lat_b})) * power(sin(radians({lon_b} - {lon_a}) * 0.5), 2))))")
+
+
+_COMPARED = ["EVENT_UNIQUE_ID", "OCC_HOUR", "DIVISION", "INJURY_COLLISIONS", "PEDESTRIAN"]
+
+INCIDENT_SQL |= {
+    # --- frames, time and space joins
+    "rolling_means": f"""SELECT date, severity_type, value,
+        round(avg(value) OVER week, 9) AS mean_7, count(value) OVER week AS days_7,
+        round(avg(value) OVER month, 9) AS mean_28, count(value) OVER month AS days_28
+      FROM ({_trend_severity("prepared")})
+      WINDOW week AS (PARTITION BY severity_type ORDER BY date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW),
+             month AS (PARTITION BY severity_type ORDER BY date RANGE BETWEEN INTERVAL 27 DAYS PRECEDING AND CURRENT ROW)""",
+    "same_day_last_year": f"""SELECT t.date, t.severity_type, t.value, CAST(l.value AS DOUBLE) AS last_year
+      FROM ({_trend_severity("prepared")}) t LEFT JOIN ({_trend_severity("prepared")}) l
+        ON l.severity_type = t.severity_type AND l.date = t.date - INTERVAL 12 MONTHS""",
+    "rank_in_month": f"""SELECT *, CAST(date_trunc('month', date) AS TIMESTAMP) AS month, CAST(dense_rank() OVER (
+        PARTITION BY severity_type, date_trunc('month', date) ORDER BY value DESC) AS INTEGER) AS rank_in_month
+      FROM ({_trend_severity("prepared")})""",
+    "interval_join": f"""SELECT EVENT_UNIQUE_ID, CAST(CAST(OCC_DATE AS DATE) AS TIMESTAMP) AS day, work_id
+      FROM prepared p JOIN ({fixture_sql("works")}) w ON p.DIVISION = w.DIVISION
+        AND CAST(OCC_DATE AS DATE) BETWEEN start_day AND end_day""",
+    "interval_counts": f"""SELECT work_id, count(p.OCC_DATE) AS points, CAST(min(CAST(OCC_DATE AS DATE)) AS TIMESTAMP) AS first_day,
+        CAST(max(CAST(OCC_DATE AS DATE)) AS TIMESTAMP) AS last_day
+      FROM ({fixture_sql("works")}) w LEFT JOIN prepared p ON p.DIVISION = w.DIVISION
+        AND CAST(OCC_DATE AS DATE) BETWEEN start_day AND end_day GROUP BY work_id""",
+    "radius_counts": f"""SELECT site_id, count(m) AS points, round(min(m), 3) AS nearest_m
+      FROM ({fixture_sql("sites")}) s LEFT JOIN (
+        SELECT site_id AS near_id, {_haversine("lat", "lon", "LAT_WGS84", "LONG_WGS84")} AS m
+        FROM ({fixture_sql("sites")}) x JOIN points p ON abs(p.LAT_WGS84 - x.lat) < 0.01
+      ) d ON d.near_id = s.site_id AND m <= 400 GROUP BY site_id""",
+    # --- subtotals and multisets
+    "cube_counts": _subtotals(f"CUBE ({', '.join(_DIMS)})"),
+    "rollup_counts": _subtotals(f"ROLLUP ({', '.join(_DIMS)})"),
+    "grouping_set_counts": _subtotals("GROUPING SETS ((YEAR, DIVISION), (severity_class), ())"),
+    "multiset_compare": f"""SELECT {', '.join(_COMPARED)}, CAST(sum(a) AS BIGINT) AS first_rows,
+        CAST(sum(b) AS BIGINT) AS second_rows, CAST(sum(a) - sum(b) AS BIGINT) AS surplus FROM (
+        SELECT {', '.join(_COMPARED)}, 1 AS a, 0 AS b FROM cleaned
+        UNION ALL SELECT {', '.join(_COMPARED)}, 0, 1 FROM prepared)
+      GROUP BY ALL HAVING sum(a) <> sum(b)""",
+    "multiset_intersect": """SELECT OCC_HOUR, DIVISION, PEDESTRIAN, count(*) AS common FROM (
+        SELECT OCC_HOUR, DIVISION, PEDESTRIAN FROM cleaned
+        INTERSECT ALL SELECT OCC_HOUR, DIVISION, PEDESTRIAN FROM prepared) GROUP BY ALL""",
+}
+
+# The first of three files moves the watermark to its latest time less two days; that is in force for late rows
+# from the third file on: a row of it counts if its window ends after that.
+_STREAM = """
+WITH marks AS (SELECT max(ts) FILTER (event_id % 97 > 1) - INTERVAL 2 DAYS AS first, max(ts) - INTERVAL 2 DAYS AS last
+               FROM events),
+kept AS (SELECT w, w + INTERVAL {days} DAYS AS e, event_type
+         FROM (SELECT event_id, event_type, unnest(generate_series(
+                 date_trunc('day', ts) - INTERVAL {before} DAYS, date_trunc('day', ts), INTERVAL 1 DAY)) AS w FROM events), marks
+         WHERE event_id % 97 <> 0 OR w + INTERVAL {days} DAYS > first)"""
+
+EVENT_SQL = {
+    "as_of_commits": f"""WITH c AS ({fixture_sql("commit_times")}),
+      r AS (SELECT author, committed_at AS feature_at, commit_id AS feature_id FROM c WHERE event_type = 'click'),
+      l AS (SELECT author, commit_id, committed_at FROM c WHERE event_type = 'error')
+      SELECT l.author, l.commit_id, l.committed_at, r.feature_at AS matched_feature_at, CAST(r.feature_id AS DOUBLE) AS feature_id
+      FROM l LEFT JOIN r ON r.author = l.author AND r.feature_at <= l.committed_at
+      QUALIFY row_number() OVER (PARTITION BY l.commit_id ORDER BY r.feature_at DESC, r.feature_id DESC) = 1""",
+    "sketch_weeks": f"""SELECT CAST(date_trunc('week', committed_at) AS TIMESTAMP) AS period, count(*) AS rows,
+        count(DISTINCT author) AS authors, true AS authors_within_bound, true AS median_within_bound
+      FROM ({fixture_sql("commit_times")}) GROUP BY 1""",
+    "stream_windows": _STREAM.format(days=1, before=0) + """
+      SELECT w AS window_start, e AS window_end, event_type, count(*) AS events,
+             e <= (SELECT last FROM marks) AS closed FROM kept GROUP BY ALL""",
+    "stream_sliding": _STREAM.format(days=2, before=1) + """
+      SELECT w AS window_start, e AS window_end, count(*) AS events, e <= (SELECT last FROM marks) AS closed
+      FROM kept GROUP BY ALL""",
+    "stream_late_rows": _STREAM.format(days=1, before=0) + """
+      SELECT (SELECT count(*) FROM events) AS input_rows, (SELECT count(*) FROM kept) AS counted_rows,
+             (SELECT count(*) FROM events) - (SELECT count(*) FROM kept) AS late_rows""",
+    "sessions": """SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 5 HOURS AS session_end, count(*) AS events
+      FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nr FROM (
+        SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 5 HOURS
+                  THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, nr""",
+}
+EVENT_SQL["stream_sessions"] = (f"SELECT * FROM ({EVENT_SQL['sessions']}) "
+                                "WHERE session_end <= (SELECT max(ts) - INTERVAL 2 DAYS FROM events)")
+
 ACTIVITY_SQL = {
     "scan_activity_log": f"SELECT {strip('author')} AS author, CAST(day AS VARCHAR) AS date, "
                          f"{strip('subject')} AS subject FROM commits",
@@ -467,4 +560,5 @@ ACTIVITY_SQL = {
 def oracle_sql() -> dict[str, str]:
     out = {k: INCIDENT_BASE + v for k, v in INCIDENT_SQL.items()}
     out.update({k: ACTIVITY_BASE + v for k, v in ACTIVITY_SQL.items()})
+    out.update(EVENT_SQL)
     return out

@@ -97,12 +97,40 @@ select case when o_orderkey % 43 <> 0 then o_orderkey end as number,
 from {orders}
 """
 
+# Road works per division: day ranges, a few of them very long.
+WORKS_SQL = """
+select o_orderkey as work_id, concat('D', cast(11 + o_custkey % 25 as string)) as DIVISION,
+  cast(o_orderdate as date) as start_day,
+  cast(o_orderdate as date) + cast(case when o_orderkey % 400 = 0 then 900 else o_custkey % 40 end as int) as end_day
+from {orders} where o_orderkey % 20 = 0
+"""
+
+# Places to look around; some share their coordinates.
+SITES_SQL = """
+select s_suppkey as site_id,
+  cast(43.6 as double) + cast((s_suppkey * 7919) % 200000 as double) / 1000000 as lat,
+  cast(-79.2 as double) - cast((s_suppkey * 104729) % 300000 as double) / 1000000 as lon
+from {supplier}
+union all
+select -1 - s_suppkey, cast(43.7 as double), cast(-79.35 as double) from {supplier} where s_suppkey % 10 = 0
+"""
+
+# Commits with their time; one author in three days of heavy work is a hot key.
+COMMIT_TIMES_SQL = """
+select event_id as commit_id, ts as committed_at, user_id, event_type,
+  case when event_id % 3 = 0 then 'user_0' else concat('user_', cast(user_id as string)) end as author
+from {events}
+"""
+
 FIXTURES = {
     "raw_incidents": (RAW_INCIDENTS_SQL, ("orders", "customer")),
     "aliases": (ALIAS_SQL, ("customer",)),
     "commits": (COMMITS_SQL, ("events",)),
     "numstat": (NUMSTAT_SQL, ("events",)),
     "prs": (PRS_SQL, ("orders",)),
+    "works": (WORKS_SQL, ("orders",)),
+    "sites": (SITES_SQL, ("supplier",)),
+    "commit_times": (COMMIT_TIMES_SQL, ("events",)),
 }
 
 
