@@ -16,6 +16,7 @@ from .neighbours import nearest
 from .passages import repeated_passages
 from .secret_scan import find_secrets
 from .sharding import shard_manifest
+from .shared import bound_batches
 from .simhash import simhash_components
 from .toxicity import held_out, score_toxicity, train_toxicity
 from .warc import archive_roundtrip
@@ -29,6 +30,7 @@ def tokenizer_path() -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

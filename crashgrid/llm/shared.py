@@ -22,6 +22,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches to Python workers at a few MB, whatever the texts' lengths.
+
+    Spark's default is 10,000 rows or 64 MB; buffers of that size, doubled as
+    they grow, in the JVM and in every worker are most of what a text stage
+    holds. Smaller settings of the session stay.
+    """
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(str(spark.conf.get(key)).rstrip("b") or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store through its Hadoop file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from typing import Iterator
 
@@ -105,6 +106,10 @@ def copy_weights(texts: list[str | None]) -> np.ndarray:
     return np.asarray([1 / sizes[k] for k in sketches])
 
 
+def _sentence_sets(text: str | None) -> list[set[bytes]]:
+    return [set(sentence_words(m[0])) for m in SENTENCE.finditer(text or "")]
+
+
 def fit_noisy_or(texts: list[str | None], labels: list[int], max_features: int, min_documents: int = 3,
                  steps: int = 250, rate: float = 0.1, l2: float = 3e-5, noise: float = 0.03,
                  stands_for: tuple[float, float] = (1.0, 1.0)) -> tuple[dict[bytes, float], float]:
@@ -119,13 +124,12 @@ def fit_noisy_or(texts: list[str | None], labels: list[int], max_features: int,
     gives the number of labelled documents that a text of label 0 and of label
     1 stands for, so a sample drawn by label teaches the rate of the whole table.
     """
-    bags = [[set(sentence_words(m[0])) for m in SENTENCE.finditer(t or "")] for t in texts]
     share, y = copy_weights(texts), np.asarray(labels)
     counts: dict[bytes, list[float]] = {}
     n = [max(1.0, share[y == 0].sum()), max(1.0, share[y == 1].sum())]
     all_clean, all_toxic = n[0] * stands_for[0], n[1] * stands_for[1]
-    for bag, label, part in zip(bags, labels, share, strict=True):
-        for feature in {f for word in set().union(*bag) for f in word_features(word)}:
+    for text, label, part in zip(texts, labels, share, strict=True):
+        for feature in {f for word in set().union(*_sentence_sets(text)) for f in word_features(word)}:
             counts.setdefault(feature, [0.0, 0.0])[label] += part
     gap = {}
     for word, (q, p) in counts.items():
@@ -135,15 +139,17 @@ def fit_noisy_or(texts: list[str | None], labels: list[int], max_features: int,
             gap[word] = abs(p / n[1] - q / n[0]) / spread
     chosen = sorted(gap, key=lambda w: (-gap[w], w))[:max_features]
     place = {w: i for i, w in enumerate(chosen)}
+    del counts, gap
 
-    ids, of_sentence, of_doc = [], [], []
-    for d, bag in enumerate(bags):
-        for words in bag:
+    # texts are cut a second time: keeping the words of all of them would hold many times their bytes
+    ids, of_sentence, of_doc = array("q"), array("q"), array("q")
+    for d, text in enumerate(texts):
+        for words in _sentence_sets(text):
             if words:
                 of_doc.append(d)
                 found = [place[f] for w in words for f in word_features(w) if f in place]
-                ids += found
-                of_sentence += [len(of_doc) - 1] * len(found)
+                ids.extend(found)
+                of_sentence.extend([len(of_doc) - 1] * len(found))
     ids, of_sentence, of_doc = (np.asarray(x, dtype=np.int64) for x in (ids, of_sentence, of_doc))
     rows = np.where(y == 1, stands_for[1], stands_for[0])
     keep, cost = 1 - 2 * noise, share * rows / (share * rows).sum()
