@@ -19,7 +19,7 @@ from crashgrid.llm.bpe import token_digests
 from crashgrid.llm.decontaminate import decontaminate
 from crashgrid.llm.queries import tokenizer_path
 from crashgrid.llm.secret_scan import redact_secrets
-from crashgrid.llm.shared import materialize
+from crashgrid.llm.shared import bound_batches, materialize
 from crashgrid.llm.simhash import keep_one_per_component
 from crashgrid.llm.toxicity import drop_toxic, train_toxicity
 
@@ -29,27 +29,32 @@ ORACLE_SQL = None
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; the model learns from the stage's own input and the labels table."""
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return drop_toxic(docs, train_toxicity(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: the one with the smallest doc_id."""
+    bound_batches(spark)
     return keep_one_per_component(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
+    bound_batches(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets masked; n_chars, where there is one, follows a changed text."""
+    bound_batches(spark)
     return redact_secrets(docs, length_col="n_chars")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text, by document."""
+    bound_batches(spark)
     return token_digests(docs, tokenizer_path())
 
 
