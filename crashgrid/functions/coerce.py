@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
-from ..schema import TIMESTAMP_FORMATS, ZONE_PATTERN
+from ..schema import NAMED_MONTH_LAYOUT, NAMED_MONTH_ORDER, NAMED_MONTH_PATTERN, TIMESTAMP_FORMATS, ZONE_PATTERN
 from .text import col, strip
 
 # A plain decimal number with optional exponent and surrounding whitespace.
@@ -45,7 +45,9 @@ def to_timestamp_any(c, dtype=None, formats=TIMESTAMP_FORMATS) -> Column:
     text = strip(c.cast("string"))
     zone = F.regexp_extract(text, ZONE_PATTERN, 2)  # empty without a zone
     text = F.regexp_replace(text, ZONE_PATTERN, "$1")   # one short expression: every layout below repeats it
-    parsed = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))) for fmt, shape in formats]
+    named = F.regexp_replace(text, NAMED_MONTH_PATTERN, NAMED_MONTH_ORDER)
+    parsed = [F.when(text.rlike(shape), F.try_to_timestamp(named if fmt == NAMED_MONTH_LAYOUT else text, F.lit(fmt)))
+              for fmt, shape in formats]
     digits = F.regexp_replace(zone, "[^0-9]", "")
     minutes = F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 60 + F.coalesce(
         F.substring(digits, 3, 2).try_cast("int"), F.lit(0))

@@ -35,20 +35,26 @@ def roster(aliases: DataFrame) -> DataFrame:
     return aliases.select("member_id", "member").distinct()
 
 
-ALIAS_SALTS = 32  # parts that one author's rows are dealt into
+HOT_ROWS = 1_000_000  # rows of one author that one task joins
 
 
-def resolve_alias(df: DataFrame, aliases: DataFrame, column: str = "author") -> DataFrame:
+def resolve_alias(df: DataFrame, aliases: DataFrame, column: str = "author", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Map a name/handle/alias column (stripped, lower-cased) to its member.
 
-    Adds member_id and member; rows that match no alias are dropped. Rows are
-    salted by their content and the (small, unique) lookup is repeated per
-    salt, so an author who holds a third of all rows is joined by many tasks.
+    Adds member_id and member; rows that match no alias are dropped. Rows per
+    author are counted first (one partial aggregate). An author with more than
+    ``hot_rows`` is dealt into parts by row content and that author's lookup
+    row is repeated per part; all others are joined as they are. The hot
+    authors, at most rows / ``hot_rows``, are one scalar map.
     """
     require_columns(df, [column])
-    lookup = alias_lookup(aliases).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ALIAS_SALTS - 1))))
-    return (df.withColumn("_key", norm_key(column))
-            .withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(ALIAS_SALTS)).cast("int"))
+    keyed = df.withColumn("_key", norm_key(column))
+    sizes = keyed.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / F.lit(int(hot_rows))).cast("int").alias("_n"))
+    hot = sizes.filter((F.col("_n") > 1) & F.col("_key").isNotNull()).agg(
+        F.map_from_entries(F.collect_list(F.struct("_key", "_n")))).scalar()
+    parts = lambda key: F.coalesce(F.try_element_at(hot, key), F.lit(1))
+    lookup = alias_lookup(aliases).withColumn("_salt", F.explode(F.sequence(F.lit(0), parts(F.col("alias_key")) - 1)))
+    return (keyed.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), parts(F.col("_key"))).cast("int"))
             .join(lookup.withColumnRenamed("alias_key", "_key"), ["_key", "_salt"], "inner")
             .drop("_key", "_salt"))
 

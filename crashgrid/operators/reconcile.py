@@ -37,6 +37,7 @@ def metric_table(df: DataFrame, normalized_road_users: bool, top_n: int = 10) ->
     entries = [
         _entry("row_count", F.lit(""), one),
         F.when(hour.isNotNull(), _entry("by_hour", hour, one)),
+        _entry("has_hour", F.lit(""), hour.isNotNull().cast("int")),
         F.when(F.col("NEIGHBOURHOOD_158").isNotNull(), _entry("neighbourhood", F.col("NEIGHBOURHOOD_158"), one)),
     ]
     if "severity_class" in df.columns:
@@ -57,28 +58,26 @@ def metric_table(df: DataFrame, normalized_road_users: bool, top_n: int = 10) ->
     # hours tie by their number, names by their text, as in the single analyses
     number = F.when(F.col("metric") == "by_hour", F.col("key").try_cast("double"))
     order = [F.desc("value"), number.asc_nulls_last(), F.asc("key")]
-    # Two-level top-N for neighbourhoods: the best N inside each of 64 key buckets (parallel),
-    # then the final rank over at most 64 * N rows, so no task sorts every distinct name.
+    # Two levels: the best N names and the best hour inside each of 64 key buckets (parallel), then the final
+    # rank over those candidates only (at most 64 * N and 64), so no task sorts every distinct name or hour.
     bucket = F.pmod(F.xxhash64("key"), F.lit(64))
     in_bucket = Window.partitionBy("metric", "_bucket").orderBy(*order)
+    places = F.when(F.col("metric") == "neighbourhood", F.lit(int(top_n))).otherwise(F.lit(1))
     reduced = (counts.withColumn("_bucket", bucket)
                .withColumn("_r", F.row_number().over(in_bucket))
-               .filter((F.col("metric") != "neighbourhood") | (F.col("_r") <= int(top_n)))
-               .drop("_bucket", "_r"))
-    by_rank = Window.partitionBy("metric").orderBy(*order)
-    everything = Window.partitionBy()   # over the reduced table: hours, <= 64 * N names, fixed metrics
-    ranked = reduced.withColumns({
-        "_rank": F.row_number().over(by_rank),
-        "_has_hour": F.max((F.col("metric") == "by_hour").cast("int")).over(everything),
-    })
+               .withColumn("_candidate", F.col("_r") <= places)
+               .filter((F.col("metric") != "neighbourhood") | F.col("_candidate")))
+    last = Window.partitionBy("metric", F.when(~F.col("_candidate"), F.col("_bucket"))).orderBy(*order)
+    ranked = reduced.withColumn("_rank", F.when(F.col("_candidate"), F.row_number().over(last)))
     peak = F.when((F.col("metric") == "by_hour") & (F.col("_rank") == 1),
                   F.struct(F.lit("peak_hour").alias("metric"),
                            F.format_string("%02d:00", F.col("key").cast("double").cast("int")).alias("key"),
                            F.lit(1).cast("bigint").alias("value"))) \
-        .when((F.col("metric") == "row_count") & (F.col("_has_hour") == 0),
+        .when((F.col("metric") == "has_hour") & (F.col("value") == 0),
               F.struct(F.lit("peak_hour").alias("metric"), F.lit("N/A").alias("key"),
                        F.lit(1).cast("bigint").alias("value")))
-    own = F.when((F.col("metric") != "neighbourhood") | (F.col("_rank") <= int(top_n)),
+    own = F.when((F.col("metric") != "has_hour")
+                 & ((F.col("metric") != "neighbourhood") | (F.col("_rank") <= int(top_n))),
                  F.struct(F.when(F.col("metric") == "neighbourhood", F.lit("top_neighbourhood"))
                           .otherwise(F.col("metric")).alias("metric"),
                           F.col("key"), F.col("value").cast("bigint").alias("value")))

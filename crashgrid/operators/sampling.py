@@ -40,6 +40,7 @@ def preview(df: DataFrame, n: int = 5, order_by: Sequence | None = None) -> Data
 
 
 PREFIX_DIGITS = 4  # 65,536 hash groups
+EDGE_PARTS = 64  # parts in which the boundary group is ranked first
 
 
 def capped_sample(df: DataFrame, cap: int, seed: int = MAP_SAMPLE_SEED,
@@ -55,9 +56,12 @@ def capped_sample(df: DataFrame, cap: int, seed: int = MAP_SAMPLE_SEED,
     Scale: the input is read twice. One aggregate counts rows per hash prefix
     (at most 65,537 groups); a running sum over those counts finds the prefix
     in which the places run out. The second read keeps protected rows and all
-    prefixes before that one, and ranks only the rows inside it; every other
-    kept row is dealt by its content, so no task holds more than its share.
-    The bounds are one scalar subquery; the plan stays lazy.
+    prefixes before that one, and ranks only the rows inside it, in two
+    levels: the first ``places`` rows of each of 64 parts dealt by content,
+    then those of all parts together. So a prefix that holds a third of all
+    rows (rows without an id share one) is ranked by many tasks; rows equal in
+    hash and id are told apart by content. The bounds are one scalar
+    subquery; the plan stays lazy.
     """
     require_columns(df, ["severity_class", id_col])
     is_protected = F.coalesce(F.col("severity_class") == F.lit(protected_class), F.lit(False))
@@ -78,11 +82,16 @@ def capped_sample(df: DataFrame, cap: int, seed: int = MAP_SAMPLE_SEED,
 
     in_edge = F.coalesce(prefix == bounds.getField("edge"), F.lit(False))
     kept = df.filter(is_protected | F.coalesce(prefix <= bounds.getField("whole"), F.lit(False)) | in_edge)
-    dealt = F.when(in_edge, F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20)))
-    ranked = kept.withColumns({"_sample_hash": h, "_sample_edge": in_edge, "_sample_part": dealt}).withColumn(
-        "_sample_rank", F.row_number().over(Window.partitionBy("_sample_part").orderBy("_sample_hash", id_col)))
-    return (ranked.filter(~F.col("_sample_edge") | (F.col("_sample_rank") <= bounds.getField("places")))
-            .select(*df.columns))
+    content = F.xxhash64(*df.columns)
+    spread = F.lit(EDGE_PARTS) + F.pmod(content, F.lit(1 << 20))   # rows that need no rank
+    placed = kept.withColumns({"_sample_hash": h, "_sample_edge": in_edge, "_sample_content": content}).withColumn(
+        "_sample_part", F.when(F.col("_sample_edge"), F.pmod("_sample_content", F.lit(EDGE_PARTS))).otherwise(spread))
+    order = ["_sample_hash", id_col, "_sample_content"]
+    enough = ~F.col("_sample_edge") | (F.col("_sample_rank") <= bounds.getField("places"))
+    for part in (F.col("_sample_part"), F.when(F.col("_sample_edge"), F.lit(0)).otherwise(F.col("_sample_part"))):
+        rank = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+        placed = placed.withColumn("_sample_rank", rank).filter(enough)
+    return placed.select(*df.columns)
 
 
 def concat_rows(first: DataFrame, second: DataFrame) -> DataFrame:

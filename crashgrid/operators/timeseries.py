@@ -1,21 +1,28 @@
 """T1-T3 (gap filling, smoothing forecast, guard) and U2 (trend overlay).
 
 The forecast fits an additive-trend exponential smoothing model (no season)
-per series key with DataFrame functions only: one row per (key, pair of
-smoothing weights) folds the ordered daily series with ``aggregate``, and the
-pair with the least error wins. A series is no longer than the calendar span,
-since the incidents were reduced to daily counts before.
+per series key: a task walks the key's ordered daily series once per search
+with NumPy, all pairs of smoothing weights together, and the pair with the
+least error wins. A series is no longer than the calendar span, since the
+incidents were reduced to daily counts before. The functions that run in
+Python workers are pickled by value, so executors need no installed copy.
 """
 
 from __future__ import annotations
 
+import sys
 from typing import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FORECAST_MIN_DAYS, require_columns
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_SPAN_DAYS = 200 * 366   # a longer calendar means a stray date: an error, never a cut
 
 
@@ -50,80 +57,85 @@ def densify_daily(series: DataFrame, keys: Sequence[str] = (), date_col: str = "
 
 # --- additive-trend smoothing fit ------------------------------------------------
 
-# Spacing of the 21 x 21 weights: all of [0, 1], then twice around the best pair.
-WEIGHT_STEPS = (0.05, 0.005, 0.0005)
-
-# One day of the recursion. Errors are linear in the initial level and slope, so
-# three series are enough: the data from a zero state (0), a unit level (1) and
-# a unit slope (2) without data. s** are the sums of their error products.
-_START = ("named_struct('l0', 0D, 't0', 0D, 'l1', 1D, 't1', 0D, 'l2', 0D, 't2', 1D, "
-          "'uu', 0D, 'uv', 0D, 'vv', 0D, 'ur', 0D, 'vr', 0D, 'rr', 0D)")
-
-
-def _day(level: str, trend: str, value: str) -> tuple[str, str]:
-    grown = f"_a * {value} + (1D - _a) * ({level} + {trend})"
-    return grown, f"_b * (({grown}) - {level}) + (1D - _b) * {trend}"
-
+#: Searches as (spacing, pairs per side): all of [0, 1] first, then finer lattices around the best pair so far.
+WEIGHT_LATTICES = ((0.01, 101), (0.001, 21), (0.0001, 21))
+_FIT = "alpha double, beta double, l0 double, b0 double, sse double, level double, trend double"
 
-def _fold() -> str:
-    fields = []
-    for i, value in enumerate(("y", "0D", "0D")):
-        level, trend = _day(f"s.l{i}", f"s.t{i}", value)
-        fields += [f"'l{i}', {level}", f"'t{i}', {trend}"]
-    error = {"u": "(s.l1 + s.t1)", "v": "(s.l2 + s.t2)", "r": "(y - (s.l0 + s.t0))"}
-    fields += [f"'{p}{q}', s.{p}{q} + {error[p]} * {error[q]}" for p, q in ("uu", "uv", "vv", "ur", "vr", "rr")]
-    return f"aggregate(_y, {_START}, (s, y) -> named_struct({', '.join(fields)}))"
 
+def _walk(y: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Least squared one-step error, initial state and final state for each weight pair (arrays a, b).
 
-def _search(series: DataFrame, keys: Sequence[str], step: float) -> DataFrame:
-    """The best of 21 x 21 weight pairs around (_ca, _cb); one row per key."""
-    def near(center, index):
-        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(center) + (index - 10) * F.lit(step)))
-
-    pairs = (series.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(440))))
-             .repartition(*keys, "_n")   # a key's pairs are fitted by many tasks
-             .withColumns({"_a": near("_ca", F.floor(F.col("_n") / 21)), "_b": near("_cb", F.col("_n") % 21)})
-             .withColumn("_s", F.expr(_fold())))
-    s = {f: F.col(f"_s.{f}") for f in ("uu", "uv", "vv", "ur", "vr", "rr", "l0", "l1", "l2", "t0", "t1", "t2")}
-    solved = pairs.withColumn("_det", s["uu"] * s["vv"] - s["uv"] * s["uv"]).withColumns({
-        "_l": F.try_divide(s["ur"] * s["vv"] - s["vr"] * s["uv"], F.col("_det")),
-        "_t": F.try_divide(s["vr"] * s["uu"] - s["ur"] * s["uv"], F.col("_det")),
-    })
-    lv, tr = F.col("_l"), F.col("_t")
-    sse = (s["rr"] - 2 * lv * s["ur"] - 2 * tr * s["vr"] + lv * lv * s["uu"] + 2 * lv * tr * s["uv"]
-           + tr * tr * s["vv"])
-    fit = F.when(F.col("_det") > 0, F.struct(   # no filter: it would be pushed down and fold every series again
-        F.greatest(sse, F.lit(0.0)).alias("sse"), F.col("_a").alias("alpha"), F.col("_b").alias("beta"),
-        lv.alias("l0"), tr.alias("b0"),
-        (s["l0"] + lv * s["l1"] + tr * s["l2"]).alias("level"),
-        (s["t0"] + lv * s["t1"] + tr * s["t2"]).alias("trend")))
-    return (solved.groupBy(*keys)
-            .agg(F.min(fit).alias("_fit"), F.first("_y").alias("_y"), F.first("_last").alias("_last"))
-            .withColumns({"_ca": F.col("_fit.alpha"), "_cb": F.col("_fit.beta")}))
+    Errors are linear in the initial level and slope, so three recursions are
+    enough for the exactly optimal start: the data from a zero state, a unit
+    level and a unit slope without data. All pairs take each day together.
+    """
+    one = np.ones(len(a))
+    l0, t0, l1, t1, l2, t2 = 0 * one, 0 * one, 1 * one, 0 * one, 0 * one, 1 * one
+    uu, uv, vv, ur, vr, rr = (np.zeros(len(a)) for _ in range(6))
+    keep_a, keep_b = 1 - a, 1 - b
+    for value in y:
+        p0, u, v = l0 + t0, l1 + t1, l2 + t2
+        r = value - p0
+        uu += u * u
+        uv += u * v
+        vv += v * v
+        ur += u * r
+        vr += v * r
+        rr += r * r
+        g0, g1, g2 = a * value + keep_a * p0, keep_a * u, keep_a * v
+        t0, t1, t2 = b * (g0 - l0) + keep_b * t0, b * (g1 - l1) + keep_b * t1, b * (g2 - l2) + keep_b * t2
+        l0, l1, l2 = g0, g1, g2
+    det = uu * vv - uv * uv
+    with np.errstate(divide="ignore", invalid="ignore"):
+        level, slope = (ur * vv - vr * uv) / det, (vr * uu - ur * uv) / det
+        sse = rr - 2 * level * ur - 2 * slope * vr + level * level * uu + 2 * level * slope * uv + slope * slope * vv
+    sse = np.where(det > 0, np.maximum(sse, 0.0), np.inf)
+    return sse, level, slope, l0 + level * l1 + slope * l2, t0 + level * t1 + slope * t2
+
+
+def best_weights(y: np.ndarray) -> tuple[float, ...] | None:
+    """(alpha, beta, initial level and slope, squared error, final level and slope); ties: smaller alpha, then beta."""
+    center = (0.5, 0.5)
+    best = None
+    for step, side in WEIGHT_LATTICES:
+        offsets = (np.arange(side) - side // 2) * step
+        a, b = (np.repeat(np.clip(center[0] + offsets, 0.0, 1.0), side),
+                np.tile(np.clip(center[1] + offsets, 0.0, 1.0), side))
+        sse, level, slope, last_level, last_slope = _walk(y, a, b)
+        i = np.lexsort((b, a, sse))[0]
+        if not np.isfinite(sse[i]):
+            return None
+        best = tuple(float(c[i]) for c in (a, b, level, slope, sse, last_level, last_slope))
+        center = best[:2]
+    return best
 
 
 def fit_trend(trend: DataFrame, keys: Sequence[str], date_col: str = "date", value_col: str = "value",
               min_days: int = FORECAST_MIN_DAYS) -> DataFrame:
     """Smoothing weights, initial state, squared error and final state of each key's daily series.
 
-    The weights are the pair with the least squared one-step error (ties: the
-    smaller alpha, then beta), each pair with its exactly optimal initial
-    level and slope. Three searches of 21 x 21 pairs reach a resolution of
-    0.0005. Keys with fewer than ``min_days`` observed days have no row.
+    The weights are the pair with the least squared one-step error, each pair
+    with its exactly optimal initial level and slope: the best of all pairs
+    0.01 apart, then of two finer lattices around it (0.0001). Keys with fewer
+    than ``min_days`` observed days have no row. A key's daily series (no
+    longer than its calendar span) is fitted by one task, which holds it once;
+    keys spread over the tasks.
     """
     keys = list(keys)
     dense = densify_daily(trend.select(*keys, date_col, F.col(value_col).cast("double").alias(value_col)),
                           keys=keys, date_col=date_col, value_col=value_col, observed_col="_observed")
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(date_col).alias("d"), F.col(value_col).alias("v"))))
-    fitted = (dense.groupBy(*keys)
-              .agg(F.transform(ordered, lambda x: x["v"]).alias("_y"), F.max(date_col).alias("_last"),
-                   F.count_if("_observed").alias("_seen"))
-              .filter(F.col("_seen") >= F.lit(int(min_days)))
-              .withColumns({"_ca": F.lit(0.5), "_cb": F.lit(0.5)}))
-    for step in WEIGHT_STEPS:
-        fitted = _search(fitted, keys, step)
-    return fitted.select(*keys, F.col("_last").alias("last_date"), "_fit.alpha", "_fit.beta", "_fit.l0", "_fit.b0",
-                         "_fit.sse", "_fit.level", "_fit.trend")
+    source = dense.select(*keys, F.col(date_col).alias("_date"), F.col(value_col).alias("_value"), "_observed")
+    key_types = ", ".join(f"`{k}` {trend.schema[k].dataType.simpleString()}" for k in keys)
+    date_type = trend.schema[date_col].dataType.simpleString()
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_date")
+        found = best_weights(frame["_value"].to_numpy(dtype=float)) if frame["_observed"].sum() >= min_days else None
+        row = [*(frame[k].iloc[0] for k in keys), frame["_date"].iloc[-1], *(found or [])]
+        names = [*keys, "last_date", *(c.split()[0] for c in _FIT.split(", "))]
+        return pd.DataFrame([row] if found else [], columns=names)
+
+    return source.groupBy(*keys).applyInPandas(fit, f"{key_types}, last_date {date_type}, {_FIT}")
 
 
 def forecast_collision_trend(trend: DataFrame, horizon_days: int = 30, keys: Sequence[str] = (),
@@ -174,4 +186,4 @@ def trend_overlay(severity_trend: DataFrame, total_trend: DataFrame | None = Non
     return out
 
 
-__all__ = ["densify_daily", "fit_trend", "forecast_collision_trend", "forecast_guard", "trend_overlay"]
+__all__ = ["densify_daily", "best_weights", "fit_trend", "forecast_collision_trend", "forecast_guard", "trend_overlay"]

@@ -185,7 +185,7 @@ def _placed(sql: str, order: str) -> str:
 
 
 def _forecast(table: str, horizon: int) -> str:
-    """The smoothing fit as recursive SQL: one row per weight pair walks the days; three ever finer grids."""
+    """The smoothing fit as recursive SQL: one row per weight pair walks the days, on three ever finer lattices."""
     zero = "CAST(0 AS DOUBLE)"
     one = "CAST(1 AS DOUBLE)"
     ctes = [f"""seen AS (SELECT date, CAST(value AS DOUBLE) AS value FROM ({_trend_total(table)})),
@@ -194,12 +194,12 @@ def _forecast(table: str, horizon: int) -> str:
           FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS date FROM seen) g
           LEFT JOIN seen ON g.date = seen.date),
         best0 AS (SELECT CAST(0.5 AS DOUBLE) AS a, CAST(0.5 AS DOUBLE) AS b)"""]
-    for n, step in ((1, "0.05"), (2, "0.005"), (3, "0.0005")):
+    for n, step, side in ((1, "0.01", 101), (2, "0.001", 21), (3, "0.0001", 21)):
         size = f"CAST({step} AS DOUBLE)"
         ctes.append(f"""grid{n} AS (
-          SELECT least({one}, greatest({zero}, best.a + (x.k - 10) * {size})) AS a,
-                 least({one}, greatest({zero}, best.b + (z.k - 10) * {size})) AS b
-          FROM best{n - 1} best, range(0, 21) x(k), range(0, 21) z(k)),
+          SELECT least({one}, greatest({zero}, best.a + (x.k - {side // 2}) * {size})) AS a,
+                 least({one}, greatest({zero}, best.b + (z.k - {side // 2}) * {size})) AS b
+          FROM best{n - 1} best, range(0, {side}) x(k), range(0, {side}) z(k)),
         walk{n} AS (
           SELECT CAST(0 AS BIGINT) AS i, a, b, {zero} AS l0, {zero} AS t0, {one} AS l1, {zero} AS t1, {zero} AS l2,
                  {one} AS t2, {zero} AS uu, {zero} AS uv, {zero} AS vv, {zero} AS ur, {zero} AS vr, {zero} AS rr

@@ -104,11 +104,19 @@ TIMESTAMP_FORMATS = [
     ("M/d/yyyy H:m:s", r"^[0-9]{1,2}/[0-9]+/[0-9]{4} [0-9]+:[0-9]+:[0-9]+$"),
     ("M/d/yyyy H:m", r"^[0-9]{1,2}/[0-9]+/[0-9]{4} [0-9]+:[0-9]+$"),
     ("yyyyMMdd", r"^[0-9]{8}$"),
-    ("MMM d, yyyy", r"^[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}$"),
+    ("MMM d, yyyy", r"^(?:[0-9]{1,2} )?[A-Z][a-z]{2,8} (?:[0-9]{1,2}, )?[0-9]{4}$"),
+    ("yyyy-M", r"^[0-9]{4}-[0-9]{1,2}$"),
     ("yyyy-M-d H:m:s.SSSSSSSSS", r"^[0-9]{4}-[0-9]+-[0-9]+ [0-9]+:[0-9]+:[0-9]+\.[0-9]{1,9}$"),
     ("yyyy-M-d'T'H:m:s.SSSSSSSSS", r"^[0-9]{4}-[0-9]+-[0-9]+T[0-9]+:[0-9]+:[0-9]+\.[0-9]{1,9}$"),
 ]
 
+# Dates with the month's name: "15 Jan 2024" and "January 15, 2024" are written as "Jan 15, 2024".
+NAMED_MONTH_LAYOUT = "MMM d, yyyy"
+NAMED_MONTH_PATTERN = (
+    r"^(?:([0-9]{1,2}) )?(" + "|".join(m[:3] for m in MONTH_NAMES) + r")(?:"
+    + "|".join(f"(?<={m[:3]}){m[3:]}" for m in MONTH_NAMES if m[3:]) + r")?(?: ([0-9]{1,2}),)? ([0-9]{4})$")
+NAMED_MONTH_ORDER = "$2 $1$3, $4"
+
 # A trailing zone (Z, +hh, +hhmm, +hh:mm) after a time of day. The rest is
 # parsed by the layouts above and moved to UTC by the offset.
 ZONE_PATTERN = r"^(.*[0-9]:[0-9]+(?::[0-9.]+)?) ?(Z|[+-][0-9]{2}(?::?[0-9]{2})?)$"

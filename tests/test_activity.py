@@ -122,3 +122,14 @@ def test_commit_counts_with_a_hot_author_match_per_row_resolution(frame):
     assert got["Ann"] == 100
     per_day = {r["day"].date(): r["commits"] for r in commits_per_day(commits, al).collect()}
     assert per_day == dict(want_day)
+
+
+def test_hot_author_is_dealt_into_parts(spark):
+    aliases = spark.createDataFrame([(1, "Ann", "ann"), (2, "Bob", "bob")], "member_id long, member string, alias string")
+    rows = [("Ann ", i) for i in range(500)] + [("BOB", i) for i in range(5)] + [("who", 1), (None, 2)]
+    commits = spark.createDataFrame(rows, "author string, n int")
+    for hot_rows in (7, 1_000_000):
+        got = resolve_alias(commits, aliases, hot_rows=hot_rows)
+        assert got.columns == ["author", "n", "member_id", "member"]
+        assert sorted((r["member"], r["n"]) for r in got.collect()) == sorted(
+            [("Ann", i) for i in range(500)] + [("Bob", i) for i in range(5)])

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from crashgrid.functions.coerce import to_timestamp_any
 from crashgrid.operators.cleaning import clean, coerce_numeric, coerce_timestamp, dedupe_rows, quality_report
 from crashgrid.schema import REQUIRED_COLUMNS
 
@@ -78,3 +79,14 @@ def test_timestamp_texts(spark):
 def test_empty_input(spark):
     frame = spark.createDataFrame([], DDL)
     assert clean(frame).count() == 0 and set(quality_report(frame).first().asDict().values()) == {0}
+
+
+def test_dates_with_month_names_and_months(spark):
+    texts = {"January 15, 2024": dt.datetime(2024, 1, 15), "15 Jan 2024": dt.datetime(2024, 1, 15),
+             "Jan 15, 2024": dt.datetime(2024, 1, 15), "3 September 2021": dt.datetime(2021, 9, 3),
+             "May 1, 2020": dt.datetime(2020, 5, 1), "1 May 2020": dt.datetime(2020, 5, 1),
+             "2024-01": dt.datetime(2024, 1, 1), "2024-13": None, "Janch 3, 2024": None, "Jan 2024": None,
+             "15 Jan 15, 2024": None, "Foo 3, 2024": None, "31 Feb 2024": None}
+    df = spark.createDataFrame([(t,) for t in texts], "OCC_DATE string")
+    got = dict(df.select("OCC_DATE", to_timestamp_any("OCC_DATE").alias("t")).collect())
+    assert got == texts

@@ -60,3 +60,12 @@ def test_top_n_and_sorts(spark):
     assert order == ["Fatal", "Injury", "Other"]
     assert [r[0] for r in distinct_values(df, "k").collect()] == ["A", "B", "C", "D"]
     assert preview(df, 3, order_by=["k"]).count() == 3
+
+
+def test_a_boundary_full_of_rows_without_id_is_filled_exactly(spark):
+    rows = [(None, "Injury", i) for i in range(400)] + [(f"F{i}", "Fatal", i) for i in range(5)]
+    df = spark.createDataFrame(rows, "EVENT_UNIQUE_ID string, severity_class string, n int")
+    out = capped_sample(df, cap=55).collect()
+    assert len(out) == 55 and len({r["n"] for r in out if r["severity_class"] == "Injury"}) == 50
+    again = capped_sample(df.repartition(9), cap=55).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))

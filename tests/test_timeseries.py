@@ -3,7 +3,8 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from crashgrid.operators.timeseries import (densify_daily, fit_trend, forecast_collision_trend, forecast_guard,
+from plan_util import plan_text
+from crashgrid.operators.timeseries import (best_weights, densify_daily, fit_trend, forecast_collision_trend, forecast_guard,
                                             trend_overlay)
 
 
@@ -55,6 +56,22 @@ def test_fit_matches_direct_recursion_and_is_optimal(spark):
     assert fit["alpha"] > 0.3   # a random walk needs a responsive level
 
 
+def test_error_is_that_of_an_independent_dense_search():
+    rng = np.random.default_rng(11)
+    for n in range(12):
+        y = {0: np.cumsum(rng.normal(size=90)), 1: rng.poisson(4, 90).astype(float),
+             2: 5 * np.sin(np.arange(90) / 9) + rng.normal(size=90)}[n % 3] + n
+        found = best_weights(y)
+        dense = min(least_sse(y, a, b) for a in np.linspace(0, 1, 41) for b in np.linspace(0, 1, 41))
+        assert found[4] <= dense * 1.001
+        assert found[4] == pytest.approx(direct_sse(y, *found[:4])[0], rel=1e-6)
+
+
+def test_plan_holds_each_series_once(spark):
+    plan = plan_text(fit_trend(_series(spark, range(40)), ["k"]), "simple")
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and plan.count("FlatMapGroupsInPandas") == 1
+
+
 def test_linear_series_forecasts_the_line(spark):
     out = forecast_collision_trend(_series(spark, 3.0 + 2.0 * np.arange(60)), 5, keys=["k"]).orderBy("date").collect()
     assert np.allclose([r["value"] for r in out], 3.0 + 2.0 * np.arange(60, 65), atol=1e-6)
