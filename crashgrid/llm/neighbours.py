@@ -5,7 +5,9 @@ lost is kept. A tile multiplies a block of queries with a block of candidates
 in int8, which bounds every inner product from both sides (Cauchy-Schwarz on
 the lost parts). Pairs whose upper bound reaches the k-th best lower bound
 survive; they are recomputed in double precision on the original vectors and
-merged into one heap of k per query. The result is exact.
+merged into one heap of k per query. Tasks own tiles of one query block and
+one stripe of candidate blocks, so their work is bounded on both sides; the
+heaps of a query's stripes are merged last. The result is exact.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def search_tile(heaps: dict, q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
-            k: int = 20, block_rows: int = 1024) -> DataFrame:
+            k: int = 20, block_rows: int = 1024, stripe_blocks: int = 16, block_bytes: int = 8 << 20) -> DataFrame:
     """The ``k`` rows of ``vectors`` with the largest inner product, for each row of ``queries``.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller
@@ -90,6 +92,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     once, with the smallest vector. Vectors of another length than a query's
     are no candidates for it. Fewer candidates than ``k`` are all returned;
     empty tables give no rows.
+
+    A block has ``block_rows`` vectors, fewer if they are wider than
+    ``block_bytes`` together; a task's tile is a query block against
+    ``stripe_blocks`` candidate blocks.
     """
     vector = F.col(vector_col).cast("array<double>")
     usable = (F.col("id").isNotNull() & (F.size("v") > 0)
@@ -100,21 +106,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
         rows = table.select(F.col(id_col).cast("long").alias("id"), vector.alias("v")).where(usable)
         rows = rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("width", F.size("v"))
         rows = materialize(rows, name)
-        count = rows.groupBy("width").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+        fit = F.greatest(F.lit(1), F.least(F.lit(block_rows), F.floor(F.lit(block_bytes) / (8 * F.col("width")))))
+        count = rows.groupBy("width").agg(F.count(F.lit(1)).alias("n")).select(
+            "width", F.ceil(F.col("n") / fit).cast("int").alias("blocks"))
         # hashed into blocks of about block_rows, whatever the ids look like
         dealt = rows.join(count, "width").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         return materialize(dealt.groupBy("width", "blocks", "block").agg(
             F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("values")), name + "-blocks")
 
-    query_blocks = blocks(queries, "query-vectors")
-    # Every candidate block meets every query block of its width, as the search demands:
-    # it is copied once per query block and joined on that block's number.
+    query_blocks, candidate_blocks = blocks(queries, "query-vectors"), blocks(vectors, "candidate-vectors")
+    # Every candidate block meets every query block of its width, as the search demands: candidate blocks are
+    # copied once per query block, query blocks once per stripe, and both meet under the tile's two numbers.
+    stripes = candidate_blocks.select("width", F.ceil(F.col("blocks") / stripe_blocks).cast("int").alias("stripes")).distinct()
     per_width = query_blocks.select("width", F.col("blocks").alias("query_blocks")).distinct()
-    candidates = blocks(vectors, "candidate-vectors").join(per_width, "width").select(
+    asked = query_blocks.join(stripes, "width").select(
+        "width", "block", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)).alias("stripe"), "ids", "values")
+    candidates = candidate_blocks.join(per_width, "width").select(
         "width", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("block"),
-        F.col("block").alias("candidate_block"), F.col("ids").alias("c_ids"), F.col("values").alias("c_values"))
-    tiles = query_blocks.select("width", "block", "ids", "values").join(candidates, ["width", "block"]).select(
-        "width", "ids", "values", "c_ids", "c_values")
+        F.floor(F.col("block") / stripe_blocks).cast("int").alias("stripe"),
+        F.col("ids").alias("c_ids"), F.col("values").alias("c_values"))
+    tiles = asked.join(candidates, ["width", "block", "stripe"]).select("width", "ids", "values", "c_ids", "c_values")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[int, list] = {}

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from crashgrid.llm.neighbours import nearest, quantise, search_tile, tile_bounds
+from plan_util import plan_text
 
 rng = np.random.default_rng(4)
 
@@ -33,8 +34,8 @@ def test_bounds_hold_and_are_tight():
     assert np.median((high - low) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1))) < 0.05
 
 
-@pytest.mark.parametrize("block_rows", [1024, 16])
-def test_equals_brute_force(spark, block_rows):
+@pytest.mark.parametrize("bounds", [{}, {"block_rows": 16, "stripe_blocks": 2}, {"block_bytes": 300, "stripe_blocks": 3}])
+def test_equals_brute_force(spark, bounds):
     vectors = rng.normal(size=(300, 8)).astype(np.float32)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
     rows += [(400 + i, rows[i][1]) for i in range(60)]  # ties
@@ -44,7 +45,7 @@ def test_equals_brute_force(spark, block_rows):
     frame = spark.createDataFrame([(i, v, 1.0, -1) for i, v in rows],
                                   "vec_id long, embedding array<float>, score double, rank int")
     rows = [(i, v and [float(np.float32(x)) if x is not None else None for x in v]) for i, v in rows]
-    got = nearest(frame, frame.where("vec_id % 20 = 0 or vec_id in (506, 507)"), block_rows=block_rows).collect()
+    got = nearest(frame, frame.where("vec_id % 20 = 0 or vec_id in (506, 507)"), **bounds).collect()
     want = brute(rows, [i for i in dict.fromkeys(i for i, _ in rows) if i is not None and (i % 20 == 0 or i in (506, 507))], 20)
     assert sorted(tuple(r) for r in got) == want
 
@@ -64,3 +65,24 @@ def test_heaps_keep_the_best_over_tiles():
     for i in range(3):
         best = np.argsort(-(c @ q[i]), kind="stable")[:5]
         assert sorted(-v for _, v in heaps[i - 10]) == sorted(best.tolist())
+
+
+def test_very_wide_vectors_have_small_blocks(spark):
+    vectors = rng.normal(size=(12, 20_000))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(frame, frame.where("vec_id % 5 = 0"), k=3, block_bytes=1 << 18).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, [0, 5, 10], 3)
+
+
+def test_tasks_are_tiles_bounded_on_both_sides(spark):
+    frame = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 400)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_text(nearest(frame, frame.where("vec_id % 2 = 0"), block_rows=20, stripe_blocks=4), "simple")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    join = next(line for line in plan.splitlines() if "SortMergeJoin" in line)  # the join that feeds the search
+    assert all(join.count(key) == 2 for key in ("width#", "block#", "stripe#"))
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
