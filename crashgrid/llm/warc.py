@@ -3,7 +3,9 @@
 Archives are sequences of gzip members, one record each. A reader task owns a
 byte range of a file: it looks for the gzip magic, accepts a member if its
 header decodes to a WARC record, and reads every record that starts inside
-its range to its end, past the range if need be.
+its range to its end, past the range if need be. In an archive with a manifest
+records lie one behind the other, so other bytes between them are damage;
+damage at a range's edge shows in the number of records.
 """
 
 from __future__ import annotations
@@ -28,19 +30,38 @@ _PIECE = 1 << 20
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host that the cluster's default file system gives it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return str(target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target))
+
+
+#: Names that Hadoop's connectors have and the Arrow file systems do not (fixed values).
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def open_store(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    """File system and path of a folder or file; ``file:/x`` and plain paths are local to all hosts."""
-    if uri.startswith("file:"):
-        return pa.fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pa.fs.FileSystem.from_uri(uri) if "://" in uri else (pa.fs.LocalFileSystem(), uri)
+    """File system and path of a ``qualified`` folder or file."""
+    scheme, mark, rest = uri.partition(":")
+    if not mark or "/" in scheme:
+        raise ValueError(f"{uri} has no scheme: hosts would read it on different file systems")
+    if scheme == "file":
+        return pa.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pa.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
 
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{digest}')}>"
 
-def record_bytes(page_id: int | None, url: str | None, html: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One gzip member. A revisit has no block; its headers keep the payload's digest and length."""
+
+def record_bytes(page_id: int | None, url: str | None, html: bytes, digest: str, refers_to: int | None,
+                 refers_url: str | None = None) -> bytes:
+    """One gzip member. A revisit has no block; its headers keep the payload's digest and length, the id and address
+    of the response's record, and its page id."""
     revisit = refers_to is not None
     block = b"" if revisit else html
     headers = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
-               f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{digest}')}>",
+               f"WARC-Record-ID: {record_id(page_id, digest)}", "Content-Type: text/html",
                f"WARC-Date: {datetime.datetime(2024, 1, 1).isoformat()}Z",
                f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(html)}"]
     if url is not None:
@@ -49,7 +70,9 @@ def record_bytes(page_id: int | None, url: str | None, html: bytes, digest: str,
         headers.append(f"X-Page-Id: {page_id}")
     if revisit:
         headers += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                    f"WARC-Refers-To: {refers_to}"]
+                    f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        if refers_url is not None:
+            headers.append("WARC-Refers-To-Target-URI: " + refers_url.encode("unicode_escape").decode())
     headers.append(f"Content-Length: {len(block)}")
     data = "\r\n".join(headers).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -58,8 +81,8 @@ def record_bytes(page_id: int | None, url: str | None, html: bytes, digest: str,
 
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                   least_bytes: int = 100) -> DataFrame:
-    """(page_id, url, html, digest, refers_to): of equal payloads of ``least_bytes`` and more, all
-    but those with the smallest page_id refer to that page_id.
+    """(page_id, url, html, digest, refers_to, refers_url): of equal payloads of ``least_bytes`` and more, all
+    but those with the smallest page_id refer to that page_id (and, of several rows with it, to the smallest url).
 
     A payload's digest stands for it (SHA-256). The pages meet their group's
     smallest id by a join of two stored tables, so adaptive execution can
@@ -69,11 +92,13 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                         F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     first = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(
-        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+        F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"),
+        F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     first = materialize(first, "first-pages")
+    other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return rows.join(first, "digest", "left").select(
-        "page_id", "url", "html", "digest",
-        F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+        "page_id", "url", "html", "digest", F.when(other, F.col("first.page_id")).alias("refers_to"),
+        F.when(other, F.col("first.url")).alias("refers_url"))
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -84,6 +109,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     the tasks that succeeded, so leftovers of failed attempts are never read.
     """
     marked = mark_revisits(pages, id_col, url_col, html_col, least_bytes)
+    path = qualified(pages.sparkSession, path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(path)
@@ -93,7 +119,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
-                member = record_bytes(*(batch.column(j)[i].as_py() for j in range(5)))
+                member = record_bytes(*(batch.column(j)[i].as_py() for j in range(6)))
                 out.write(member)
                 size, count = size + len(member), count + 1
         if out is not None:
@@ -154,10 +180,16 @@ def read_member(window: _Window) -> tuple[bytes, bytes, int] | None:
     return head, rest, used
 
 
-def records_in(source, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of every record whose first byte lies in [start, end)."""
-    window = _Window(source, start)
+def records_in(source, start: int, end: int, strict: bool = False) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of every record whose first byte lies in [start, end).
+
+    Bytes between records that are none are passed over; ``strict`` raises
+    ``ValueError`` there, where each record should start behind the last.
+    """
+    window, expected = _Window(source, start), None
     while window.at < end:
+        if strict and expected is not None and not window.data and not window.more():
+            return
         found = window.data.find(MAGIC)
         if found < 0:
             keep = min(len(MAGIC) - 1, len(window.data))
@@ -166,16 +198,21 @@ def records_in(source, start: int, end: int) -> Iterator[tuple[dict[str, str], b
                 return
             continue
         window.drop(found)
+        if strict and expected is not None and window.at != expected:
+            raise ValueError(f"no record where one should start, at byte {expected}")
         if window.at >= end:
             return
         member = read_member(window)
         if member is None:
+            if strict and expected is not None:
+                raise ValueError(f"damaged record at byte {window.at}")
             window.drop(1)
             continue
         head, rest, used = member
         headers = parse_headers(head)
         yield headers, rest[:int(headers["content-length"])]
         window.drop(used)
+        expected = window.at
 
 
 def read_warc(spark: SparkSession, manifest: DataFrame, split_bytes: int = 8 << 20,
@@ -184,10 +221,29 @@ def read_warc(spark: SparkSession, manifest: DataFrame, split_bytes: int = 8 <<
 
     Columns of ``RECORD``, plus ``payload`` (binary; null for revisits) on
     request. Payload length and digest of responses are taken from the bytes
-    read; a response whose digest does not fit its header raises. Revisits
-    state those of the payload they refer to. Each task reads one range of
-    ``split_bytes``; the split size does not change the result.
+    read; a response whose digest does not fit its header raises. If the manifest
+    has ``n_records``, bytes between two records raise as well, and the records
+    are stored and counted: a file that gave another number raises
+    ``ValueError``. Revisits state length and digest of the payload they refer
+    to. Each task reads one range of ``split_bytes``; the split size does not
+    change the result.
     """
+    counted = "n_records" in manifest.columns
+    rows = _read_ranges(manifest, split_bytes, with_payload, strict=counted)
+    if counted:
+        rows = materialize(rows, "warc-records")
+        read = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_read"))
+        short = manifest.select("file", "n_records").join(read, "file", "left").where(
+            F.coalesce("n_read", F.lit(0)) != F.col("n_records"))
+        bad = short.orderBy("file").limit(3).collect()
+        if bad:
+            raise ValueError("damaged archives: " + "; ".join(
+                f"{r['file']} has {r['n_records']} records, {r['n_read'] or 0} were read" for r in bad))
+    return rows.drop("file")
+
+
+def _read_ranges(manifest: DataFrame, split_bytes: int, with_payload: bool, strict: bool) -> DataFrame:
+    """``file`` and the columns of ``read_warc``."""
     ranges = manifest.select("file", F.explode(F.sequence(
         F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0).cast("long")),
         F.lit(split_bytes).cast("long"))).alias("start"))
@@ -195,22 +251,22 @@ def read_warc(spark: SparkSession, manifest: DataFrame, split_bytes: int = 8 <<
     ranges = ranges.repartition(int(tasks), "file", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in RECORD.split(", ")] + ["payload"] * with_payload
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_payload
+        names = ["file"] + [c.split()[0] for c in RECORD.split(", ")] + ["payload"] * with_payload
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_payload
         for batch in batches:
             for file, start in zip(*(batch.column(j).to_pylist() for j in (0, 1)), strict=True):
                 store, name = open_store(file)
                 with store.open_input_file(name) as source:
                     rows, size = [], 0
-                    for headers, block in records_in(source, start, start + split_bytes):
+                    for headers, block in records_in(source, start, start + split_bytes, strict):
                         digest = headers["warc-payload-digest"].removeprefix("sha256:")
                         kind = headers["warc-type"]
                         if kind == "response" and sha256(block).hexdigest() != digest:
                             raise ValueError(f"{file}: payload of {headers['warc-record-id']} is damaged")
-                        url, refers = headers.get("warc-target-uri"), headers.get("warc-refers-to")
+                        url, refers = headers.get("warc-target-uri"), headers.get("x-refers-to-page-id")
                         page = headers.get("x-page-id")
                         length = len(block) if kind == "response" else int(headers["x-payload-length"])
-                        rows.append((page and int(page), url if url is None else url.encode().decode("unicode_escape"),
+                        rows.append((file, page and int(page), url if url is None else url.encode().decode("unicode_escape"),
                                      kind, refers and int(refers), length, digest)
                                     + ((block if kind == "response" else None,) if with_payload else ()))
                         size += len(block) * with_payload + 300
@@ -222,7 +278,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame, split_bytes: int = 8 <<
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                             zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return ranges.mapInArrow(read, RECORD + ", payload binary" * with_payload)
+    return ranges.mapInArrow(read, "file string, " + RECORD + ", payload binary" * with_payload)
 
 
 def archive_roundtrip(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",

@@ -4,7 +4,7 @@ import random
 import zlib
 
 import pytest
-from crashgrid.llm.warc import MAGIC, archive_roundtrip, open_store, read_warc, record_bytes, records_in, write_warc
+from crashgrid.llm.warc import MAGIC, archive_roundtrip, open_store, qualified, read_warc, record_bytes, records_in, write_warc
 from crashgrid.session import scratch_path
 
 draw = random.Random(9)
@@ -72,3 +72,55 @@ def test_false_magic_between_and_inside_records():
 
 def test_empty_table(pages, spark):
     assert archive_roundtrip(pages.limit(0), scratch_path(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("split_bytes", [8 << 20, 400])
+def test_a_damaged_record_raises_wherever_it_lies(pages, spark, split_bytes):
+    manifest = write_warc(pages.where("page_id < 40").coalesce(1), scratch_path(spark, "t"))
+    (row,) = manifest.collect()
+    assert row["n_records"] == 40
+    store, name = open_store(row["file"])
+    with store.open_input_file(name) as source:
+        data = source.read()
+    starts = [0]
+    while starts[-1] < len(data):
+        packer = zlib.decompressobj(31)
+        packer.decompress(data[starts[-1]:])
+        starts.append(len(data) - len(packer.unused_data))
+    for place in (starts[0] + 1, starts[7] + 25, starts[-2] + 40):
+        with store.open_output_stream(name, compression=None) as out:
+            out.write(data[:place] + bytes([data[place] ^ 0xFF]) + data[place + 1:])
+        with pytest.raises(Exception, match="damaged|no record"):
+            read_warc(spark, manifest, split_bytes).collect()
+    with store.open_output_stream(name, compression=None) as out:
+        out.write(data[:starts[30]])  # cut off
+    with pytest.raises(Exception, match="damaged"):
+        read_warc(spark, manifest, split_bytes).collect()
+    with store.open_output_stream(name, compression=None) as out:
+        out.write(data)
+    assert read_warc(spark, manifest, split_bytes).count() == 40
+
+
+def test_paths_get_the_scheme_of_the_default_file_system(spark, tmp_path):
+    assert qualified(spark, str(tmp_path)).startswith("file:/")
+    with pytest.raises(ValueError, match="no scheme"):
+        open_store(str(tmp_path))
+    manifest = write_warc(spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert manifest.first()["file"].startswith("file:/")
+
+
+def test_revisits_name_the_record_that_they_refer_to(pages, spark):
+    manifest = write_warc(pages, scratch_path(spark, "t"))
+    headers = []
+    for r in manifest.collect():
+        store, name = open_store(r["file"])
+        with store.open_input_file(name) as source:
+            headers += [h for h, _ in records_in(source, 0, r["n_bytes"], strict=True)]
+    by_id = {h["warc-record-id"]: h for h in headers if h["warc-type"] == "response"}
+    revisits = [h for h in headers if h["warc-type"] == "revisit"]
+    assert revisits and all(h["content-type"] == "text/html" for h in headers)
+    for h in revisits:
+        response = by_id[h["warc-refers-to"]]
+        assert response["x-page-id"] == h["x-refers-to-page-id"]
+        assert response["warc-payload-digest"] == h["warc-payload-digest"]
+        assert "warc-refers-to-target-uri" in h
