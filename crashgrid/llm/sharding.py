@@ -3,12 +3,14 @@
 Pass one scatters the records by a seeded hash into buckets that fit a task's
 memory and counts each bucket. Pass two permutes every bucket (``shuffle`` is
 a Fisher-Yates permutation) and numbers its records after those of the
-buckets before it. The shards are even cuts of that global order.
+buckets before it. The shards are even cuts of that global order. Records that
+are equal in all columns would share a bucket; those that occur very often are
+counted first and dealt out copy by copy.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import free_name, materialize
@@ -21,32 +23,80 @@ def record_bytes(text_col: str):
     return (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long")
 
 
+def task_memory(spark: SparkSession) -> int:
+    """Bytes of heap that one task of an executor (of the driver, for a local master) can count on, from the settings."""
+    conf, master = spark.sparkContext.getConf(), spark.sparkContext.master
+    local = master.startswith("local") and not master.startswith("local-cluster")
+    size = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g").strip().lower()
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    number = size.removesuffix("b")
+    memory = int(number[:-1]) * units[number[-1]] if number[-1] in units else int(number)
+    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "0"))
+    if master.startswith("local-cluster"):
+        cores = int(master[master.index("[") + 1:].split(",")[1])
+    return memory // max(1, cores or 4)
+
+
+def bucket_size(spark: SparkSession) -> int:
+    """A sixteenth of a task's memory, 16 MiB to 512 MiB: a bucket is gathered, sorted, permuted and written."""
+    return max(16 << 20, min(512 << 20, task_memory(spark) // 16))
+
+
+COPY_ROWS = 1_000  # equal records from which on they are dealt out one by one
+
+
+def _records(docs: DataFrame, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(record, h): each record and the hash that its bucket and its place before the permutation depend on.
+
+    A first pass over hashes finds the records with ``COPY_ROWS`` and more equal rows
+    (no more than rows / ``COPY_ROWS``). Those are counted and copied back in
+    parts of ``COPY_ROWS``, so that no task makes or gets all copies.
+    """
+    record = F.struct(*docs.columns)
+    row_hash = F.xxhash64(*docs.columns)
+    own = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    hot = materialize(docs.select(row_hash.alias("hot_hash")).groupBy("hot_hash").agg(F.count(F.lit(1)).alias("n"))
+                      .where(F.col("n") >= COPY_ROWS).select("hot_hash"), "hot-records")
+    rows = docs.select(record.alias("record"), own.alias("h"), row_hash.alias("row_hash"))
+    if hot.isEmpty():
+        return rows.select("record", "h")
+    marked = rows.join(hot, F.col("row_hash") == F.col("hot_hash"), "left")
+    # copies are folded inside the tasks: equal rows cross the shuffle once per task
+    counted = marked.where("hot_hash is not null").groupBy("record", "h").agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPY_ROWS))))
+    parts = parts.repartition("h", "part")
+    last = F.least(F.lit(COPY_ROWS).cast("long"), F.col("n") - F.col("part") * COPY_ROWS) - 1
+    copies = parts.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    copies = copies.select("record", F.xxhash64("h", F.col("part") * COPY_ROWS + F.col("copy")).alias("h"))
+    return marked.where("hot_hash is null").select("record", "h").unionByName(copies)
+
+
 def shard_records(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text",
-                  seed: int = 42, bucket_bytes: int = 16 << 20) -> DataFrame:
+                  seed: int = 42, bucket_bytes: int | None = None) -> DataFrame:
     """``docs`` in random order, cut into ``shards`` of row counts at most one apart.
 
     Returns a struct column ``record`` (all columns of ``docs``, so no name
     can clash), ``shard`` (int) and ``slot`` (long, gapless from 0 per
-    shard). Buckets are chosen so that one holds about ``bucket_bytes``; a
-    task permutes one bucket at a time. The bucket depends on the seed and the
+    shard). Buckets are chosen so that one holds about ``bucket_bytes``
+    (``bucket_size`` if none is given); a task permutes one bucket at a time. The bucket depends on the seed and the
     record's id and text, so copies under different ids spread evenly and a
     lost task, run again, finds the same records.
 
     Null and empty texts and null ids are records like others; repeated rows
-    are each placed (rows equal in id and text share a bucket); fewer rows
-    than shards leave some shards empty; an empty table gives no rows.
+    are each placed (a record that is repeated ``COPY_ROWS`` times is spread
+    over the buckets); fewer rows than shards leave some shards empty; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(record_bytes(text_col))).first()[0] or 0
-    n_buckets = max(1, -(-total // bucket_bytes))
-    spread = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    placed = docs.select(F.pmod(spread, F.lit(n_buckets)).cast("int").alias("bucket"),
-                         F.struct(spread.alias("h"), F.struct(*docs.columns).alias("record")).alias("r"))
+    n_buckets = max(1, -(-total // (bucket_bytes or bucket_size(spark))))
+    records = _records(docs, seed, id_col, text_col)
+    numbered = records.withColumn("bucket", F.pmod("h", F.lit(n_buckets)).cast("int"))
+    placed = numbered.select("bucket", F.struct("h", "record").alias("r"))
     # one bucket is one partition: hashing the numbers again would put several into one task
     dealt = placed.repartitionById(n_buckets, "bucket")
 
-    sizes = docs.select(F.pmod(spread, F.lit(n_buckets)).cast("int").alias("bucket")).groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"))
+    sizes = numbered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     # One row per bucket: the running sum sees bucket counts, never records.
     order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(sizes.select("bucket", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start")),
@@ -68,7 +118,7 @@ def shard_records(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text",
-                 seed: int = 42, bucket_bytes: int = 16 << 20) -> DataFrame:
+                 seed: int = 42, bucket_bytes: int | None = None) -> DataFrame:
     """Write the shuffled records as Parquet under ``path``/shard=N and read them back.
 
     The files hold the columns of ``docs`` and ``slot``, the record's place
@@ -84,7 +134,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "do
 
 
 def shard_manifest(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text",
-                   seed: int = 42, bucket_bytes: int = 16 << 20) -> DataFrame:
+                   seed: int = 42, bucket_bytes: int | None = None) -> DataFrame:
     """Write the shards, then describe each stored record from the files.
 
     Columns: id, size, text_crc32 (of the UTF-8 text; null: of no bytes),

@@ -2,7 +2,8 @@ import zlib
 from collections import Counter
 
 import pytest
-from crashgrid.llm.sharding import shard_manifest, shard_records, write_shards
+from pyspark.sql import functions as F
+from crashgrid.llm.sharding import _records, bucket_size, shard_manifest, shard_records, task_memory, write_shards
 from crashgrid.session import scratch_path
 
 ROWS = [(i, f"text {i} é" * (i % 7)) for i in range(205)] + [(1000, None), (1001, ""), (None, "x"), (3, "same"), (3, "same"),
@@ -49,3 +50,40 @@ def test_fewer_rows_than_shards_and_none(documents, spark):
 def test_no_python_on_the_main_path(documents):
     plan = shard_records(documents(ROWS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_a_row_that_makes_a_third_of_the_table_is_dealt_out(documents, spark):
+    rows = [(7, "the same " * 20)] * 3000 + [(None, None)] * 1500 + [(i, f"own text {i} " * 12) for i in range(4500)]
+    docs = documents(rows)
+    records = _records(docs, 42, "doc_id", "text")
+    counts = [r["count"] for r in records.groupBy(F.pmod("h", F.lit(30))).count().collect()]
+    assert sum(counts) == 9000 and len(counts) == 30 and max(counts) < 1.5 * 9000 / 30
+    out = shard_manifest(docs, scratch_path(spark, "t"), bucket_bytes=50_000).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in rows)
+    per_shard = Counter(r["shard"] for r in out)
+    assert max(per_shard.values()) - min(per_shard.values()) <= 1
+    assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(n)) for s, n in per_shard.items())
+    same = Counter(r["shard"] for r in out if r["doc_id"] == 7)
+    assert max(same.values()) < 1.5 * 3000 / 16  # copies are mixed like other rows
+
+
+def test_bucket_size_follows_the_task_memory(spark):
+    assert 16 << 20 <= bucket_size(spark) <= 512 << 20
+    assert bucket_size(spark) == max(16 << 20, min(512 << 20, task_memory(spark) // 16))
+    assert task_memory(spark) == (4 << 30) // spark.sparkContext.defaultParallelism
+
+
+def brute_places(rows, shards, order):
+    """The law by hand: records in ``order``, cut into shards of row counts at most one apart."""
+    small, extra = divmod(len(rows), shards)
+    sizes = [small + (s < extra) for s in range(shards)]
+    places = [(s, slot) for s, n in enumerate(sizes) for slot in range(n)]
+    return dict(zip(order, places, strict=True))
+
+
+@pytest.mark.parametrize("n", [5, 16, 205])
+def test_shards_are_cuts_of_one_order(documents, n):
+    rows = [(i, f"t{i}") for i in range(n)]
+    got = {r["record"]["doc_id"]: (r["shard"], r["slot"]) for r in shard_records(documents(rows), bucket_bytes=100).collect()}
+    order = sorted(got, key=got.get)
+    assert brute_places(rows, 16, order) == got
