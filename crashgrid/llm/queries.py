@@ -45,7 +45,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"))
-    return judged.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
+    return judged.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft", "soft_points")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
