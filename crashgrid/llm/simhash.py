@@ -120,7 +120,9 @@ def near_links(nodes: DataFrame, max_bits: int = 3, block_rows: int = 256) -> Da
     values = materialize(members.groupBy("seg", "val").agg(F.count(F.lit(1)).alias("n")), "segment-values")
 
     width_of = F.element_at(F.array(*(F.lit(w) for _, w in bounds)), F.col("seg") + 1)
-    variants = values.select("seg", "val", F.explode(F.sequence(F.lit(0), width_of - 1)).alias("pos"))
+    # the stored values are few bytes and so few splits; each becomes up to 32 variants
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = values.repartition(parts, "seg", "val").select("seg", "val", F.explode(F.sequence(F.lit(0), width_of - 1)).alias("pos"))
     variants = variants.select("seg", "pos", "val", F.expr("val & ~shiftleft(1L, pos)").alias("rest"))
     crossing = variants.groupBy("seg", "pos", "rest").agg(F.min("val").alias("va"), F.max("val").alias("vb"))
     crossing = crossing.where("va <> vb").select("seg", "va", "vb")
