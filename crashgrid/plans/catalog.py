@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import activity as G
 from ..operators import aggregates as A
+from ..operators import bloom as B
 from ..operators import cleaning as C
 from ..operators import derive as P
 from ..operators import filters as FL
@@ -389,6 +390,20 @@ def q_radius_counts(spark, d):
     return near.withColumn("nearest_m", F.round("nearest_m", 3))
 
 
+def _urgent_ids(spark, d):
+    """Incidents of urgent orders placed by every fifth customer."""
+    orders = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' and o_custkey % 5 = 0")
+    return orders.select(F.concat(F.lit("EV-"), F.col("o_orderkey").cast("string")).alias(ID))
+
+
+def q_bloom_semi_join(spark, d):
+    return B.bloom_semi_join(prepared(spark, d).select(ID, "DIVISION", "severity_class"), _urgent_ids(spark, d), ID)
+
+
+def q_bloom_anti_join(spark, d):
+    return B.bloom_anti_join(prepared(spark, d).select(ID, "DIVISION", "severity_class"), _urgent_ids(spark, d), ID)
+
+
 # --- subtotals, sketches, multisets ---------------------------------------------------
 
 CUBE_DIMS = ["YEAR", "DIVISION", "severity_class"]
@@ -556,6 +571,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "interval_join": q_interval_join,
     "interval_counts": q_interval_counts,
     "radius_counts": q_radius_counts,
+    "bloom_semi_join": q_bloom_semi_join,
+    "bloom_anti_join": q_bloom_anti_join,
     # subtotals, sketches, multisets
     "cube_counts": lambda s, d: S.cube_counts(prepared(s, d), CUBE_DIMS),
     "rollup_counts": lambda s, d: S.rollup_counts(prepared(s, d), CUBE_DIMS),

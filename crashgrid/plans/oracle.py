@@ -447,6 +447,7 @@ def _haversine(lat_a: str, lon_a: str, lat_b: str, lon_b: str) -> str:
             f"* cos(radians({lat_b})) * power(sin(radians({lon_b} - {lon_a}) * 0.5), 2))))")
 
 
+_URGENT = ("SELECT 'EV-' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 5 = 0")
 _COMPARED = ["EVENT_UNIQUE_ID", "OCC_HOUR", "DIVISION", "INJURY_COLLISIONS", "PEDESTRIAN"]
 
 INCIDENT_SQL |= {
@@ -475,6 +476,8 @@ INCIDENT_SQL |= {
         SELECT site_id AS near_id, {_haversine("lat", "lon", "LAT_WGS84", "LONG_WGS84")} AS m
         FROM ({fixture_sql("sites")}) x JOIN points p ON abs(p.LAT_WGS84 - x.lat) < 0.01
       ) d ON d.near_id = s.site_id AND m <= 400 GROUP BY site_id""",
+    "bloom_semi_join": f"SELECT EVENT_UNIQUE_ID, DIVISION, severity_class FROM prepared WHERE EVENT_UNIQUE_ID IN ({_URGENT})",
+    "bloom_anti_join": f"SELECT EVENT_UNIQUE_ID, DIVISION, severity_class FROM prepared WHERE EVENT_UNIQUE_ID NOT IN ({_URGENT})",
     # --- subtotals and multisets
     "cube_counts": _subtotals(f"CUBE ({', '.join(_DIMS)})"),
     "rollup_counts": _subtotals(f"ROLLUP ({', '.join(_DIMS)})"),
