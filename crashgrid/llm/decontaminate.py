@@ -27,6 +27,7 @@ _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <=
               for b in range(256))
 _STEP = 1 << 18  # words hashed at a time
 _MULTIPLIER = 0x9E3779B97F4A7C15
+WINDOW_BYTES, ITEM_BYTES = 400, 70  # what a window and an item's id take in a worker besides the words
 
 HITS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>"
 
@@ -198,11 +199,12 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id",
               text_col: str = "text", window: int = 10, broadcast_bytes: int = 64 << 20) -> tuple[DataFrame, str]:
     """``docs`` plus a struct column of ``HITS``; returns the frame and the column's name.
 
-    The window set is broadcast only if its measured size is within
+    The window set is broadcast only if its size in a worker is within
     ``broadcast_bytes``; beyond that it is joined by hash.
     """
     windows = materialize(benchmark_windows(benchmark, item_col, item_text_col, window), "benchmark-windows")
-    size = windows.agg(F.sum(F.length("words") + 40 + 24 * F.size("items"))).first()[0] or 0
+    # as built-in objects of a worker: bytes, tuple, list and table entry of a window, and its items' ids
+    size = windows.agg(F.sum(F.length("words") + WINDOW_BYTES + ITEM_BYTES * F.size("items"))).first()[0] or 0
     name = free_name(docs, "hits")
     if size <= broadcast_bytes:
         rows = [(r["size"], r["h"], bytes(r["words"]), list(r["items"])) for r in windows.collect()]
