@@ -86,3 +86,50 @@ def test_unquoted_values_are_tested_without_their_name(documents):
     ends = [(m[1], m[2]) for t in ("k=" + "a1B" * 6 + "==", "b" * 24 + "=", "c" * 20 + "=x", "d" * 19 + "=e")
             for m in [(t, s, e) for s, e, *_ in trials(t, [])]]
     assert ends == [(2, 22), (0, 25), (0, 20)]
+
+
+def test_random_spans_equal_the_procedure_by_hand(documents, sample):
+    """All tokens of the corpus, their p-values, and Benjamini-Hochberg in each length class, in plain Python."""
+    key = lambda n: token(string.ascii_letters + string.digits, n)
+    rows = [(i, (t or "") + "".join(f" {key(draw.choice((24, 40, 64, 100)))}" for _ in range(i % 3))) for i, t in sample]
+    tokens = []  # (row, start, end, p)
+    for at, (_, text) in enumerate(rows):
+        taken = [(s, e) for s, _, e in plain_spans(text)]
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{18,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?", text):
+            if m.end() - m.start() >= 20 and not any(s < m.end() and e > m.start() for s, e in taken):
+                tokens.append((at, m.start(), m.end(), 10 ** (-p_bin(randomness_p(m[0])) / 8)))
+    found = set()
+    for low, high in ((20, 32), (32, 48), (48, 64), (64, 128), (128, 10**9)):
+        group = sorted((t for t in tokens if low <= t[2] - t[1] < high), key=lambda t: t[3])
+        passed = [k for k, t in enumerate(group, 1) if t[3] <= 0.01 * k / len(group)]
+        limit = group[max(passed) - 1][3] if passed else -1
+        found |= {t[:3] for t in group if t[3] <= limit}
+    got = {(r["doc_id"], *map(int, s.split(":")[1:])) for r in find_secrets(documents(rows)).collect()
+           for s in r["spans"].split(",") if s.startswith("random")}
+    assert got == {(rows[at][0], s, e) for at, s, e in found} and found
+
+
+def test_a_few_keys_are_found_among_very_many_ordinary_tokens():
+    """The least p-value lies far below rate / trials: keys do not vanish as the corpus grows."""
+    keys = [p_bin(randomness_p(token(string.ascii_letters + string.digits, 64))) for _ in range(50)]
+    counts = {(3, 0): 10**12, **{(3, k): keys.count(k) for k in keys if k}}
+    least = discovery_bins(counts, 0.01)
+    assert 3 in least and sum(k >= least[3] for k in keys) >= 25
+
+
+def test_power_by_length_and_false_finds():
+    """Recall of 0.9 at p < 1e-5 from 32 characters on for mixed-case keys, from 64 on in every encoding, with next to no
+    ordinary token below it."""
+    share = lambda alphabet, n: sum(randomness_p(token(alphabet, n)) < 1e-5 for _ in range(200)) / 200
+    mixed = string.ascii_letters + string.digits
+    assert share(mixed, 32) >= 0.85 and share(mixed, 40) >= 0.9 and share(mixed + "+/", 32) >= 0.85
+    for alphabet in (string.digits, "0123456789ABCDEF", string.digits + string.ascii_lowercase):
+        assert share(alphabet, 64) >= 0.8
+    syllables = ["th", "er", "on", "an", "ti", "es", "en", "at", "re", "in", "ou", "le", "ch", "ier"]
+    word = lambda: "".join(draw.choice(syllables) for _ in range(draw.randint(1, 4)))
+    ordinary = []
+    for _ in range(200):
+        parts = [word() for _ in range(draw.randint(4, 8))]
+        ordinary += ["-".join(parts), "/".join(parts), "".join(w.capitalize() for w in parts), "".join(parts),
+                     "_".join(parts) + str(draw.randrange(10**6)), f"ORD-2024-{draw.randrange(10**12):012d}"]
+    assert sum(randomness_p(w) < 1e-5 for w in ordinary if len(w) >= 20) <= 1

@@ -1,9 +1,10 @@
+import math
 import random
 import zlib
 
 import pytest
-from crashgrid.llm.toxicity import (ToxicityModel, drop_toxic, fit_noisy_or, held_out, offending_sentences,
-                                    score_toxicity, train_toxicity)
+from crashgrid.llm.toxicity import (SENTENCE, ToxicityModel, copy_weights, drop_toxic, fit_noisy_or, held_out, offending_sentences,
+                                    score_toxicity, sentence_words, train_toxicity, word_features)
 
 draw = random.Random(7)
 CLEAN = [f"mild{i}" for i in range(300)]
@@ -110,3 +111,45 @@ def test_the_cap_on_training_rows_does_not_move_the_scores(documents, spark):
     print(sum(below) / 100, sum(above) / 100)
     assert sum(s >= 0.5 for s in above) <= 5 and sum(s >= 0.5 for s in below) <= 5
     assert abs(sum(above) - sum(below)) / 100 < 0.1
+
+
+def plain_cost(texts, labels, weights, bias, noise=0.03, l2=3e-5):
+    """Noisy-or likelihood of the labels, document by document and sentence by sentence."""
+    share = copy_weights(texts)
+    total = 0.0
+    for text, y, part in zip(texts, labels, share, strict=True):
+        clean = 1.0
+        for m in SENTENCE.finditer(text):
+            words = set(sentence_words(m[0]))
+            if words:
+                z = bias + sum(weights.get(f, 0.0) for w in words for f in word_features(w))
+                clean *= 1 / (1 + math.exp(z))
+        p = noise + (1 - 2 * noise) * ((1 - clean) if y else clean)
+        total -= part / share.sum() * math.log(p)
+    return total + l2 / 2 * sum(w * w for w in weights.values())
+
+
+def test_fit_is_a_minimum_of_the_plain_likelihood():
+    rng = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta", "vile"]
+    texts, labels = [], []
+    for i in range(60):
+        toxic = i % 3 == 0
+        sentences = [" ".join(rng.choices(words[:4], k=4)) for _ in range(3)]
+        if toxic or rng.random() < 0.05:
+            sentences[rng.randrange(3)] += " vile"
+        texts.append(". ".join(sentences) + f". unique{i} u{i}a u{i}b u{i}c u{i}d")
+        labels.append(int(toxic))
+    weights, bias = fit_noisy_or(texts, labels, 20, steps=2000, rate=0.03)
+    best = plain_cost(texts, labels, weights, bias)
+    assert best < plain_cost(texts, labels, {}, bias) and best < plain_cost(texts, labels, {}, -3.0)
+    for _ in range(60):
+        near = {k: w + rng.gauss(0, 0.2) for k, w in weights.items()}
+        assert plain_cost(texts, labels, near, bias + rng.gauss(0, 0.2)) > best - 1e-3
+    model = ToxicityModel(weights, bias)
+    for text in texts[:10]:  # the score is the plain noisy-or
+        clean = 1.0
+        for m in SENTENCE.finditer(text):
+            z = bias + sum(weights.get(f, 0.0) for w in set(sentence_words(m[0])) for f in word_features(w))
+            clean *= 1 / (1 + math.exp(z))
+        assert model.judge(text)[0] == pytest.approx(1 - clean)
