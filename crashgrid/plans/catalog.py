@@ -230,6 +230,14 @@ def q_rename_for_display(spark, d):
     return _positioned(P.rename_for_display(A.collisions_by_hour(prepared(spark, d)), "hourly"))
 
 
+def q_rename_weekday(spark, d):
+    return _positioned(P.rename_for_display(A.collisions_by_day_of_week(prepared(spark, d)), "weekday"))
+
+
+def q_rename_month(spark, d):
+    return P.rename_for_display(A.collisions_by_month(prepared(spark, d)).drop("month"), "month")
+
+
 # --- filters -------------------------------------------------------------------------
 
 def q_filter_dims(spark, d):
@@ -502,6 +510,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prepare": prepared,
     "map_points": points,
     "rename_for_display": q_rename_for_display,
+    "rename_weekday": q_rename_weekday,
+    "rename_month": q_rename_month,
     # filters
     "filter_dims": q_filter_dims,
     "filter_prepared": q_filter_prepared,

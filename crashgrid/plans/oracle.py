@@ -451,6 +451,8 @@ _URGENT = ("SELECT 'EV-' || o_orderkey FROM orders WHERE o_orderpriority = '1-UR
 _COMPARED = ["EVENT_UNIQUE_ID", "OCC_HOUR", "DIVISION", "INJURY_COLLISIONS", "PEDESTRIAN"]
 
 INCIDENT_SQL |= {
+    "rename_weekday": f"SELECT day_of_week AS Day, collision_count AS Collisions, position FROM ({INCIDENT_SQL['by_day_of_week']})",
+    "rename_month": f"SELECT month_name AS Month, collision_count AS Collisions FROM ({INCIDENT_SQL['by_month']})",
     # --- frames, time and space joins
     "rolling_means": f"""SELECT date, severity_type, value,
         round(avg(value) OVER week, 9) AS mean_7, count(value) OVER week AS days_7,
