@@ -90,24 +90,13 @@ CSV_NULL_TOKENS = [
 # so at most one parse is attempted per value. Single-letter fields accept one
 # or two digits ("2017-5-2" as well as "2017-05-02").
 TIMESTAMP_FORMATS = [
-    ("yyyy-M-d H:m:s", r"^[0-9]+-[0-9]+-[0-9]+ [0-9]+:[0-9]+:[0-9]+$"),
-    ("yyyy-M-d'T'H:m:s", r"^[0-9]+-[0-9]+-[0-9]+T[0-9]+:[0-9]+:[0-9]+$"),
-    ("yyyy-M-d", r"^[0-9]+-[0-9]+-[0-9]+$"),
-    ("M/d/yyyy h:m:s a", r"^[0-9]+/[0-9]+/[0-9]+ [0-9]+:[0-9]+:[0-9]+ [AaPp][Mm]$"),
-    ("M/d/yyyy", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]+$"),
-    ("yyyy/M/d", r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"),
-    ("yyyy/M/d H:m:s", r"^[0-9]{4}/[0-9]+/[0-9]+ [0-9]+:[0-9]+:[0-9]+$"),
-    ("yyyy/M/d H:m", r"^[0-9]{4}/[0-9]+/[0-9]+ [0-9]+:[0-9]+$"),
-    ("yyyy-M-d H:m", r"^[0-9]{4}-[0-9]+-[0-9]+ [0-9]+:[0-9]+$"),
-    ("yyyy-M-d'T'H:m", r"^[0-9]{4}-[0-9]+-[0-9]+T[0-9]+:[0-9]+$"),
-    ("M/d/yyyy h:m a", r"^[0-9]{1,2}/[0-9]+/[0-9]{4} [0-9]+:[0-9]+ [AaPp][Mm]$"),
-    ("M/d/yyyy H:m:s", r"^[0-9]{1,2}/[0-9]+/[0-9]{4} [0-9]+:[0-9]+:[0-9]+$"),
-    ("M/d/yyyy H:m", r"^[0-9]{1,2}/[0-9]+/[0-9]{4} [0-9]+:[0-9]+$"),
+    ("yyyy-M-d[ ]['T']H:m[:s][.SSSSSSSSS]", r"^[0-9]+-[0-9]+-[0-9]+[ T][0-9]+:[0-9]+(?::[0-9]+(?:\.[0-9]{1,9})?)?$"),
+    ("yyyy-M[-d]", r"^[0-9]+-[0-9]+(?:-[0-9]+)?$"),
+    ("yyyy/M/d[ H:m[:s]]", r"^[0-9]{4}/[0-9]+/[0-9]+(?: [0-9]+:[0-9]+(?::[0-9]+)?)?$"),
+    ("M/d/yyyy[ h:m[:s] a]", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]+(?: [0-9]+:[0-9]+(?::[0-9]+)? [AaPp][Mm])?$"),
+    ("M/d/yyyy H:m[:s]", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]+:[0-9]+(?::[0-9]+)?$"),
     ("yyyyMMdd", r"^[0-9]{8}$"),
     ("MMM d, yyyy", r"^(?:[0-9]{1,2} )?[A-Z][a-z]{2,8} (?:[0-9]{1,2}, )?[0-9]{4}$"),
-    ("yyyy-M", r"^[0-9]{4}-[0-9]{1,2}$"),
-    ("yyyy-M-d H:m:s.SSSSSSSSS", r"^[0-9]{4}-[0-9]+-[0-9]+ [0-9]+:[0-9]+:[0-9]+\.[0-9]{1,9}$"),
-    ("yyyy-M-d'T'H:m:s.SSSSSSSSS", r"^[0-9]{4}-[0-9]+-[0-9]+T[0-9]+:[0-9]+:[0-9]+\.[0-9]{1,9}$"),
 ]
 
 # Dates with the month's name: "15 Jan 2024" and "January 15, 2024" are written as "Jan 15, 2024".
