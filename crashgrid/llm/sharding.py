@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name, materialize
+from .shared import byte_size, free_name, materialize
 
 LAW = "rows"
 
@@ -27,10 +27,7 @@ def task_memory(spark: SparkSession) -> int:
     """Bytes of heap that one task of an executor (of the driver, for a local master) can count on, from the settings."""
     conf, master = spark.sparkContext.getConf(), spark.sparkContext.master
     local = master.startswith("local") and not master.startswith("local-cluster")
-    size = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g").strip().lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    number = size.removesuffix("b")
-    memory = int(number[:-1]) * units[number[-1]] if number[-1] in units else int(number)
+    memory = byte_size(conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g"))
     cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "0"))
     if master.startswith("local-cluster"):
         cores = int(master[master.index("[") + 1:].split(",")[1])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any, Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
 
 
+def byte_size(setting: str) -> int:
+    """Bytes of a Spark size setting such as ``64m``, ``1g``, ``67108864b`` or ``-1``; a bare number is bytes."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)(?:i?b)?\s*", setting.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep the session's Arrow batches to Python workers at a few MB, whatever the texts' lengths.
 
@@ -34,7 +41,7 @@ def bound_batches(spark: SparkSession) -> None:
     """
     for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = int(str(spark.conf.get(key)).rstrip("b") or 0)
+        now = byte_size(spark.conf.get(key))
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
 
