@@ -13,8 +13,8 @@ def test_sizes_as_spark_writes_them(setting, size):
 def test_batches_are_bounded_and_smaller_settings_stay(spark):
     before = {k: spark.conf.get(k) for k in KEYS}
     try:
-        for k in KEYS:
-            spark.conf.set(k, "-1")
+        for k, wide in zip(KEYS, ("1g", "-1"), strict=True):  # rows: -1 is no bound
+            spark.conf.set(k, wide)
         bound_batches(spark)
         assert {k: byte_size(spark.conf.get(k)) for k in KEYS} == KEYS
         for k in KEYS:
