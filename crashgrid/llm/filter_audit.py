@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .shared import free_name, materialize
 
 KINDS = ("removed", "good", "toxic")
+#: Stored row numbers take a few bits each, many times that in a broadcast; so no id table is broadcast by its file size.
+JOIN = "merge"
 
 
 def text_filters(text: Column) -> dict[str, Column]:
@@ -54,7 +56,7 @@ def failing_rows(docs: DataFrame, filters: Mapping[str, Column], copies: str | N
         # copies meet as one partial row per task; both join sides are plain exchanges, so a hot text is split
         first = rows.where("id is not null").groupBy("text").agg(F.min("id").alias("first"), F.max("id").alias("last"))
         first = materialize(first.where("first < last").select("text", "first"), "audit-first-ids")
-        failing[copies] = rows.join(first, "text").where("id > first").select("row", "part")
+        failing[copies] = rows.join(first.hint(JOIN), "text").where("id > first").select("row", "part")
     return rows.select("row", "id", "part"), {f: materialize(t, f"audit-fails-{f}") for f, t in failing.items()}
 
 
@@ -72,13 +74,13 @@ def removals(failing: Mapping[str, DataFrame], labelled: Mapping[str, DataFrame]
         subjects = fails if subjects is None else subjects.unionByName(fails)
     walked = subjects.withColumn("kind", F.lit("removed"))
     for kind, ids in labelled.items():
-        walked = walked.unionByName(subjects.join(ids, "row", "left_semi").withColumn("kind", F.lit(kind)))
+        walked = walked.unionByName(subjects.join(ids.hint(JOIN), "row", "left_semi").withColumn("kind", F.lit(kind)))
     walked = walked.withColumn("mask", F.lit(0))
     for bit, name in enumerate(failing):
         # each prefix goes on without this filter, and with it for the rows that survive it
         ways = F.when(F.col("filter") == bit, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1 << bit)))
         walked = walked.withColumn("added", F.explode(ways))
-        fails = failing[name].select(F.col("row").alias("failed"))
+        fails = failing[name].select(F.col("row").alias("failed")).hint(JOIN)
         walked = walked.join(fails, (F.col("row") == F.col("failed")) & (F.col("added") > 0), "left_anti")
         walked = walked.withColumn("mask", F.col("mask") + F.col("added")).drop("added")
     return walked.groupBy("part", "kind", "mask", "filter").agg(F.count(F.lit(1)).alias("n"))
@@ -146,7 +148,7 @@ def audit_filters(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     labelled = {}
     for kind, column in (("good", "quality"), ("toxic", "toxic")):
         ids = labels.where(F.col(column) == 1).select(F.col(id_col).alias("id"))
-        labelled[kind] = materialize(rows.join(ids, "id", "left_semi").select("row"), f"audit-{kind}")
+        labelled[kind] = materialize(rows.join(ids.hint(JOIN), "id", "left_semi").select("row"), f"audit-{kind}")
     removed = materialize(removals(failing, labelled), "audit-removals")
     parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("total"))
     return audit_orders(parts, removed, list(failing))
