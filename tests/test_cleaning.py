@@ -2,8 +2,11 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
+from plan_util import plan_text
+from pyspark.sql import functions as F
 from crashgrid.functions.coerce import to_timestamp_any
 from crashgrid.operators.cleaning import clean, coerce_numeric, coerce_timestamp, dedupe_rows, quality_report
 from crashgrid.schema import REQUIRED_COLUMNS
@@ -90,3 +93,13 @@ def test_dates_with_month_names_and_months(spark):
     df = spark.createDataFrame([(t,) for t in texts], "OCC_DATE string")
     got = dict(df.select("OCC_DATE", to_timestamp_any("OCC_DATE").alias("t")).collect())
     assert got == texts
+
+
+def test_generated_code_of_the_date_parser_stays_small(spark):
+    """The text is computed once per row, and no method is too long for the JVM to compile (8000 bytes)."""
+    df = spark.range(1).select(F.concat(F.lit("2024-01-"), F.col("id") + 10).alias("t")).select(
+        to_timestamp_any("t").alias("at")).filter("at is not null")
+    code = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
+    assert plan_text(df, "simple").count("trim(") == 2  # one in the filter, one in the result
+    assert [str(r["at"]) for r in df.collect()] == ["2024-01-10 00:00:00"]
