@@ -2,6 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plan_util import plan_text
 from crashgrid.operators.timeseries import (best_weights, densify_daily, fit_trend, forecast_collision_trend, forecast_guard,
@@ -143,3 +144,11 @@ def test_densify_property(spark, days):
         expected = {base + dt.timedelta(days=d): v for k, d, v in days if k == key}
         assert all(v == expected.get(d, 0) for d, v in mine)
     assert sum(r["value"] for r in out) == sum(v for _, _, v in days)
+
+
+def test_densify_computes_its_series_once(spark):
+    counts = spark.range(5).groupBy((F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") * 2).cast("int"))).alias("date")) \
+        .agg(F.count(F.lit(1)).alias("value"))
+    dense = densify_daily(counts)
+    assert "Range" not in plan_text(dense, "simple")  # both uses read the kept series
+    assert [r["value"] for r in dense.orderBy("date").collect()] == [1, 0, 1, 0, 1, 0, 1, 0, 1]
