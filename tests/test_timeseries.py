@@ -152,3 +152,14 @@ def test_densify_computes_its_series_once(spark):
     dense = densify_daily(counts)
     assert "Range" not in plan_text(dense, "simple")  # both uses read the kept series
     assert [r["value"] for r in dense.orderBy("date").collect()] == [1, 0, 1, 0, 1, 0, 1, 0, 1]
+
+
+def test_overlay_prepares_the_incidents_once(spark, monkeypatch):
+    from crashgrid.plans import catalog
+    rows = spark.range(80).select(F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 40 as int))").alias("OCC_DATE"),
+                                  F.lit("Injury").alias("severity_class"))
+    monkeypatch.setattr(catalog, "prepared", lambda *_: rows)
+    overlay = catalog.q_trend_overlay(spark, "")
+    assert "Range" not in plan_text(overlay, "simple")
+    assert {(r["series_type"], r["count"]) for r in overlay.groupBy("series_type").count().collect()} == {
+        ("Injury", 40), ("Total", 40), ("Forecast", 30)}
