@@ -80,3 +80,22 @@ def test_sessions_equal_brute_force_also_as_a_stream(spark):
     assert as_set(replayed, *columns) == {s for s in want if s[2] <= mark}
     assert sessions(events(spark, []), "ts", ["kind"], "5 hours").count() == 0
     assert sessions(events(spark, []), "ts", ["kind"], "5 hours").filter(F.col("events") > 0).isEmpty()
+
+
+def test_the_session_query_reads_files_of_bounded_rows_in_one_batch(spark, tmp_path, monkeypatch):
+    from crashgrid.plans import catalog
+    rng = random.Random(7)
+    rows = [(i, START + dt.timedelta(minutes=rng.randrange(20_000)), "view", rng.randrange(9)) for i in range(970)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, user_id long") \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(catalog, "SESSION_FILE_ROWS", 50)
+    taken, kept = [], catalog.SW.file_stream
+    monkeypatch.setattr(catalog.SW, "file_stream", lambda s, path, *a, **k: taken.append(path) or kept(s, path, *a, **k))
+    found = catalog.q_stream_sessions(spark, str(tmp_path))
+    files = spark.read.parquet(taken[0]).groupBy(F.input_file_name().alias("f")).count()
+    assert files.agg(F.max("count")).first()[0] <= 50 and files.count() >= 970 / 50
+    columns = ["user_id", "session_start", "session_end", "events"]
+    mark = max(t for _, t, _, _ in rows) - dt.timedelta(days=2)
+    want = sessions(spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, user_id long"), "ts",
+                    ["user_id"], "5 hours")
+    assert as_set(found, *columns) == {s for s in as_set(want, *columns) if s[2] <= mark}
