@@ -3,7 +3,8 @@
 A word's symbols are leaves; leaf i holds the merge rank of symbol i and its
 right neighbour. The root is the lowest rank, leftmost first: the next merge.
 A merge updates three leaves, each with a logarithmic walk to the root, until
-no pair can merge. Texts are cut at ASCII white space, which no token spans,
+no pair can merge. Nodes are wide, so a usual word's leaves are right below
+the root. Texts are cut at ASCII white space, which no token spans,
 and each chunk's ids are kept in a bounded table, so the tree runs once per
 distinct chunk.
 """
@@ -30,33 +31,45 @@ from .shared import broadcast_plain, per_worker
 NO_MERGE = 1 << 62
 
 
+FAN = 16
+
+
 class PairTree:
-    """Minimum tree over (rank, position) keys of adjacent symbol pairs."""
+    """Minimum tree over (rank, position) keys of adjacent symbol pairs; a node has up to ``FAN`` below it."""
 
     def __init__(self, keys: list[int]):
-        n = len(keys)
-        self.width = width = 1 << max(1, (n - 1).bit_length())
-        self.tree = tree = [NO_MERGE] * width + keys + [NO_MERGE] * (width - n)
-        for i in range(width - 1, 0, -1):
-            left, right = tree[2 * i], tree[2 * i + 1]
-            tree[i] = left if left < right else right
+        self.levels = levels = [keys]
+        while len(keys) > FAN:
+            keys = [min(keys[i:i + FAN]) for i in range(0, len(keys), FAN)]
+            levels.append(keys)
+        self.top = keys  # the nodes right below the root
 
     def least(self) -> int:
-        return self.tree[1]
+        return min(self.top, default=NO_MERGE)
 
     def put(self, place: int, key: int) -> None:
-        tree, i = self.tree, place + self.width
-        if tree[i] == key:
-            return
-        tree[i] = key
-        while i > 1:
-            other = tree[i ^ 1]
-            if other < key:
-                key = other
-            i >>= 1
-            if tree[i] == key:
+        levels = self.levels
+        levels[0][place] = key
+        for below, nodes in zip(levels, levels[1:]):
+            place //= FAN
+            key = min(below[place * FAN:place * FAN + FAN])
+            if nodes[place] == key:
                 return
-            tree[i] = key
+            nodes[place] = key
+
+
+def merge_node(symbols: list[int], rank_of, merged: list[int]) -> list[int]:
+    """``merge_word`` where the leaves are right below the root: they close up in place and need no positions."""
+    keys = [rank_of(a << 32 | b, NO_MERGE) for a, b in zip(symbols, symbols[1:])]
+    while keys and (least := min(keys)) != NO_MERGE:
+        i = keys.index(least)  # the leftmost
+        del keys[i], symbols[i + 1]
+        symbols[i] = new = merged[least]
+        if i < len(keys):
+            keys[i] = rank_of(new << 32 | symbols[i + 1], NO_MERGE)
+        if i:
+            keys[i - 1] = rank_of(symbols[i - 1] << 32 | new, NO_MERGE)
+    return symbols
 
 
 def merge_word(symbols: list[int], merges: dict[int, int], merged: list[int]) -> list[int]:
@@ -66,14 +79,16 @@ def merge_word(symbols: list[int], merges: dict[int, int], merged: list[int]) ->
     if n < 2:
         return symbols
     rank_of = merges.get
+    if n <= FAN:
+        return merge_node(list(symbols), rank_of, merged)
     keys = []
     for i in range(n - 1):
         rank = rank_of(symbols[i] << 32 | symbols[i + 1])
         keys.append(NO_MERGE if rank is None else rank << 32 | i)
     tree = PairTree(keys)
     symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-    put = tree.put
-    while (least := tree.tree[1]) != NO_MERGE:
+    put, top = tree.put, tree.top
+    while (least := min(top)) != NO_MERGE:
         i = least & 0xFFFFFFFF
         j = after[i]
         symbols[i] = new = merged[least >> 32]
@@ -181,7 +196,7 @@ class Codec:
         self.added = {t["content"]: t["id"] for t in added}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") \
             if added else None
-        self.names = {i: t for t, i in chain(self.vocab.items(), self.added.items())}
+        self.names = {i: t.encode("utf-8", "replace") for t, i in chain(self.vocab.items(), self.added.items())}
         self.known, self.known_words = Recent(room), Recent(room)
         steps = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])]
         parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
@@ -235,15 +250,31 @@ class Codec:
         known.turn()
         self.known_words.turn()
         chunks = piece.split()
-        for chunk in [c for c in set(chunks) if c not in known]:
-            if known.recall(chunk) is None:
-                known.keep(chunk, self.chunk_ids(chunk))
-        return b"".join(map(known.__getitem__, chunks))
+        found = list(map(known.get, chunks))
+        if None in found:
+            for at, ids in enumerate(found):
+                if ids is None:
+                    chunk = chunks[at]
+                    ids = known.get(chunk)  # it may stand twice in the piece
+                    if ids is None:
+                        ids = known.recall(chunk)
+                    if ids is None:
+                        ids = self.chunk_ids(chunk)
+                        known.keep(chunk, ids)
+                    found[at] = ids
+        return b"".join(found)
 
     def decode(self, ids: bytes) -> str:
         """Token texts joined by a space: what the library does without a decoder."""
-        names = self.names
-        return " ".join([names[i] for i in np.frombuffer(ids, dtype="<u4").tolist() if i in names])
+        return self.decoded_bytes(ids).decode("utf-8")
+
+    def decoded_bytes(self, ids: bytes) -> bytes:
+        """``decode`` in UTF-8."""
+        numbers = np.frombuffer(ids, dtype="<u4").tolist()
+        try:
+            return b" ".join(map(self.names.__getitem__, numbers))
+        except KeyError:
+            return b" ".join([self.names[i] for i in numbers if i in self.names])
 
 
 def read_definition(path: str) -> str:
@@ -303,7 +334,7 @@ def token_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             columns: list[list] = [[], [], []]
             for text in texts:  # one text at a time is a Python object
                 ids = codec.encode(text.as_py())
-                decoded = codec.decode(ids).encode("utf-8", "replace")
+                decoded = codec.decoded_bytes(ids)
                 for column, value in zip(columns, (len(ids) // 4, hashlib.sha256(ids).hexdigest(),
                                                    hashlib.sha256(decoded).hexdigest()), strict=True):
                     column.append(value)

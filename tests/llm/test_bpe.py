@@ -68,6 +68,26 @@ def test_tree_updates():
         assert tree.least() == min(keys)
 
 
+def test_wide_nodes_keep_their_minimum():
+    for n in (16, 17, 300, 5_000):
+        keys = [draw.randrange(1_000) for _ in range(n)]
+        tree = PairTree(list(keys))
+        for _ in range(100):
+            i, k = draw.randrange(n), draw.randrange(1_000)
+            keys[i] = k
+            tree.put(i, k)
+            assert tree.least() == min(keys)
+
+
+def test_a_usual_word_needs_no_inner_nodes(codec, monkeypatch):
+    def walk(*_):
+        raise AssertionError("a walk through the tree for a word of one node")
+
+    monkeypatch.setattr(PairTree, "__init__", walk)
+    for word in ("oftishnd", "queciónqueta", "undkeitberge", "a", "ab", "reshatea" * 2):
+        assert np.frombuffer(codec.encode(word.encode()), "<u4").tolist() == reference(word)[0]
+
+
 def test_small_chunk_table_gives_the_same_ids():
     small = Codec(read_definition(PATH), room=2)
     text = b"one two three four one five two six seven one"
